@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import fingerprints, mixing, packing, token_counts
+from fieldweave.llm import fingerprints, language_id, mixing, packing, token_counts, toxicity
+from fieldweave.llm.split import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir).select("doc_id", "text"), held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out(F.col("doc_id"), 4, 2)
+    model = language_id.fit(docs, ~out)
+    return language_id.predict(docs.select("doc_id", "text", out.alias("held_out")), model)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op8_packing, op9_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op5_token_counts, op6_toxicity, op7_language_id, op8_packing, op9_fingerprints, op10_mixing)}
 
 ORACLE_SQL = {
     "op10_mixing": r"""
