@@ -7,9 +7,9 @@ sequence crosses documents and none is padded.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words whose ids a task remembers; at the limit it starts anew.
-REMEMBERED = 200_000
+#: Words whose ids a task remembers; beyond, those that have not come up again are forgotten.
+REMEMBERED = 400_000
 
 
 def piece_lengths(n: int, limit: int) -> list[int]:
@@ -27,22 +27,65 @@ def piece_lengths(n: int, limit: int) -> list[int]:
     return [limit] * (n // limit) + [1 << b for b in range(limit.bit_length() - 2, -1, -1) if rest >> b & 1]
 
 
-class WordIds(dict):
-    """Ids of words, by the tokenizer, which never joins across a blank or line end."""
+class WordIds:
+    """Ids of texts by the tokenizer, which never joins across a blank or line end.
+
+    Words repeat, so their ids (little-endian, 4 bytes each) are remembered. New words that consist of
+    letters are encoded many at a time: each ends with the one id that closes a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
         self.tokenizer = Tokenizer.from_file(path)
-
-    def of(self, text: str) -> Iterator[int]:
-        words = text.replace("\n", " ").split(" ")
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = list({w for w in words if w not in self})
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[word] = found.ids
-        return chain.from_iterable(map(self.__getitem__, words))
+        closing = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.closes[closing] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        known, older = self.known, self.older
+        parts, plain, odd = {}, set(), []
+        for word in words:
+            if (found := older.get(word)) is not None:
+                known[word] = found
+                continue
+            end = word[-1:] if word[-1:] in ".,;:!?" and len(word) > 1 else ""
+            base = word[: len(word) - len(end)]
+            if not base.isalpha():
+                odd.append(word)
+                continue
+            if "\u0130" not in base and "\u03a3" not in base:  # whose small letters depend on what follows
+                base = base.lower()
+            parts[word] = base, end
+            plain.update((base, end))
+        plain -= known.keys()
+        plain.discard("")
+        letters = [w for w in plain if w.isalpha()]
+        for at in range(0, len(letters), 5000):
+            some = letters[at : at + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                known.update((w, raw[i:j]) for w, i, j in zip(some, bounds, bounds[1:], strict=False))
+            else:  # a word that the tokenizer cuts in another way
+                odd += some
+        odd += [w for w in plain if not w.isalpha()]
+        for word, found in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+            known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        for word, (base, end) in parts.items():
+            known[word] = known[base] + known[end] if end else known[base]
+
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {"": b""}, self.known
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        self._learn(set().union(*split).difference(self.known))
+        for words in split:
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
 
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -65,8 +108,8 @@ def pack(docs: DataFrame, tokenizer: str, *, limit: int = 2048, end_id: int = 1,
         for batch in batches:
             rows: list[list] = [[] for _ in schema.fields]
             where: list[int] = []
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.fromiter(chain(known.of(text or ""), (end_id,)), dtype="<u4")
+            for at, ids in enumerate(known.of([t or "" for t in batch.column(1).to_pylist()])):
+                ids = np.append(ids, np.array(end_id, dtype="<u4"))
                 start = 0
                 for length in piece_lengths(len(ids), limit):
                     own = ids[start : start + length]
