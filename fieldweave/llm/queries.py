@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import fingerprints, jaccard_join, language_id, mixing, packing, token_counts, toxicity
+from fieldweave.llm import fingerprints, jaccard_join, language_id, mixing, packing, substring_dedup, token_counts, toxicity
 from fieldweave.llm.split import held_out
 
 
@@ -20,6 +20,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["high"] - r["low"])
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return cut.select("doc_id", n_bytes.alias("n_bytes"), gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
 
@@ -55,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op4_jaccard_join, op5_token_counts, op6_toxicity, op7_language_id, op8_packing, op9_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_jaccard_join, op5_token_counts, op6_toxicity, op7_language_id, op8_packing, op9_fingerprints, op10_mixing)}
 
 ORACLE_SQL = {
     "op10_mixing": r"""
