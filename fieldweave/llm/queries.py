@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import fingerprints, jaccard_join, language_id, mixing, packing, substring_dedup, token_counts, toxicity
+from fieldweave.llm import class_lm, fingerprints, jaccard_join, language_id, mixing, packing, substring_dedup, token_counts, toxicity
 from fieldweave.llm.split import held_out
 
 
@@ -27,6 +27,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", n_bytes.alias("n_bytes"), gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out(F.col("doc_id"), 5, 1)
+    fitted = class_lm.fit(docs.filter(~out).select("text"))
+    return class_lm.score(docs.select("doc_id", out.alias("held_out"), "text"), fitted)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
 
@@ -62,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_jaccard_join, op5_token_counts, op6_toxicity, op7_language_id, op8_packing, op9_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_class_lm, op4_jaccard_join, op5_token_counts, op6_toxicity, op7_language_id, op8_packing, op9_fingerprints, op10_mixing)}
 
 ORACLE_SQL = {
     "op10_mixing": r"""
