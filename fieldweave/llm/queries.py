@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import class_lm, fingerprints, jaccard_join, language_id, mixing, packing, substring_dedup, token_counts, toxicity
+from fieldweave.llm import class_lm, fingerprints, jaccard_join, language_id, mixing, neighbours, packing, substring_dedup, token_counts, toxicity
 from fieldweave.llm.split import held_out
 
 
@@ -33,6 +33,10 @@ def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(docs.select("doc_id", out.alias("held_out"), "text"), fitted)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
 
@@ -68,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_class_lm, op4_jaccard_join, op5_token_counts, op6_toxicity, op7_language_id, op8_packing, op9_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_class_lm, op3_nearest_neighbours, op4_jaccard_join, op5_token_counts, op6_toxicity, op7_language_id, op8_packing, op9_fingerprints, op10_mixing)}
 
 ORACLE_SQL = {
     "op10_mixing": r"""
