@@ -239,13 +239,25 @@ def merged(parts: list) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def dedup_substrings(docs: DataFrame, least: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
+    """``docs`` with the text that dedup_substrings leaves, null as empty; columns stay as they are.
+
+    Where a run begins or ends within a character, what is left of the character goes too.
+    """
+    if {"removed", "kept"} & set(docs.columns):
+        raise ValueError("columns removed and kept are the result's")
+    cut = dedup_substrings(docs, least, as_text=True)
+    return cut.withColumn("text", F.col("kept")).select(*docs.columns)
+
+
+def dedup_substrings(docs: DataFrame, least: int = 400, *, as_text: bool = False) -> DataFrame:
     """``docs`` with removed (array of low, high: the maximal removed byte runs), kept (bytes left).
 
     Texts are read as UTF-8, null as empty; a byte goes if a string of ``least`` bytes that covers it
     starts anywhere else too, in the same or another row (matches never cross rows and are judged on
     the input; repeated rows are each other's repeats). Shorter texts stay whole. Input columns named
-    removed or kept are replaced, others pass through. No rows: no rows.
+    removed or kept are replaced, others pass through. No rows: no rows. ``as_text`` gives kept as a
+    string, without characters that a run has cut.
     """
     kept_columns = [c for c in docs.columns if c not in ("removed", "kept")]
     docs = docs.select(*kept_columns).withColumn("__key", F.xxhash64("doc_id", "text"))
@@ -253,10 +265,10 @@ def dedup_substrings(docs: DataFrame, least: int = 400) -> DataFrame:
     cut = settle(spans(narrow, least).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("__parts")))
     keys = small(cut.select(F.col("key").alias("__key")))
     none = F.array().cast("array<struct<low:int,high:int>>")
-    untouched = docs.join(keys, "__key", "left_anti").select(*kept_columns, none.alias("removed"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("kept"))
+    untouched = docs.join(keys, "__key", "left_anti").select(*kept_columns, none.alias("removed"), (F.coalesce("text", F.lit("")) if as_text else F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("kept"))
     touched = docs.join(keys, "__key", "left_semi").join(cut.withColumnRenamed("key", "__key"), "__key").select(*kept_columns, "__parts")
     at = kept_columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in touched.schema if f.name != "__parts") + ", removed array<struct<low:int,high:int>>, kept binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in touched.schema if f.name != "__parts") + ", removed array<struct<low:int,high:int>>, kept " + ("string" if as_text else "binary")
     pair = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +279,6 @@ def dedup_substrings(docs: DataFrame, least: int = 400) -> DataFrame:
                 ends = [0, *(h for _, h in runs)]
                 kept.append(b"".join(raw[i:j] for i, j in zip(ends, [*(low for low, _ in runs), len(raw)], strict=True)))
                 removed.append([{"low": low, "high": h} for low, h in runs])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept_columns)], pa.array(removed, pair), pa.array(kept, pa.binary())], names=[*kept_columns, "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept_columns)], pa.array(removed, pair), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*kept_columns, "removed", "kept"])
 
     return untouched.unionByName(touched.mapInArrow(run, schema))
