@@ -19,10 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.shared import settle
+
 #: Hashed features; most labelled rows that the classifier is fitted on.
 BUCKETS, TRAINING_ROWS = 1 << 18, 20_000
 #: Weights of the counterfactual and the L1 term; features of fewer training texts are not used.
 PAIRING, L1, LEAST = 1.0, 2e-4, 3
+#: Most features that the classifier is fitted on.
+CHOSEN = 5_000
 #: Terms for groups of people, by kind; a term is swapped for the others of its kind (fixed values).
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "trans", "nonbinary"),
@@ -145,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, rows: int = TRAINI
     """Learns from at most ``rows`` labelled rows (lowest hash of the id) where ``learn`` holds.
 
     ``labels`` has doc_id and toxic; rows with a null in either teach nothing. An id labelled twice
-    counts with its larger label. Features, not texts, come to the driver.
+    counts with its larger label. The features that tell most come to the driver, not the texts.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -159,12 +163,32 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, rows: int = TRAINI
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([own.of(t) for t in tokens], ints), pa.array([None if o is None else own.of(o) for o in other], ints)], names=["doc_id", "toxic", "cells", "other"])
 
-    table = sample.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, cells array<int>, other array<int>").toPandas()
-    table = table.sort_values("doc_id", kind="stable")
+    told = settle(sample.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, cells array<int>, other array<int>"))
+    met = told.select("toxic", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).toPandas()  # BUCKETS rows at most
+    total, toxic = told.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    chosen = telling(met["cell"].to_numpy(dtype=np.int64), met["n"].to_numpy(dtype=float), met["toxic"].to_numpy(dtype=float), total, toxic)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = lambda c: None if c is None else (c := np.asarray(c, dtype=np.int32))[np.isin(c, chosen)]
+        for batch in batches:
+            lists = [pa.array([only(c) for c in batch.column(k).to_pylist()], pa.list_(pa.int32())) for k in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "cells", "other"])
+
+    table = told.mapInArrow(kept, told.schema).toPandas().sort_values("doc_id", kind="stable")
     as_array = lambda x: None if x is None else np.asarray(x, dtype=np.int32)
     return train([as_array(c) for c in table["cells"]], table["toxic"].to_numpy(dtype=np.float64), [as_array(o) for o in table["other"]])
 
 
+def telling(cells: np.ndarray, n: np.ndarray, toxic: np.ndarray, total: int, all_toxic: int) -> np.ndarray:
+    """The ``CHOSEN`` features that tell most of the label (chi-square), and those of identity terms."""
+    expected = n * all_toxic / max(1, total)
+    strength = (toxic - expected) ** 2 / np.maximum(expected * (1 - n / max(1, total)), 1e-9)
+    strength[n < LEAST] = -1
+    best = np.lexsort((cells, -strength))[:CHOSEN]
+    own = Features()
+    return np.union1d(cells[best[strength[best] > 0]], own.of([t for kind in IDENTITY_TERMS for t in kind])).astype(np.int32)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with toxicity (0 to 1) of every whole text, null read as empty; the text stays.
 
