@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words whose ids a task remembers; beyond, those that have not come up again are forgotten.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers; beyond, those that have not come up again are forgotten.
+REMEMBERED = 600_000
 
 
 def piece_lengths(n: int, limit: int) -> list[int]:
@@ -88,6 +89,12 @@ class WordIds:
             yield np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker, so that its later tasks know the words of the earlier ones."""
+    return WordIds(path)
+
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -104,7 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, *, limit: int = 2048, end_id: int = 1,
     schema = T.StructType([docs.schema["doc_id"], *schema.fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(tokenizer)
+        known = word_ids(tokenizer)
         for batch in batches:
             rows: list[list] = [[] for _ in schema.fields]
             where: list[int] = []
