@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from fieldweave.shared import settle
 
 #: Word classes; units; units that are hashes of endings (a power of two).
-CLASSES, UNITS, ENDINGS = 64, 4096, 1024
+CLASSES, UNITS, ENDINGS = 64, 3072, 1024
 #: Most frequent words whose counts go to every task; the others' are joined.
 FREQUENT = 500_000
 #: Words whose hashes a Python worker remembers.
@@ -189,8 +189,8 @@ def fit(texts: DataFrame, *, classes: int = CLASSES) -> tuple[Model, DataFrame]:
             if reached + words > limit:
                 break
             reached, level = reached + words, n
-        table = counts.filter(F.col("n") >= level).toPandas()
-        word, n = table["word"].to_numpy(dtype=np.int64).view(np.uint64), table["n"].to_numpy(dtype=np.int64)
+        table = counts.filter(F.col("n") >= level).toArrow()
+        word, n = table.column("word").to_numpy().view(np.uint64), table.column("n").to_numpy()
         order = np.argsort(word)
         return word[order], n[order]
 
@@ -199,9 +199,11 @@ def fit(texts: DataFrame, *, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     words = np.append(top, END)
     order = np.argsort(words)
     units = Units(words[order], np.append(np.arange(1, len(top) + 1), 0)[order])
-    table = unit_bigrams(texts, units).toPandas()  # UNITS squared rows at most
     bigrams = np.zeros(UNITS * UNITS, dtype=np.float32)
-    bigrams[table["code"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.float32)
+    table = unit_bigrams(texts, units).toArrow()  # UNITS squared rows at most
+    for batch in table.to_batches():
+        bigrams[batch.column("code").to_numpy()] = batch.column("n").to_numpy()
+    del table
     bigrams = bigrams.reshape(UNITS, UNITS)
     own = exchange(bigrams, classes)
     member = np.zeros((UNITS, classes), dtype=np.float32)
