@@ -138,38 +138,32 @@ def split_rows(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), see
     return rows.join(assigned, "component_id")
 
 
-def leakage(rows: DataFrame) -> DataFrame:
-    """left, right, count and the first twenty of the normalized names that two splits share."""
-    names = rows.select("split", F.explode(F.array("norm_a", "norm_b")).alias("field"))
-    return shared_values(names.withColumnRenamed("field", "value"))
-
-
 def shared_values(values: DataFrame, most: int = 20) -> DataFrame:
-    """For each pair of splits: how many values (split, value) both have, and the first of them."""
-    per = values.groupBy("value").agg(*[F.max((F.col("split") == s).cast("int")).alias(s) for s in SPLITS])
+    """kind, left, right, count, sample: for each kind and pair of splits how many values (kind,
+    split, value) both have, and the first of them. Kinds without any value do not appear."""
+    per = values.groupBy("kind", "value").agg(*[F.max((F.col("split") == s).cast("int")).alias(s) for s in SPLITS])
     pairs = (("train", "test"), ("train", "validation"), ("validation", "test"))
     told = F.explode(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), ((F.col(a) == 1) & (F.col(b) == 1)).alias("both")) for a, b in pairs])).alias("p")
-    cells = per.select("value", told).select("value", "p.left", "p.right", "p.both")
-    counts = cells.groupBy("left", "right").agg(F.count_if("both").alias("count"))
-    ranked = cells.filter("both").withColumn("n", F.row_number().over(Window.partitionBy("left", "right").orderBy("value"))).filter(F.col("n") <= most)
-    sample = ranked.groupBy("left", "right").agg(F.array_sort(F.collect_list("value")).alias("sample"))
-    every = values.sparkSession.createDataFrame(list(pairs), "left string, right string")
-    return every.join(counts, ["left", "right"], "left").join(sample, ["left", "right"], "left").select("left", "right", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("sample", F.array().cast("array<string>")).alias("sample"))
+    cells = per.select("kind", "value", told).select("kind", "value", "p.left", "p.right", "p.both")
+    # the window's limit is applied before the shuffle too; one row a kind and pair keeps empty ones
+    ranked = cells.withColumn("n", F.row_number().over(Window.partitionBy("kind", "left", "right").orderBy(F.col("both").desc(), "value"))).filter(F.col("n") <= most)
+    sample = ranked.groupBy("kind", "left", "right").agg(F.array_sort(F.collect_list(F.when(F.col("both"), F.col("value")))).alias("sample"))
+    counts = cells.groupBy("kind", "left", "right").agg(F.count_if("both").alias("count"))
+    return counts.join(sample, ["kind", "left", "right"]).select("kind", "left", "right", "count", "sample")
+
+
+def leakage(rows: DataFrame) -> DataFrame:
+    """left, right, count and the first twenty of the normalized names that two splits share."""
+    values = rows.select(F.lit("any").alias("kind"), "split", F.explode(F.array("norm_a", "norm_b")).alias("value"))
+    return shared_values(values).drop("kind")
 
 
 def split_leakage(rows: DataFrame) -> DataFrame:
-    """kind (A, B, any, pair), left, right, count, sample of what the splits share."""
-    kinds = {
-        "A": rows.select("split", F.col("norm_a").alias("value")),
-        "B": rows.select("split", F.col("norm_b").alias("value")),
-        "any": rows.select("split", F.explode(F.array("norm_a", "norm_b")).alias("value")),
-        "pair": rows.select("split", F.concat_ws(" -> ", "norm_a", "norm_b").alias("value")),
-    }
-    out = None
-    for kind, values in kinds.items():
-        found = shared_values(values).withColumn("kind", F.lit(kind))
-        out = found if out is None else out.unionByName(found)
-    return out.select("kind", "left", "right", "count", "sample")
+    """kind (A, B, any, pair), left, right, count, sample of what the splits share, in one shuffle."""
+    pair = F.concat_ws(" -> ", "norm_a", "norm_b")
+    each = [("A", F.col("norm_a")), ("B", F.col("norm_b")), ("any", F.col("norm_a")), ("any", F.col("norm_b")), ("pair", pair)]
+    told = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in each])).alias("x")
+    return shared_values(settle(rows.select("split", told).select("split", "x.kind", "x.value").distinct()))
 
 
 def split_summary(rows: DataFrame) -> DataFrame:

@@ -143,17 +143,18 @@ def match_groups(
     review = config.review_threshold if review is None else review
     auto = config.auto_accept_threshold if auto is None else auto
     check_thresholds(review, auto, top_k)
-    sources = settle(text.with_normalized(source.select("source_row", "A"), {"A": "a"}))
-    spelled = text.with_normalized(target.select("source_row", "B"), {"B": "b"}).groupBy("b").agg(F.min_by("B", "source_row").alias("spelling"))
+    # column names do not differ by case alone: A is the raw name, name_a its identity
+    sources = settle(text.with_normalized(source.select("source_row", "A"), {"A": "name_a"}))
+    spelled = text.with_normalized(target.select("source_row", "B"), {"B": "name_b"}).groupBy("name_b").agg(F.min_by("B", "source_row").alias("spelling"))
     spelled = settle(spelled)
-    ranked = settle(ranked_candidates(bundle, sources.select("a").distinct(), spelled.select("b"), top_k))
-    scored = settle(scored_candidates(bundle, ranked)).join(spelled, "b")
-    best = gate(rerank(scored, "a"), "spelling", review=review, auto=auto).drop("b", "spelling", "retrieval_rank")
-    results = sources.join(best, "a", "left").select(
+    ranked = settle(ranked_candidates(bundle, sources.select(F.col("name_a").alias("a")).distinct(), spelled.select(F.col("name_b").alias("b")), top_k))
+    scored = settle(scored_candidates(bundle, ranked)).withColumnsRenamed({"a": "name_a", "b": "name_b"}).join(spelled, "name_b")
+    best = gate(rerank(scored, "name_a"), "spelling", review=review, auto=auto).drop("name_b", "spelling", "retrieval_rank")
+    results = sources.join(best, "name_a", "left").select(
         "source_row", "A",
         F.coalesce("best_B", F.lit("")).alias("best_B"), F.coalesce("predicted_label", F.lit("NO_MATCH")).alias("predicted_label"),
         F.coalesce("match_probability", F.lit(0.0)).alias("match_probability"), F.coalesce("p_direct", F.lit(0.0)).alias("p_direct"), F.coalesce("p_derivation", F.lit(0.0)).alias("p_derivation"),
         F.coalesce("retrieval_similarity", F.lit(float("nan"))).alias("retrieval_similarity"), F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("status", F.lit("NO_MATCH")).alias("status"),
     )
-    candidates = sources.join(scored, "a").select("source_row", "A", F.col("spelling").alias("candidate_B"), "retrieval_rank", "retrieval_similarity", "p_no_match", "p_direct", "p_derivation", match_probability().alias("match_probability"))
+    candidates = sources.join(scored, "name_a").select("source_row", "A", F.col("spelling").alias("candidate_B"), "retrieval_rank", "retrieval_similarity", "p_no_match", "p_direct", "p_derivation", match_probability().alias("match_probability"))
     return results, candidates

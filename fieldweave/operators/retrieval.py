@@ -53,7 +53,8 @@ def cosine_top_k(
                 rows, kept = np.repeat(np.arange(len(own)), pick.shape[1]), pick.ravel()
                 ok = np.isfinite(scores[rows, kept])
                 out.append(pd.DataFrame({"query_id": own[rows[ok]], "candidate_id": ids[kept[ok]], "similarity": scores[rows[ok], kept[ok]]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "candidate_id": [], "similarity": []})
+        none = pd.DataFrame({"query_id": left["id"].iloc[:0].to_numpy(), "candidate_id": right["id"].iloc[:0].to_numpy(), "similarity": np.zeros(0)})
+        return pd.concat(out) if out else none
 
     schema = f"query_id {q.schema['id'].dataType.simpleString()}, candidate_id {c.schema['id'].dataType.simpleString()}, similarity double"
     survivors = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(best, schema)
