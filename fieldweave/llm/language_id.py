@@ -87,10 +87,13 @@ def fit(docs: DataFrame, train: Column, *, per_language: int = PER_LANGUAGE, cen
     ``LANGUAGES`` most frequent languages. The rows' counts, not their texts, come to the driver.
     """
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).select("lang")
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("lang", "doc_id").distinct().withColumn("__n", F.row_number().over(ranked)).filter(F.col("__n") <= per_language)
-    picked = picked.join(F.broadcast(top), "lang").select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"))
+    top = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES)
+    # a hash in [0, 1): rows far above the few lowest of their language never reach the window
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = rows.select("lang", "doc_id", drawn.alias("__drawn")).join(F.broadcast(top), "lang").filter(F.col("__drawn") * F.col("count") < 4 * per_language)
+    ranked = Window.partitionBy("lang").orderBy("__drawn", "doc_id")
+    picked = few.select("lang", "doc_id", "__drawn").distinct().withColumn("__n", F.row_number().over(ranked)).filter(F.col("__n") <= per_language)
+    picked = picked.select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"))
     sample = rows.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
