@@ -2,13 +2,14 @@
 
 A word's symbols form a linked list, its adjacent pairs a heap by merge rank; the lowest rank (the
 leftmost of equals) is popped and merged until no pair has a rank. The word's count is its initial
-symbols minus the merges made. Words repeat, so a task remembers the counts of those it has met.
+symbols minus the merges made. Words repeat, so a worker remembers the counts of those it has met.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: How byte-level vocabularies cut a text into words (fixed value, a public pattern).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose counts a task remembers; at the limit it starts anew.
-REMEMBERED = 300_000
+#: Words whose counts a Python worker remembers; at the limit it starts anew.
+REMEMBERED = 600_000
 
 
 def byte_symbols() -> list[str]:
@@ -108,6 +109,12 @@ class Counter:
         return total + len(parts) - 1  # each special string is one token
 
 
+@cache
+def counter_of(path: str) -> Counter:
+    """One for each Python worker, so that its later tasks know the words of the earlier ones."""
+    return Counter(path)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit of every whole text.
 
@@ -118,7 +125,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 512) -> DataFr
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = counter_of(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n_bytes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
