@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words whose ids a Python worker remembers; beyond, those that have not come up again are forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 def piece_lengths(n: int, limit: int) -> list[int]:
@@ -35,7 +35,7 @@ class WordIds:
     letters are encoded many at a time: each ends with the one id that closes a word.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
@@ -43,6 +43,7 @@ class WordIds:
         closing = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         self.closes[closing] = True
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -67,7 +68,7 @@ class WordIds:
         letters = [w for w in plain if w.isalpha()]
         for at in range(0, len(letters), 5000):
             some = letters[at : at + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some):
                 raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
@@ -75,13 +76,13 @@ class WordIds:
             else:  # a word that the tokenizer cuts in another way
                 odd += some
         odd += [w for w in plain if not w.isalpha()]
-        for word, found in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+        for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             known[word] = np.array(found.ids, dtype="<u4").tobytes()
         for word, (base, end) in parts.items():
             known[word] = known[base] + known[end] if end else known[base]
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {"": b""}, self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
         self._learn(set().union(*split).difference(self.known))
@@ -90,18 +91,19 @@ class WordIds:
 
 
 @cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, remembered: int) -> WordIds:
     """One for each Python worker, so that its later tasks know the words of the earlier ones."""
-    return WordIds(path)
+    return WordIds(path, remembered)
 
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pack(docs: DataFrame, tokenizer: str, *, limit: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, limit: int = 2048, end_id: int = 1, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset.
 
-    ``with_ids`` adds the ids (array of int). A null or empty text is its end id alone. Repeated rows
+    ``remembered`` bounds the words that a Python worker keeps (200 bytes each, twice as many at
+    most). ``with_ids`` adds the ids (array of int). A null or empty text is its end id alone. Repeated rows
     are packed each. Very long texts give more pieces, nothing else. No rows: no pieces. Only doc_id
     and text are read. There is no shuffle: a piece needs no other, and bucket = log2(length) is the
     column to partition a written table by.
@@ -111,7 +113,7 @@ def pack(docs: DataFrame, tokenizer: str, *, limit: int = 2048, end_id: int = 1,
     schema = T.StructType([docs.schema["doc_id"], *schema.fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_ids(tokenizer)
+        known = word_ids(tokenizer, remembered)
         for batch in batches:
             rows: list[list] = [[] for _ in schema.fields]
             where: list[int] = []
@@ -121,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, *, limit: int = 2048, end_id: int = 1,
                 for length in piece_lengths(len(ids), limit):
                     own = ids[start : start + length]
                     where.append(at)
-                    for to, value in zip(rows[1:], (start, length, zlib.crc32(own.tobytes()), len(ids), own.astype(np.int32)), strict=False):
+                    for to, value in zip(rows[1:], (start, length, zlib.crc32(own.tobytes()), len(ids), own.view(np.int32)), strict=False):
                         to.append(value)
                     start += length
             arrays = [batch.column(0).take(pa.array(where, pa.int64()))] + [pa.array(r, pa.list_(pa.int32()) if k == 4 else pa.int64()) for k, r in enumerate(rows[1:])]
