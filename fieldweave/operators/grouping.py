@@ -13,6 +13,8 @@ from fieldweave.operators.components import components
 from fieldweave.shared import settle
 
 SPLITS = ("train", "validation", "test")
+#: Most components that the driver assigns one by one.
+MOST_REPLAYED = 200_000
 
 
 def with_components(clean: DataFrame) -> DataFrame:
@@ -129,13 +131,49 @@ def assign_splits(parts: list[tuple[int, ...]], ratios: Sequence[float], seed: i
     return chosen
 
 
-def split_rows(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
-    """``rows`` (with component_id) with split: train, validation or test, whole components each."""
-    table = rows.groupBy("component_id").agg(F.count("*").alias("rows"), *[F.count_if(F.col("label") == x).alias(x) for x in text.LABELS])
-    parts = [tuple(r) for r in table.orderBy("component_id").collect()]
-    chosen = [(c, SPLITS[i]) for c, i in assign_splits(parts, ratios, seed).items()]
-    assigned = rows.sparkSession.createDataFrame(chosen, "component_id long, split string")
-    return rows.join(assigned, "component_id")
+def assign_shares(profiles: list[tuple[int, ...]], ratios: Sequence[float], steps: int = 1000) -> dict[tuple[int, ...], list[float]]:
+    """For very many components: what share of the components of each profile goes to each split.
+
+    profiles: (number of components, rows of one, count of each label in one). The greedy walk of
+    assign_splits, largest first, by portions of at most one in ``steps`` of a profile.
+    """
+    order = sorted(profiles, key=lambda p: (-p[1], p))
+    balance = _Balance(ratios, sum(p[0] * p[1] for p in order), [sum(p[0] * p[2 + k] for p in order) for k in range(len(text.LABELS))])
+    active = [i for i, r in enumerate(ratios) if r > 0]
+    shares = {}
+    for profile in order:
+        got, left = [0, 0, 0], profile[0]
+        while left:
+            n = min(left, max(1, profile[0] // steps))
+            part = (0, *(n * x for x in profile[1:]))
+            best = min(active, key=lambda i: balance.change(i, part, 1))
+            balance.move(best, part, 1)
+            got[best] += n
+            left -= n
+        shares[profile[1:]] = [g / profile[0] for g in got]
+    return shares
+
+
+def split_rows(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42, most: int = MOST_REPLAYED) -> DataFrame:
+    """``rows`` (with component_id) with split: train, validation or test, whole components each.
+
+    Up to ``most`` components are assigned one by one on the driver (a small row each). Beyond, the
+    driver sees only the profiles (rows and label counts) and how many components have each; a
+    component's place in its profile's shares is then a hash of its number.
+    """
+    spark = rows.sparkSession
+    table = settle(rows.groupBy("component_id").agg(F.count("*").alias("rows"), *[F.count_if(F.col("label") == x).alias(x) for x in text.LABELS]))
+    if table.count() <= most:
+        parts = [tuple(r) for r in table.orderBy("component_id").collect()]
+        chosen = [(c, SPLITS[i]) for c, i in assign_splits(parts, ratios, seed).items()]
+        return rows.join(spark.createDataFrame(chosen, "component_id long, split string"), "component_id")
+    keys = ["rows", *text.LABELS]
+    profiles = [(r["n"], *(r[k] for k in keys)) for r in table.groupBy(*keys).agg(F.count("*").alias("n")).collect()]
+    shares = [(*p, s[0], s[0] + s[1]) for p, s in assign_shares(profiles, ratios).items()]
+    told = spark.createDataFrame(shares, ", ".join(f"{k} long" for k in keys) + ", first double, second double")
+    u = F.pmod(F.xxhash64(F.lit(seed), "component_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    split = F.when(u < F.col("first"), SPLITS[0]).when(u < F.col("second"), SPLITS[1]).otherwise(SPLITS[2])
+    return rows.join(table.join(F.broadcast(told), keys).select("component_id", split.alias("split")), "component_id")
 
 
 def shared_values(values: DataFrame, most: int = 20) -> DataFrame:

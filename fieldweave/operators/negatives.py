@@ -49,9 +49,8 @@ def eligible_targets(rows: DataFrame, config: NegativeConfig) -> DataFrame:
     """source_row, A, norm_a, candidate, spelling, draw: a seeded sample of each positive's eligible targets.
 
     Eligible is every target but the source's own known positives and the source's own name. Each
-    positive draws numbers of targets by hash (twice as many as it needs and as it may have to give
-    back, so that the sample is full unless the targets run out); only drawn numbers are joined, so
-    positives never meet all targets. The sample holds pool + random_per_positive targets at most.
+    positive draws distinct numbers of targets by hash, about twice as many as fill its sample after
+    the excluded ones are gone; only drawn numbers are joined, so positives never meet all targets. The sample holds pool + random_per_positive targets at most.
     """
     targets = settle(target_classes(rows))
     count = targets.count()
@@ -62,7 +61,9 @@ def eligible_targets(rows: DataFrame, config: NegativeConfig) -> DataFrame:
     asked = positives.select("source_row", "A", "norm_a").join(excluded, "norm_a")
     # distinct numbers: steps through all of them from a hashed start with a hashed stride coprime to their count
     total = F.lit(max(count, 1)).cast("long")
-    draws = F.least(total, F.lit(wanted).cast("long") + F.col("n") + 1)
+    # twice what fills the sample on average; wanted + n + 1 always fills it
+    often = F.ceil(2 * wanted * total / F.greatest(total - F.col("n"), F.lit(1))) + 20
+    draws = F.least(total, F.lit(wanted).cast("long") + F.col("n") + 1, often)
     start = F.pmod(F.xxhash64(F.lit(config.seed), "source_row", "norm_a"), total)
     stride = F.element_at(F.array(*[F.lit(s).cast("long") for s in _strides(max(count, 1))]), (F.pmod(F.xxhash64("norm_a", F.lit(config.seed), "source_row"), F.lit(len(_strides(max(count, 1))))) + 1).cast("int"))
     drawn = asked.withColumn("start", start).withColumn("stride", stride).select("source_row", "A", "norm_a", F.posexplode(F.sequence(F.lit(0).cast("long"), draws - 1)).alias("draw", "k"), "start", "stride")

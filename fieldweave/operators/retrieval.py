@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of either side that meet in one product: 256 x 4096 scores are held at once.
-QUERY_BLOCK, CANDIDATE_BLOCK = 256, 4096
+QUERY_STEP, CANDIDATE_STEP = 256, 4096
+#: Rows of either side that a task gets; larger blocks repeat less of the other side in the shuffle.
+QUERY_BLOCK, CANDIDATE_BLOCK = 16_384, 32_768
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -30,8 +32,10 @@ def cosine_top_k(
         raise ValueError("top_k must be positive")
     q = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v")).dropna()
     c = candidates.select(F.col(candidate_id).alias("id"), F.col(vector).alias("v")).dropna()
-    q_blocks = max(1, -(-q.count() // (8 * QUERY_BLOCK)))
+    n, tasks = q.count(), q.sparkSession.sparkContext.defaultParallelism
     c_blocks = max(1, -(-c.count() // CANDIDATE_BLOCK))
+    # as many blocks as memory asks for, and enough to keep all cores busy on small inputs
+    q_blocks = max(1, -(-n // QUERY_BLOCK), min(-(-n // QUERY_STEP), -(-tasks // c_blocks)))
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     q = q.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"), every(c_blocks, "cb"))
     c = c.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int").alias("cb"), every(q_blocks, "qb"))
@@ -42,17 +46,21 @@ def cosine_top_k(
             ids, cs = right["id"].to_numpy(), _unit(right["v"].tolist())
             order = np.argsort(ids, kind="stable")
             ids, cs = ids[order], cs[order]
-            for at in range(0, len(left), QUERY_BLOCK):
-                part = left.iloc[at : at + QUERY_BLOCK]
-                own = part["id"].to_numpy()
-                scores = np.round(_unit(part["v"].tolist()) @ cs.T, 12)
-                if skip_same_id:
-                    scores[own[:, None] == ids[None, :]] = -np.inf
-                # ranked as it is reported, to six places, so that ties go to the smaller id
-                pick = np.argsort(-np.round(scores, 6), axis=1, kind="stable")[:, :top_k]
-                rows, kept = np.repeat(np.arange(len(own)), pick.shape[1]), pick.ravel()
-                ok = np.isfinite(scores[rows, kept])
-                out.append(pd.DataFrame({"query_id": own[rows[ok]], "candidate_id": ids[kept[ok]], "similarity": scores[rows[ok], kept[ok]]}))
+            for at in range(0, len(left), QUERY_STEP):
+                part = left.iloc[at : at + QUERY_STEP]
+                own, unit = part["id"].to_numpy(), _unit(part["v"].tolist())
+                score, place = np.zeros((len(own), 0)), np.zeros((len(own), 0), dtype=np.int64)
+                for low in range(0, len(ids), CANDIDATE_STEP):
+                    # ranked as it is reported, to six places, so that ties go to the smaller id
+                    found = np.round(unit @ cs[low : low + CANDIDATE_STEP].T, 12)
+                    if skip_same_id:
+                        found[own[:, None] == ids[None, low : low + CANDIDATE_STEP]] = -np.inf
+                    score = np.concatenate((score, found), axis=1)
+                    place = np.concatenate((place, np.broadcast_to(np.arange(low, low + found.shape[1]), found.shape)), axis=1)
+                    pick = np.argsort(-np.round(score, 6), axis=1, kind="stable")[:, :top_k]
+                    score, place = np.take_along_axis(score, pick, axis=1), np.take_along_axis(place, pick, axis=1)
+                rows, ok = np.repeat(np.arange(len(own)), score.shape[1]), np.isfinite(score.ravel())
+                out.append(pd.DataFrame({"query_id": own[rows[ok]], "candidate_id": ids[place.ravel()[ok]], "similarity": score.ravel()[ok]}))
         none = pd.DataFrame({"query_id": left["id"].iloc[:0].to_numpy(), "candidate_id": right["id"].iloc[:0].to_numpy(), "similarity": np.zeros(0)})
         return pd.concat(out) if out else none
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fieldweave.functions import text
 from fieldweave.operators import grouping, metrics, negatives, quality, vocabulary
 from fieldweave.operators.retrieval import cosine_top_k
+from fieldweave.shared import settle
 
 _PAIRS = """
 WITH base AS (
@@ -37,11 +38,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.valid_rows(quality.classify_rows(pairs(spark, sf_dir)))
+    # written once: the queries read it two or more times
+    return settle(quality.valid_rows(quality.classify_rows(pairs(spark, sf_dir))))
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.clean_rows(_valid(spark, sf_dir))
+    return settle(quality.clean_rows(_valid(spark, sf_dir)))
 
 
 def _split_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:

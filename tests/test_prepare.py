@@ -108,3 +108,17 @@ def test_assignment_fills_each_split_and_is_seeded():
     assert assign_splits(many, (0.7, 0.15, 0.15), 5) == assign_splits(many, (0.7, 0.15, 0.15), 5)
     sizes = Counter(assign_splits(many, (0.8, 0.2, 0.0), 5).values())
     assert sizes[2] == 0 and abs(sizes[0] - 80) <= 2
+
+
+def test_shares_of_many_components(spark):
+    from fieldweave.operators.grouping import assign_shares, split_rows
+
+    shares = assign_shares([(100_000, 2, 1, 1, 0), (50_000, 1, 0, 0, 1)], (0.7, 0.15, 0.15))
+    assert all(abs(s - r) < 0.02 for own in shares.values() for s, r in zip(own, (0.7, 0.15, 0.15), strict=True))
+    rows = spark.createDataFrame([(k, "DIRECT" if j else "NO_MATCH") for k in range(3000) for j in range(2)], "component_id long, label string")
+    got = split_rows(rows, most=100).collect()
+    per = {}
+    for r in got:
+        assert per.setdefault(r.component_id, r.split) == r.split
+    sizes = Counter(per.values())
+    assert len(got) == 6000 and abs(sizes["train"] / 3000 - 0.7) < 0.05 and abs(sizes["test"] / 3000 - 0.15) < 0.05
