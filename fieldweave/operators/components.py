@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.shared import settle
+from fieldweave.shared import settle, small
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,8 +14,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     large: only neighbours above u are linked; else those below, and u itself.
     """
     both = edges.select("u", "v") if not large else edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    # written, so that the join below has two sides of its own: broadcast, or with hot nodes split
+    least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    joined = both.join(small(least), "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -23,25 +24,28 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge down, to a node that has none: nothing is left to contract."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("u")
+    chained = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi")
+    return several.union(chained).isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and root (the least node of its component) of every node that ``edges`` (u, v) names.
 
     Direction, repeated edges and self-loops do not matter; rows with a null end are left out. No
-    edges: no rows. Each round is two shuffles on a node's own edges, and its result is written to
-    the shared folder; rounds grow with the logarithm of a component's diameter.
+    edges: no rows. Each round's results are written to the shared folder; rounds grow with the
+    logarithm of a component's diameter.
     """
     kind = edges.schema["u"].dataType
     edges = settle(edges.select("u", "v").dropna())
     loops = edges.filter(F.col("u") == F.col("v")).select(F.col("u").alias("node")).distinct()
     now = settle(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
     for _ in range(most_rounds):
-        now = settle(_stars(_stars(now, True), False))
-        # a fixed point: the edges are stars, so no node is both below one and above another
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == tuple(seen):
+        if _are_stars(now):
             break
-        state = tuple(seen)
+        now = settle(_stars(settle(_stars(now, True)), False))
     else:
         raise RuntimeError(f"components have not settled after {most_rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").cast(kind).alias("root"))

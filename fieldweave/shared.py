@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a table (of a few short columns) that are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +34,8 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/fieldweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its rows, which are counted, are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
