@@ -15,6 +15,11 @@ from fieldweave.llm.queries import documents, small_batches, table
 from fieldweave.llm.split import held_out
 from fieldweave.shared import settle
 
+#: A passage of so many bytes that stands elsewhere too is cut out: some forty words, so that one of
+#: fifty is found in any language.
+REPEATED_BYTES = 250
+#: Words that a worker keeps for packing; the workers serve the other stages too.
+REMEMBERED = 150_000
 #: A document of at least this toxicity goes.
 TOXIC = 0.3
 
@@ -32,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return substring_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return substring_dedup.without_repeats(docs, REPEATED_BYTES).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -26,7 +26,7 @@ CLASSES, UNITS, ENDINGS = 64, 3072, 1024
 #: Most frequent words whose counts go to every task; the others' are joined.
 FREQUENT = 500_000
 #: Words whose hashes a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Added to each word's count; weight of the class frequencies in the transitions; exchange passes.
 ADDED, BACKED, PASSES = 0.5, 5.0, 8
 #: The bits of a word's hash that number its ending.

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes a task remembers; at the limit it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _M1, _M2, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(33)
 

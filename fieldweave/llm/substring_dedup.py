@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm.bwt import repeated_starts
-from fieldweave.llm.jaccard_join import by_group, small
+from fieldweave.llm.jaccard_join import by_group
 from fieldweave.llm.shingles import mixed
-from fieldweave.shared import settle
+from fieldweave.shared import settle, small
 
 #: Bytes of an anchor, at most a quarter of the window.
 ANCHOR = 100
 #: Bytes whose anchors are found at a time; bytes and stretches that a transform takes.
-PIECE, TRANSFORM, GROUP = 1 << 21, 1 << 21, 3000
+PIECE, TRANSFORM, GROUP = 1 << 18, 1 << 20, 2000
 _ODD = 0x9E3779B97F4A7C15
 
 

@@ -48,7 +48,7 @@ _EDGES = string.punctuation + string.whitespace + "“”‘’«»¿¡…–—
 #: Lengths of the beginnings that are features of a longer word.
 BEGINNINGS = (4, 6)
 #: Words a task remembers; at the limit it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def _plain(token: str) -> str:

@@ -48,7 +48,7 @@ def test_each_stage_against_brute_force(spark, folder):
     rows = [(r.doc_id, r.text) for r in kept["toxicity"]]
     assert sorted(r.doc_id for r in kept["near_duplicates"]) == sorted({c for _, c, _ in near_classes(rows)})
     own = kept["near_duplicates"]
-    want = {r.doc_id: b.decode(errors="ignore") for r, (_, b) in zip(own, repeats([r.text for r in own], 400), strict=True)}
+    want = {r.doc_id: b.decode(errors="ignore") for r, (_, b) in zip(own, repeats([r.text for r in own], corpus_pipeline.REPEATED_BYTES), strict=True)}
     assert {r.doc_id: r.text for r in kept["repeated_passages"]} == want and any(len(t) < len(r.text or "") for r, t in zip(own, want.values(), strict=True))
     assert all(r.n_chars == len(r.text) for r in kept["repeated_passages"])
     once = {r.doc_id: r for r in kept["repeated_passages"]}
