@@ -9,7 +9,6 @@ from pathlib import Path
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,11 +42,10 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     from fieldweave.config import MatcherConfig
-    from fieldweave.operators import matching
     from fieldweave.operators.model import ModelBundle
-    from fieldweave.plans import evaluate, prepare, train
-    from fieldweave.sources.pairs import read_fields, read_labelled, split_path
-    from fieldweave.sources.sinks import to_json, write_csv, write_text
+    from fieldweave.plans import evaluate, predict, prepare, train
+    from fieldweave.sources.pairs import read_labelled, split_path
+    from fieldweave.sources.sinks import to_json, write_text
 
     say = lambda value: print(to_json(value), end="")
     if args.command == "prepare":
@@ -74,25 +72,19 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         say(report)
         if args.output:
             write_text(spark, args.output, to_json(report))
-        return 0
-    if args.command == "predict-pairs":
+    elif args.command == "predict-pairs":
         single = args.a is not None and args.b is not None
         if single == bool(args.input and args.output):
             raise ValueError("either --a and --b, or --input and --output")
-        rows = spark.createDataFrame([(args.a, args.b)], "A string, B string") if single else read_fields(spark, args.input, ("A", "B"))
-        found = matching.predict_pairs(bundle, rows)
         if single:
-            say(found.first().asDict())
+            say(predict.predict_pair(spark, bundle, args.a, args.b))
         else:
-            write_csv(found.orderBy("source_row").drop("source_row"), args.output)
-        return 0
-    results, candidates = matching.match_groups(
-        bundle, read_fields(spark, args.source, ("A",)), read_fields(spark, args.target, ("B",)), top_k=args.top_k, review=args.threshold, auto=args.auto_accept_threshold
-    )
-    write_csv(results.orderBy("source_row").drop("source_row"), args.output)
-    if args.save_candidates or args.candidates_output:
-        place = args.candidates_output or str(Path(args.output).with_name(Path(args.output).stem + "_candidates.csv"))
-        write_csv(candidates.orderBy("source_row", F.col("retrieval_rank")).drop("source_row"), place)
+            predict.predict_pairs_csv(spark, bundle, args.input, args.output)
+    else:
+        beside = str(Path(args.output).with_name(Path(args.output).stem + "_candidates.csv")) if args.save_candidates else None
+        predict.match_groups_csv(
+            spark, bundle, args.source, args.target, args.output, candidates_output=args.candidates_output or beside, top_k=args.top_k, review=args.threshold, auto=args.auto_accept_threshold
+        )
     return 0
 
 

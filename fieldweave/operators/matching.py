@@ -19,14 +19,15 @@ from fieldweave.shared import settle
 _NO, _DIRECT, _DERIVED = (text.LABEL_NUMBERS[x] for x in ("NO_MATCH", "DIRECT", "DERIVATION"))
 
 
-def encode_names(names: DataFrame, bundle: ModelBundle, column: str = "name") -> DataFrame:
+def encode_names(names: DataFrame, bundle: ModelBundle, column: str = "name", ids: Column | None = None) -> DataFrame:
     """``names`` (distinct normalized names) with vector: array of float, unit length.
 
     An empty name raises. Characters become numbers on the JVM side, vectors in Arrow batches.
+    ``ids`` gives the numbers (an array of max_length ints) in place of the model's vocabulary.
     """
     length = bundle.config.max_length
     full = F.when(F.col(column) == "", F.raise_error(F.lit("a name is empty after normalization"))).otherwise(F.col(column))
-    ids = vocabulary.encode(full, bundle.tokens, length)
+    ids = vocabulary.encode(full, bundle.tokens, length) if ids is None else ids
     size = bundle.config.inference_batch_size
     model = names.sparkSession.sparkContext.broadcast(bundle)
 

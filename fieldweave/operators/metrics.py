@@ -65,6 +65,10 @@ def classification_metrics(rows: DataFrame, label_map: dict[str, int] | None = N
     }
 
 
+#: Another name that callers know it by.
+pair_classification_metrics = classification_metrics
+
+
 def first_hits(rankings: DataFrame, truth: DataFrame, cutoff: int | None = None) -> DataFrame:
     """source and first_rank (null: none) of every source that has a truth.
 

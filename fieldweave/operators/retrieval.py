@@ -68,3 +68,7 @@ def cosine_top_k(
     survivors = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(best, schema)
     ranked = Window.partitionBy("query_id").orderBy(F.round("similarity", 6).desc(), "candidate_id")
     return survivors.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= top_k)
+
+
+#: Other names that callers know it by.
+chunked_cosine_top_k = top_k_cosine_similarity = cosine_top_k

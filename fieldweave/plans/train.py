@@ -48,9 +48,21 @@ def validate(spark: SparkSession, data_dir: str = "data_split", *, strict: bool
     return splits, report
 
 
+def check_training_pairs(rows: DataFrame) -> None:
+    """Raises unless all names are there, all labels known, and only NO_MATCH rows synthetic."""
+    known = F.coalesce(F.col("label").isin(*text.LABELS), F.lit(False))
+    empty = (F.coalesce("norm_a", F.lit("")) == "") | (F.coalesce("norm_b", F.lit("")) == "")
+    made_up = F.col("synthetic") & (F.col("label") != "NO_MATCH") if "synthetic" in rows.columns else F.lit(False)
+    found = rows.agg(F.count_if(empty).alias("have an empty name"), F.count_if(~known).alias("have an unknown label"), F.count_if(made_up).alias("are synthetic but no NO_MATCH")).first()
+    for what, n in found.asDict().items():
+        if n:
+            raise DataValidationError(f"{n} training pairs {what}")
+
+
 def encoded_pairs(rows: DataFrame, tokens: list[str], config: MatcherConfig, most: int = TRAINING_PAIRS) -> Pairs:
     """At most ``most`` pairs as numbers, in an order that does not depend on the partitions."""
     named = rows if {"norm_a", "norm_b"} <= set(rows.columns) else text.with_normalized(rows, {"A": "norm_a", "B": "norm_b"})
+    check_training_pairs(named)
     weight = F.when(F.col("synthetic"), F.lit(float(config.synthetic_negative_weight))).otherwise(F.lit(1.0)) if "synthetic" in named.columns else F.lit(1.0)
     number = F.create_map(*[F.lit(x) for kv in text.LABEL_NUMBERS.items() for x in kv])[F.col("label")]
     ids = {side: vocabulary.encode(F.col(f"norm_{side}"), tokens, config.max_length).alias(side) for side in ("a", "b")}

@@ -151,3 +151,28 @@ def test_the_whole_chain(spark, tmp_path, monkeypatch):
     assert not (tmp_path / "none").exists()
     with pytest.raises(DataValidationError):
         read_labelled(spark, write(tmp_path / "e.csv", []), "empty")
+
+
+def test_an_empty_split_is_reported(spark):
+    rows = check_pairs(spark.createDataFrame([], "A string, B string, label string, source_row long"), "split", allow_empty=True)
+    report = evaluate(random_bundle(TOKENS, SMALL), rows)
+    assert report["retrieval"]["evaluated_sources"] == 0 and report["retrieval"]["recall_at_1"] == 0.0 and "empty" in report["end_to_end"]["warning"]
+    assert report["end_to_end"]["overall_end_to_end_accuracy"] is None and report["pair_classification"]["accuracy"] == 0.0
+
+
+def test_training_pairs_are_checked(spark):
+    from fieldweave.plans.train import encoded_pairs
+
+    for row, why in ((("a", "b", "X", False), "unknown label"), (("_", "b", "DIRECT", False), "empty name"), (("a", "b", "DIRECT", True), "synthetic")):
+        with pytest.raises(DataValidationError, match=why):
+            encoded_pairs(spark.createDataFrame([row], "A string, B string, label string, synthetic boolean"), TOKENS, SMALL)
+    pairs = encoded_pairs(spark.createDataFrame([("a", "b", "NO_MATCH", True), ("a", "c", "DIRECT", False)], "A string, B string, label string, synthetic boolean"), TOKENS, MatcherConfig(synthetic_negative_weight=0.25))
+    assert sorted(zip(pairs.label.tolist(), pairs.weight.tolist(), strict=True)) == [(0, 0.25), (1, 1.0)]
+
+
+def test_public_names():
+    import fieldweave
+
+    assert all(getattr(fieldweave, name) is not None for name in fieldweave.__all__) and set(fieldweave.__all__) <= set(dir(fieldweave))
+    with pytest.raises(AttributeError):
+        fieldweave.nothing  # noqa: B018
