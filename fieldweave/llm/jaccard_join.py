@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 
 from fieldweave.llm.shingles import Words, mixed, shingle_hashes
 from fieldweave.operators.components import components
-from fieldweave.shared import settle
+from fieldweave.shared import settle, small
 
-#: Most rows that are broadcast to select documents; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Nodes in a block of a bucket and in a block of a group.
 BUCKET_BLOCK, GROUP_BLOCK = 512, 256
 #: Under the threshold by so much, the share of equal MinHash values still counts as near: over five
@@ -88,11 +86,6 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def row_key() -> Column:
     """Rows of equal id and text share it."""
     return F.xxhash64("doc_id", "text")
@@ -293,9 +286,11 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     classes = near_classes(docs, **how)
     # rows without links are classes of their own, so only the others are ranked
-    grouped = classes.filter(F.col("n_links") > 0).select("key", "doc_id", "class_id").withColumn("__class", F.coalesce(F.col("class_id").cast("string"), F.lit("")))
+    grouped = classes.filter(F.col("n_links") > 0).select("key", "doc_id", F.coalesce(F.col("class_id").cast("string"), F.lit("")).alias("__class"))
+    grouped = settle(grouped)
     best = grouped.groupBy("__class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
-    gone = grouped.join(best.select("__class", F.col("best.key").alias("kept")), "__class").filter(F.col("key") != F.col("kept")).select("key").distinct()
+    best = small(settle(best.select("__class", F.col("best.key").alias("kept"))))
+    gone = grouped.join(best, "__class").filter(F.col("key") != F.col("kept")).select("key").distinct()
     kept_twice = grouped.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("key")
     gone = gone.withColumn("all", F.lit(True)).unionByName(kept_twice.withColumn("all", F.lit(False)))
     gone = settle(gone.groupBy("key").agg(F.max("all").alias("all")))
