@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm.shingles import Words, shingle_hashes
+from fieldweave.llm.split import cuts_below
 
 #: Hashes kept in a sketch and their bits: 128 give a standard error of at most 0.045.
 K, BITS = 128, 48
@@ -85,8 +86,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ids = docs.select("doc_id")
     cuts = sorted({int(x) for x in ids.dropna().approxQuantile("doc_id", [i / slices for i in range(1, slices)], 0.1 / slices)}) if slices > 1 else []
     at = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    # the number of cuts not above the id
-    cut = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= at)) if cuts else F.lit(0)
+    cut = cuts_below(at, cuts)
     heads = sorted((r["slice"], r["first"]) for r in ids.groupBy(cut.alias("slice")).agg(F.min(at).alias("first")).collect())  # a row per slice
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(cut.cast("int").alias("slice"), F.lit(0).alias("guest"), at.alias("at"), F.xxhash64("text").alias("tie"), "doc_id", "text")
     if heads:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.llm.hilbert import hilbert_keys
+from fieldweave.llm.split import cuts_below
 from fieldweave.shared import settle
 
 #: Orderings, dimensions of a projection and bits of each, vectors on either side in a window.
@@ -166,16 +167,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, vector_id: str
     # blocks are cut at quantiles of the first ordering; many rows at one place are dealt by a hash
     blocks = max(1, -(-rows // BLOCK))
     cuts = sorted(set(placed.approxQuantile("place", [i / blocks for i in range(1, blocks)], 0.2 / blocks))) if blocks > 1 else []
-    cut = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("place"))) if cuts else F.lit(0)
-    placed = placed.withColumn("block", cut.cast("int"))
-    full = {r["block"]: r["count"] for r in placed.groupBy("block").count().collect()}
-    splits = [-(-full.get(b, 0) // (2 * BLOCK)) for b in range(max(full) + 1)]
-    placed = placed.withColumn("block", F.col("block") * 100_000 + F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.element_at(F.array(*[F.lit(s) for s in splits]), F.col("block") + 1))).cast("int"))
+    placed = settle(placed.withColumn("block", cuts_below(F.col("place"), [int(c) for c in cuts]).cast("long")))
+    parts = {r["block"]: -(-r["count"] // (2 * BLOCK)) for r in placed.groupBy("block").count().collect()}  # a row a block
+    splits = placed.sparkSession.createDataFrame(sorted(parts.items()), "block long, parts long")
+    placed = placed.join(F.broadcast(splits), "block").withColumn("block", F.col("block") * 100_000 + F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
     asking = placed.filter("is_query")
     q_blocks = max(1, -(-asking.count() // QUERY_BLOCK))
-    names = [b * 100_000 + i for b, s in enumerate(splits) for i in range(max(1, s))]
+    names = [b * 100_000 + i for b, n in sorted(parts.items()) for i in range(n)]
     asking = asking.select(F.col("id").alias("query_id"), F.col("v").alias("query")).join(least, "query_id", "left")
-    asking = asking.select("query_id", "query", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(q_blocks)).cast("int").alias("q"), F.explode(F.array(*[F.lit(n) for n in names])).alias("block"))
+    asking = asking.select("query_id", "query", F.coalesce("least", F.lit(float("-inf"))).alias("least"), F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(q_blocks)).cast("int").alias("q"), F.explode(F.array(*[F.lit(n).cast("long") for n in names])).alias("block"))
     offered = placed.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"))
 
     def widened(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

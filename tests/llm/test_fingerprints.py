@@ -48,3 +48,15 @@ def test_odd_rows(spark):
     got = neighbour_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 5 and len({r.fingerprint for r in got if r.n_chars == 7}) == 1
     assert fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).count() == 5
+
+
+def test_cuts(spark):
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    from fieldweave.llm.split import cuts_below
+
+    for cuts in ([], [5], [1, 4, 9], list(range(3, 700, 7))):
+        got = spark.range(-5, 720).select("id", cuts_below(F.col("id"), cuts).alias("n")).collect()
+        assert all(r.n == bisect.bisect_right(cuts, r.id) for r in got)
