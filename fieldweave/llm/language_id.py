@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hashed n-grams, centroids a language, most training rows a language and most languages learnt.
-BUCKETS, CENTROIDS, PER_LANGUAGE, LANGUAGES = 4096, 4, 400, 200
+BUCKETS, CENTROIDS, PER_LANGUAGE, LANGUAGES = 4096, 4, 800, 200
 #: A text is rejected under this quantile of the training cosines, times this factor.
 QUANTILE, FACTOR = 0.005, 0.6
 
@@ -68,11 +68,10 @@ class Model:
 
 
 def _centroids(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means, begun at the mean and then at the row farthest from those so far."""
-    c = [v.mean(axis=0)]
-    while len(c) < min(k, len(v)):
-        c.append(v[np.argmin(np.max(v @ np.array(c).T, axis=1))])
-    c = np.array(c)
+    """Spherical k-means, begun at rows evenly spaced by their cosine to the mean, so at no outlier."""
+    k = min(k, len(v))
+    order = np.argsort(v @ v.mean(axis=0), kind="stable")
+    c = v[order[((np.arange(k) + 0.5) * len(v) / k).astype(int)]]
     for _ in range(rounds):
         own = np.argmax(v @ c.T, axis=1)
         c = np.array([v[own == i].mean(axis=0) if (own == i).any() else c[i] for i in range(len(c))])
