@@ -235,14 +235,15 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:
-    """One row per row of ``docs``: key, doc_id, class_id, n_links.
+    """One row per row of ``docs``: key, doc_id, component, class_id, n_links.
 
     Two documents are linked if the Jaccard similarity of their sets of n-word shingles is at least
     ``threshold``; class_id is the least doc_id of all that links join (through others too), n_links
     the number of other rows linked with this one directly, copies included. Texts of fewer than n
     words are one shingle; those without a word (null, empty) link to nothing and are their own
     class, with class_id = doc_id. Null ids: a class of them alone has class_id null. Repeated rows
-    are rows. Other columns are not read. Found pairs are exact; a link between texts that share no
+    are rows. component is the class itself, whatever its ids: the least node of it (null without a
+    word); classes of null ids, or that share their least id, differ in it. Other columns are not read. Found pairs are exact; a link between texts that share no
     bucket, nor a group through others, is missed with probability 1 - ``recall`` at most.
     """
     bands, rows = bands_for(threshold, recall)
@@ -273,10 +274,10 @@ def near_classes(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall:
     first = every.groupBy("class").agg(F.min("first").alias("class_id"), F.count("*").alias("texts"))
     # only nodes of several documents or in a class of several texts tell more than the row itself does
     told = every.join(first, "class").filter((F.col("copies") > 1) | (F.col("texts") > 1))
-    told = settle(told.select("node", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    told = settle(told.select("node", "class", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
     told = small(told)
     # class_id is null in a told row only if all ids of its class are
-    return signed.select("key", "doc_id", "node").join(told, "node", "left").select("key", "doc_id", F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return signed.select("key", "doc_id", "node").join(told, "node", "left").select("key", "doc_id", F.coalesce("class", "node").alias("component"), F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -286,11 +287,11 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """
     classes = near_classes(docs, **how)
     # rows without links are classes of their own, so only the others are ranked
-    grouped = classes.filter(F.col("n_links") > 0).select("key", "doc_id", F.coalesce(F.col("class_id").cast("string"), F.lit("")).alias("__class"))
+    grouped = classes.filter(F.col("n_links") > 0).select("key", "doc_id", "component")
     grouped = settle(grouped)
-    best = grouped.groupBy("__class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
-    best = small(settle(best.select("__class", F.col("best.key").alias("kept"))))
-    gone = grouped.join(best, "__class").filter(F.col("key") != F.col("kept")).select("key").distinct()
+    best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
+    best = small(settle(best.select("component", F.col("best.key").alias("kept"))))
+    gone = grouped.join(best, "component").filter(F.col("key") != F.col("kept")).select("key").distinct()
     kept_twice = grouped.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("key")
     gone = gone.withColumn("all", F.lit(True)).unionByName(kept_twice.withColumn("all", F.lit(False)))
     gone = settle(gone.groupBy("key").agg(F.max("all").alias("all")))

@@ -52,6 +52,16 @@ def test_one_of_each_class_stays(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted({c for _, c, _ in brute_force(rows)})
 
 
+def test_classes_of_null_ids_and_of_one_id_stay_apart(spark):
+    words = lambda a: " ".join(f"{a}{k}" for k in range(40))
+    rows = [(None, words("a")), (None, words("a") + " more"), (None, words("b")), (None, words("b") + " more"), (None, words("b"))]
+    rows += [(7, words("c")), (8, words("c") + " more"), (7, words("d")), (9, words("d") + " more"), (7, words("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = keep_one(df).collect()
+    assert sorted(r.text[0] for r in got) == ["a", "b", "c", "d", "e"]
+    assert sorted(r.doc_id for r in got if r.text[0] > "b") == [7, 7, 7]
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_classes(df).count() == 0 and keep_one(df).count() == 0
