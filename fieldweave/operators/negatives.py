@@ -33,10 +33,14 @@ def contains_no_match(rows: DataFrame) -> bool:
 
 
 def target_classes(rows: DataFrame) -> DataFrame:
-    """target (normalized B), spelling (of its first row) and number (1 ..) of every distinct target."""
+    """target (normalized B), spelling (of its first row) and number (1 ..) of every distinct target.
+
+    Numbers follow a hash of the target, so that targets alike in spelling do not stand together.
+    """
     first = rows.filter(F.col("norm_b") != "").groupBy(F.col("norm_b").alias("target")).agg(F.min_by("B", "source_row").alias("spelling"))
     # numbers by range partitions, so that no task sees all targets
-    placed = settle(first.repartitionByRange("target").sortWithinPartitions("target").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    shuffled = first.withColumn("place", F.xxhash64(F.lit("place"), "target"))
+    placed = settle(shuffled.repartitionByRange("place", "target").sortWithinPartitions("place", "target").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     offsets, seen = [], 1
     for part, n in sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()):
         offsets.append((part, seen))
@@ -50,7 +54,9 @@ def eligible_targets(rows: DataFrame, config: NegativeConfig) -> DataFrame:
 
     Eligible is every target but the source's own known positives and the source's own name. Each
     positive draws distinct numbers of targets by hash, about twice as many as fill its sample after
-    the excluded ones are gone; only drawn numbers are joined, so positives never meet all targets. The sample holds pool + random_per_positive targets at most.
+    the excluded ones are gone; only drawn numbers are joined, so positives never meet all targets.
+    Where that leaves a sample short, it is drawn again with as many numbers as always fill it. The
+    sample holds pool + random_per_positive targets; fewer only where fewer are eligible.
     """
     targets = settle(target_classes(rows))
     count = targets.count()
@@ -63,24 +69,34 @@ def eligible_targets(rows: DataFrame, config: NegativeConfig) -> DataFrame:
     total = F.lit(max(count, 1)).cast("long")
     # twice what fills the sample on average; wanted + n + 1 always fills it
     often = F.ceil(2 * wanted * total / F.greatest(total - F.col("n"), F.lit(1))) + 20
-    draws = F.least(total, F.lit(wanted).cast("long") + F.col("n") + 1, often)
+    enough = F.least(total, F.lit(wanted).cast("long") + F.col("n") + 1)
     start = F.pmod(F.xxhash64(F.lit(config.seed), "source_row", "norm_a"), total)
     stride = F.element_at(F.array(*[F.lit(s).cast("long") for s in _strides(max(count, 1))]), (F.pmod(F.xxhash64("norm_a", F.lit(config.seed), "source_row"), F.lit(len(_strides(max(count, 1))))) + 1).cast("int"))
-    drawn = asked.withColumn("start", start).withColumn("stride", stride).select("source_row", "A", "norm_a", F.posexplode(F.sequence(F.lit(0).cast("long"), draws - 1)).alias("draw", "k"), "start", "stride")
-    drawn = drawn.withColumn("number", F.pmod(F.col("start") + F.col("k") * F.col("stride"), total) + 1)
-    met = drawn.join(targets, "number").join(known.withColumn("known", F.lit(True)), ["norm_a", "target"], "left")
-    met = met.filter(F.col("known").isNull() & (F.col("target") != F.col("norm_a")))
-    order = Window.partitionBy("source_row").orderBy("draw")
-    kept = met.withColumn("draw", F.row_number().over(order)).filter(F.col("draw") <= wanted)
-    return kept.select("source_row", "A", "norm_a", F.col("target").alias("candidate"), "spelling", "draw")
+    asked = settle(asked.select("source_row", "A", "norm_a", F.least(enough, often).cast("long").alias("draws"), enough.alias("enough"), start.alias("start"), stride.alias("stride")))
+
+    def sampled(asked: DataFrame, draws: str) -> DataFrame:
+        drawn = asked.select("source_row", "A", "norm_a", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col(draws) - 1)).alias("draw", "k"), "start", "stride")
+        drawn = drawn.withColumn("number", F.pmod(F.col("start") + F.col("k") * F.col("stride"), total) + 1)
+        met = drawn.join(targets, "number").join(known.withColumn("known", F.lit(True)), ["norm_a", "target"], "left")
+        met = met.filter(F.col("known").isNull() & (F.col("target") != F.col("norm_a")))
+        order = Window.partitionBy("source_row").orderBy("draw")
+        kept = met.withColumn("draw", F.row_number().over(order)).filter(F.col("draw") <= wanted)
+        return settle(kept.select("source_row", "A", "norm_a", F.col("target").alias("candidate"), "spelling", "draw"))
+
+    sample = sampled(asked, "draws")
+    full = sample.filter(F.col("draw") == wanted).select("source_row")
+    short = settle(asked.filter(F.col("draws") < F.col("enough")).join(full, "source_row", "left_anti"))
+    if short.isEmpty():
+        return sample
+    return sample.join(short.select("source_row"), "source_row", "left_anti").unionByName(sampled(short, "enough"))
 
 
 def _strides(n: int) -> list[int]:
-    """Some strides that visit each of n places once."""
+    """Some strides that visit each of n places once; none goes to the next place, if n has others."""
     from math import gcd
 
-    out = [s for k in range(64) if gcd(s := (k * 2654435761 + 1) % n or 1, n) == 1]
-    return out or [1]
+    found = [s for k in range(64) if gcd(s := (k * 2654435761 + 1) % n or 1, n) == 1]
+    return [s for s in found if s != 1] or [1]
 
 
 def synthetic_negatives(rows: DataFrame, config: NegativeConfig = NegativeConfig()) -> DataFrame:

@@ -1,11 +1,12 @@
 from collections import Counter
+from math import gcd
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldweave.functions import text
 from fieldweave.operators import vocabulary
-from fieldweave.operators.negatives import NegativeConfig, augmented, contains_no_match, synthetic_negatives
+from fieldweave.operators.negatives import NegativeConfig, _strides, augmented, contains_no_match, eligible_targets, synthetic_negatives
 
 
 def rows(spark, pairs):
@@ -27,6 +28,23 @@ def test_counts_exclusions_and_seed(spark):
     assert sorted(map(tuple, synthetic_negatives(df, NegativeConfig(2, 3, 10, seed=7)).collect())) != sorted(map(tuple, made))
 
 
+@pytest.mark.parametrize("often", ["few", "many"])
+def test_every_sample_is_full_beside_a_hot_source(spark, often):
+    # the hot source knows a contiguous half of the sorted targets
+    many = 600 if often == "many" else 60
+    pairs = [("hot", f"t{k:05d}", "DIRECT") for k in range(many // 2)] + [(f"s{k}", f"t{k:05d}", "DIRECT") for k in range(many // 2, many)]
+    sample = eligible_targets(rows(spark, pairs), NegativeConfig(pool=9)).collect()
+    known = {(a, b) for a, b, _ in pairs}
+    assert Counter(Counter(r.source_row for r in sample).values()) == {10: many}
+    assert all((r.norm_a, r.candidate) not in known for r in sample)
+    assert all(sorted(r.draw for r in sample if r.source_row == k) == list(range(1, 11)) for k in range(5))
+
+
+def test_strides_leave_out_the_next_place():
+    assert all(1 not in _strides(n) and all(gcd(s, n) == 1 for s in _strides(n)) for n in (10_000, 100_000, 99_991))
+    assert _strides(1) == [1]
+
+
 def test_few_targets_repeat_and_none_give_none(spark):
     made = synthetic_negatives(rows(spark, [("a", "x", "DIRECT"), ("b", "y", "DERIVATION")]), NegativeConfig(2, 2, 5)).collect()
     assert {(r.A, r.B) for r in made} == {("a", "y"), ("b", "x")} and len(made) == 8
