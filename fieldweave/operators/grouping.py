@@ -13,8 +13,6 @@ from fieldweave.operators.components import components
 from fieldweave.shared import settle
 
 SPLITS = ("train", "validation", "test")
-#: Most components that the driver assigns one by one.
-MOST_REPLAYED = 200_000
 
 
 def with_components(clean: DataFrame) -> DataFrame:
@@ -154,26 +152,36 @@ def assign_shares(profiles: list[tuple[int, ...]], ratios: Sequence[float], step
     return shares
 
 
-def split_rows(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42, most: int = MOST_REPLAYED) -> DataFrame:
+def split_rows(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42, most: int | None = None) -> DataFrame:
     """``rows`` (with component_id) with split: train, validation or test, whole components each.
 
-    Up to ``most`` components are assigned one by one on the driver (a small row each). Beyond, the
-    driver sees only the profiles (rows and label counts) and how many components have each; a
-    component's place in its profile's shares is then a hash of its number.
+    The components are assigned one by one on the driver (a small row each), however many they are.
+    Only a caller that names ``most`` gets another rule beyond so many: the driver then sees only the
+    profiles (rows and label counts) and how many components have each, and the places within a
+    profile are dealt by rank under a hash, so that each split gets exactly its share.
     """
     spark = rows.sparkSession
     table = settle(rows.groupBy("component_id").agg(F.count("*").alias("rows"), *[F.count_if(F.col("label") == x).alias(x) for x in text.LABELS]))
-    if table.count() <= most:
+    if most is None or table.count() <= most:
         parts = [tuple(r) for r in table.orderBy("component_id").collect()]
         chosen = [(c, SPLITS[i]) for c, i in assign_splits(parts, ratios, seed).items()]
         return rows.join(spark.createDataFrame(chosen, "component_id long, split string"), "component_id")
     keys = ["rows", *text.LABELS]
     profiles = [(r["n"], *(r[k] for k in keys)) for r in table.groupBy(*keys).agg(F.count("*").alias("n")).collect()]
-    shares = [(*p, s[0], s[0] + s[1]) for p, s in assign_shares(profiles, ratios).items()]
-    told = spark.createDataFrame(shares, ", ".join(f"{k} long" for k in keys) + ", first double, second double")
-    u = F.pmod(F.xxhash64(F.lit(seed), "component_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    split = F.when(u < F.col("first"), SPLITS[0]).when(u < F.col("second"), SPLITS[1]).otherwise(SPLITS[2])
-    return rows.join(table.join(F.broadcast(told), keys).select("component_id", split.alias("split")), "component_id")
+    number, shares = {p[1:]: p[0] for p in profiles}, assign_shares(profiles, ratios)
+    # ranks by range partitions: the places of each profile within one, and how many stand before
+    order = [*keys, F.xxhash64(F.lit(seed), "component_id"), "component_id"]
+    placed = settle(table.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    told, seen = [], dict.fromkeys(number, 0)
+    for r in sorted(placed.groupBy("part", *keys).agg(F.min("at").alias("low"), F.count("*").alias("n")).collect(), key=lambda r: r["part"]):
+        profile = tuple(r[k] for k in keys)
+        first, second = (round(sum(shares[profile][:k]) * number[profile]) for k in (1, 2))
+        told.append((r["part"], *profile, seen[profile] - r["low"], first, second))
+        seen[profile] += r["n"]
+    told = spark.createDataFrame(told, "part int, " + ", ".join(f"{k} long" for k in (*keys, "before", "first", "second")))
+    rank = F.col("before") + F.col("at")
+    split = F.when(rank < F.col("first"), SPLITS[0]).when(rank < F.col("second"), SPLITS[1]).otherwise(SPLITS[2])
+    return rows.join(placed.join(F.broadcast(told), ["part", *keys]).select("component_id", split.alias("split")), "component_id")
 
 
 def shared_values(values: DataFrame, most: int = 20) -> DataFrame:

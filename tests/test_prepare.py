@@ -110,6 +110,25 @@ def test_assignment_fills_each_split_and_is_seeded():
     assert sizes[2] == 0 and abs(sizes[0] - 80) <= 2
 
 
+def test_the_walk_at_every_number_of_components(spark):
+    from fieldweave.operators.grouping import split_rows
+
+    many = 200_001
+    got = split_rows(spark.range(many).selectExpr("id AS component_id", "'DIRECT' AS label")).toPandas()
+    chosen = assign_splits([(k, 1, 1, 0, 0) for k in range(many)], (0.7, 0.15, 0.15), 42)
+    assert dict(zip(got["component_id"], got["split"], strict=True)) == {k: ("train", "validation", "test")[i] for k, i in chosen.items()}
+
+
+def test_shares_are_dealt_exactly(spark):
+    from fieldweave.operators.grouping import split_rows
+
+    # ten large components of one profile beside many small ones
+    rows = spark.range(10).selectExpr("id AS component_id", "explode(sequence(1, 50)) AS n").union(spark.range(10, 210).selectExpr("id", "1")).selectExpr("component_id", "'DIRECT' AS label")
+    got = split_rows(rows, (0.5, 0.3, 0.2), most=100).distinct().collect()
+    assert Counter(r.split for r in got if r.component_id < 10) == {"train": 5, "validation": 3, "test": 2}
+    assert len(got) == 210
+
+
 def test_shares_of_many_components(spark):
     from fieldweave.operators.grouping import assign_shares, split_rows
 
