@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hashed n-grams, centroids a language, most training rows a language and most languages learnt.
-BUCKETS, CENTROIDS, PER_LANGUAGE, LANGUAGES = 4096, 4, 800, 200
+from fieldweave.shared import settle, small
+
+#: Hashed n-grams, centroids a language and most training rows a language.
+BUCKETS, CENTROIDS, PER_LANGUAGE = 4096, 4, 800
 #: A text is rejected under this quantile of the training cosines, times this factor.
 QUANTILE, FACTOR = 0.005, 0.6
 
@@ -80,20 +82,22 @@ def _centroids(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(docs: DataFrame, train: Column, *, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
-    """Learns from the rows where ``train`` holds and text and lang are not null.
+    """Learns from the rows where ``train`` holds, text has a letter and lang is not null.
 
-    Bounded: at most ``per_language`` rows of each language, lowest hash of the id first, and the
-    ``LANGUAGES`` most frequent languages. The rows' counts, not their texts, come to the driver.
+    Every language is learnt, from at most ``per_language`` of its rows: those of lowest hash of id
+    and text, where rows equal in both count once. Each language's rows meet in one task, which gives
+    its centroids; the driver sees only those.
     """
-    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES)
+    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("__row"))
     # a hash in [0, 1): rows far above the few lowest of their language never reach the window
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    few = rows.select("lang", "doc_id", drawn.alias("__drawn")).join(F.broadcast(top), "lang").filter(F.col("__drawn") * F.col("count") < 4 * per_language)
-    ranked = Window.partitionBy("lang").orderBy("__drawn", "doc_id")
-    picked = few.select("lang", "doc_id", "__drawn").distinct().withColumn("__n", F.row_number().over(ranked)).filter(F.col("__n") <= per_language)
-    picked = picked.select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"))
-    sample = rows.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "text")
+    drawn = F.pmod(F.xxhash64("__row", F.lit(1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    each = settle(rows.select("lang", "__row").distinct().withColumn("__drawn", drawn))
+    sizes = small(settle(each.groupBy("lang").agg(F.count("*").alias("count"), F.min("__drawn").alias("least"))))
+    few = each.join(sizes, "lang").filter((F.col("__drawn") * F.col("count") < 4 * per_language) | (F.col("__drawn") == F.col("least")))
+    ranked = Window.partitionBy("lang").orderBy("__drawn", "__row")
+    picked = few.withColumn("__n", F.row_number().over(ranked)).filter(F.col("__n") <= per_language).select("lang", "__row")
+    sample = rows.join(small(settle(picked)), ["lang", "__row"]).groupBy("lang", "__row").agg(F.first("text").alias("text")).select("lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,21 +106,28 @@ def fit(docs: DataFrame, train: Column, *, per_language: int = PER_LANGUAGE, cen
             cells = [np.flatnonzero(f) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in own], pa.string()), pa.array(cells, pa.list_(pa.int32())), pa.array([f[c] for f, c in zip(found, cells, strict=True)], pa.list_(pa.float32()))], names=["lang", "cell", "n"])
 
-    table = sample.mapInArrow(features, "lang string, cell array<int>, n array<float>").toPandas()
-    table = table.assign(__key=[tuple(c) for c in table["cell"]]).sort_values(["lang", "__key"])
-    languages = sorted(table["lang"].unique())
-    found = np.zeros((len(table), BUCKETS), dtype=np.float32)
-    for row, (cell, n) in enumerate(zip(table["cell"], table["n"], strict=True)):
-        found[row, np.asarray(cell, dtype=np.int64)] = np.asarray(n, dtype=np.float32)
-    idf = np.log((1 + len(found)) / (1 + (found > 0).sum(axis=0))).astype(np.float32) + 0.1
-    model = Model(languages, idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
-    if not languages:
+    table = settle(sample.mapInArrow(features, "lang string, cell array<int>, n array<float>"))
+    seen = np.zeros(BUCKETS)
+    for r in table.select(F.explode("cell").alias("cell")).groupBy("cell").agg(F.count("*").alias("rows")).collect():
+        seen[r["cell"]] = r["rows"]
+    idf = np.log((1 + table.count()) / (1 + seen)).astype(np.float32) + np.float32(0.1)
+    model = Model([], idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
+
+    def learnt(group: pa.Table) -> pa.Table:
+        own = sorted(zip(group.column("cell").to_pylist(), group.column("n").to_pylist(), strict=True))
+        found = np.zeros((len(own), BUCKETS), dtype=np.float32)
+        for row, (cell, n) in enumerate(own):
+            found[row, cell] = n
+        v = model.vectors(found)
+        c = _centroids(v, centroids)
+        least = FACTOR * np.quantile((v @ c.T).max(axis=1), QUANTILE)
+        return pa.table({"lang": group.column("lang")[:1].combine_chunks(), "centroids": pa.array([c.astype(np.float32).tobytes()], pa.binary()), "least": pa.array([least], pa.float64())})
+
+    told = sorted(table.groupBy("lang").applyInArrow(learnt, "lang string, centroids binary, least double").collect(), key=lambda r: r["lang"])
+    if not told:
         return model
-    v, lang = model.vectors(found), table["lang"].to_numpy()
-    own = [_centroids(v[lang == x], centroids) for x in languages]
-    model.least = np.array([FACTOR * np.quantile((v[lang == x] @ c.T).max(axis=1), QUANTILE) for x, c in zip(languages, own, strict=True)])
-    model.centroids, model.owner = np.concatenate(own).astype(np.float32), np.repeat(np.arange(len(own)), [len(c) for c in own])
-    return model
+    own = [np.frombuffer(r["centroids"], dtype=np.float32).reshape(-1, BUCKETS) for r in told]
+    return Model([r["lang"] for r in told], idf, np.concatenate(own), np.repeat(np.arange(len(own)), [len(c) for c in own]), np.array([r["least"] for r in told]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

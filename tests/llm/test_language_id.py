@@ -38,5 +38,18 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in predict(df, fit(empty, F.lit(True))).collect()} == {"und"}
 
 
+def test_every_language_is_learnt_whatever_its_ids(spark):
+    # more languages than 200, each of one word, beside one of many rows that all have one id
+    names = [chr(0x4E00 + 7 * k) * 3 for k in range(230)]
+    rare = [(k, f"{w} {w}", f"l{k:03d}", "x") for k, w in enumerate(names)]
+    shared = [(None if k % 2 else 5, f"ba lo mi {k}", "shared", "x") for k in range(60)] * 2
+    df = spark.createDataFrame([*rare, *shared], "doc_id long, text string, lang string, score string")
+    model = fit(df, F.lit(True), per_language=3)
+    assert model.languages == sorted({*(f"l{k:03d}" for k in range(230)), "shared"})
+    assert max(np.bincount(model.owner)) <= 3  # a centroid stands for one row at least
+    got = predict(df.filter("lang <> 'shared'"), model).collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+
+
 def test_letters():
     assert has_letter("1é") and not has_letter("12 _") and not has_letter(None)
