@@ -122,13 +122,13 @@ def q10b_format_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return negatives.synthetic_negatives(_clean(spark, sf_dir), negatives.NegativeConfig(pool=10))
+    return negatives.synthetic_negatives(_clean(spark, sf_dir), negatives.NegativeConfig())
 
 
 def q11b_negative_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per kind: rows that are no valid negative (none) and positives that got another number than asked."""
     clean = _clean(spark, sf_dir)
-    made = text.with_normalized(negatives.synthetic_negatives(clean, negatives.NegativeConfig(pool=10)), {"A": "norm_a", "B": "norm_b"})
+    made = text.with_normalized(negatives.synthetic_negatives(clean, negatives.NegativeConfig()), {"A": "norm_a", "B": "norm_b"})
     positive = clean.filter(F.col("label").isin(*text.POSITIVE))
     wrong = made.join(positive.select("norm_a", "norm_b").distinct().withColumn("known", F.lit(1)), ["norm_a", "norm_b"], "left")
     bad = wrong.groupBy("negative_type").agg(F.count_if(F.col("known").isNotNull() | (F.col("norm_a") == F.col("norm_b")) | (F.col("label") != "NO_MATCH")).alias("violations"), F.count("*").alias("rows"))
@@ -285,7 +285,7 @@ def q25_pair_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q26_hard_negative_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = negatives.eligible_targets(_clean(spark, sf_dir), negatives.NegativeConfig(pool=10))
+    sample = negatives.eligible_targets(_clean(spark, sf_dir), negatives.NegativeConfig())
     ranked = sample.withColumn("ratio", text.sequence_ratio_junk("norm_a", "candidate"))
     order = Window.partitionBy("source_row").orderBy(F.col("ratio").desc(), "candidate")
     return ranked.select("source_row", "candidate", F.round("ratio", 6).alias("ratio"), F.row_number().over(order).cast("long").alias("place"))

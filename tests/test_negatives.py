@@ -4,6 +4,7 @@ from math import gcd
 import pytest
 from pyspark.sql import functions as F
 
+from fieldweave import queries
 from fieldweave.functions import text
 from fieldweave.operators import vocabulary
 from fieldweave.operators.negatives import NegativeConfig, _strides, augmented, contains_no_match, eligible_targets, synthetic_negatives
@@ -59,6 +60,12 @@ def test_only_data_without_no_match_is_augmented(spark):
     assert made and Counter(r.negative_type for r in more.collect()) == {"human": 2, "hard": 2, "random": 2}
 
 
+def test_queries_compare_the_whole_pool(spark, monkeypatch):
+    df = rows(spark, [(f"s{k}", f"t{k}", "DIRECT") for k in range(150)])
+    monkeypatch.setattr(queries, "_clean", lambda spark, sf_dir: df)
+    assert set(Counter(r.source_row for r in queries.q26_hard_negative_rank(spark, "").collect()).values()) == {101}
+
+
 @pytest.mark.parametrize("bad", [{"random_per_positive": -1}, {"pool": 0}, {"seed": True}, {"hard_per_positive": 1.5}])
 def test_bad_settings(bad):
     with pytest.raises(ValueError):
