@@ -56,6 +56,17 @@ def test_each_stage_against_brute_force(spark, folder):
     assert all(c <= 3 for c in copies.values()) and all(once[r.doc_id] == r for r in kept["mixing"])
 
 
+def test_a_passage_of_fifty_one_short_words_goes(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = " ".join(word(2) for _ in range(51))
+    own = [" ".join(word(7) for _ in range(30)) for _ in range(6)]
+    docs = spark.createDataFrame([(k, f"{t} {passage} {t[::-1]}") for k, t in enumerate(own)], "doc_id long, text string")
+    got = [r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").orderBy("doc_id").collect()]
+    assert len(passage) == 152 and sum(passage in t for t in got) <= 1
+    assert all(t.startswith(o[:-3]) and t.endswith(o[::-1][3:]) for t, o in zip(got, own, strict=True))  # next letters may agree by chance
+
+
 def test_the_whole_run(spark, folder):
     got, again = (sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, folder).collect()) for _ in range(2))
     assert got == again and got
