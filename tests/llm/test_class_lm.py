@@ -90,6 +90,12 @@ def test_exchange_raises_the_likelihood():
     assert likelihood(one) > likelihood(start)
 
 
+def test_three_thousand_words_are_clustered_on_their_own(spark):
+    df = spark.createDataFrame([(" ".join(f"w{k}" for k in range(3000)),)] * 2, "text string")
+    model, _ = class_lm.fit(df)
+    assert len(model.units.words) == 3001
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert class_lm.score(df, class_lm.fit(df)).count() == 0
