@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions import text
 from fieldweave.operators.components import components
-from fieldweave.shared import settle
+from fieldweave.shared import numbered, settle
 
 SPLITS = ("train", "validation", "test")
 
@@ -21,17 +20,8 @@ def with_components(clean: DataFrame) -> DataFrame:
     clean = settle(clean)
     roots = components(clean.select(F.col("norm_a").alias("u"), F.col("norm_b").alias("v")))
     rows = settle(clean.join(roots.withColumnRenamed("node", "norm_a"), "norm_a"))
-    firsts = rows.groupBy("root").agg(F.min("source_row").alias("first_row"))
-    # ranks by range partitions: places within each, and the sizes of those before (one row each)
-    placed = settle(firsts.repartitionByRange("first_row").sortWithinPartitions("first_row").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())
-    before, seen = [], 0
-    for part, n in sizes:
-        before.append((part, seen))
-        seen += n
-    offsets = F.broadcast(clean.sparkSession.createDataFrame(before, "part int, before long"))
-    numbered = placed.join(offsets, "part").select("root", (F.col("before") + F.col("at")).alias("component_id"))
-    return rows.join(numbered, "root").drop("root")
+    firsts = settle(rows.groupBy("root").agg(F.min("source_row").alias("first_row")))
+    return rows.join(numbered(firsts, ["first_row"], "component_id").select("root", "component_id"), "root").drop("root")
 
 
 def component_table(rows: DataFrame) -> DataFrame:
@@ -60,128 +50,67 @@ def largest_components(table: DataFrame, n: int = 20) -> DataFrame:
     return table.orderBy(F.col("rows").desc(), "component_id").limit(n)
 
 
-class _Balance:
-    """How far the splits are from their targets, in rows and in labels."""
+#: Components of at least one in so many of all rows are placed one by one.
+HEAD = 1000
 
-    def __init__(self, ratios: Sequence[float], total: int, labels: Sequence[int]):
-        self.ratios, self.total, self.labels = ratios, total, labels
-        self.present = [k for k, n in enumerate(labels) if n]
-        self.rows, self.members = [0, 0, 0], [0, 0, 0]
-        self.by_label = [[0] * len(labels) for _ in range(3)]
 
-    def cost(self, split: int, rows: int, by_label: Sequence[int]) -> float:
-        wanted = self.total * self.ratios[split]
-        out = (rows - wanted) ** 2 / max(wanted, 1.0) / max(self.total, 1)
-        error = 0.0
-        for k in self.present:
-            goal = self.labels[k] * self.ratios[split]
-            error += (by_label[k] - goal) ** 2 / max(goal, 1.0) / self.labels[k]
-        return out + 0.2 * error / max(len(self.present), 1)
+def place_large(parts: list[tuple[int, ...]], totals: Sequence[int], ratios: Sequence[float]) -> tuple[dict[int, int], list[list[float]]]:
+    """Split of each large component (id, count of each label), in the given order; and the needs left.
 
-    def change(self, split: int, part: Sequence[int], sign: int) -> float:
-        now = self.by_label[split]
-        after = [n + sign * m for n, m in zip(now, part[2:], strict=True)]
-        return self.cost(split, self.rows[split] + sign * part[1], after) - self.cost(split, self.rows[split], now)
-
-    def move(self, split: int, part: Sequence[int], sign: int) -> None:
-        self.rows[split] += sign * part[1]
-        self.members[split] += sign
-        self.by_label[split] = [n + sign * m for n, m in zip(self.by_label[split], part[2:], strict=True)]
-
-
-def assign_splits(parts: list[tuple[int, ...]], ratios: Sequence[float], seed: int) -> dict[int, int]:
-    """Split number of each component (id, rows, count of each label), given in id order.
-
-    Largest first, each goes where the balance suffers least; then up to ten passes move single
-    components while that helps. Sequential by nature, so it runs on the driver over one small row a
-    component, never over the pairs.
-    """
-    rng = random.Random(seed)
-    order = list(parts)
-    rng.shuffle(order)
-    order.sort(key=lambda p: -p[1])
-    balance = _Balance(ratios, sum(p[1] for p in parts), [sum(p[2 + k] for p in parts) for k in range(len(text.LABELS))])
-    active = [i for i, r in enumerate(ratios) if r > 0]
-    chosen: dict[int, int] = {}
-    for at, part in enumerate(order):
-        empty = [i for i in active if not balance.members[i]]
-        # as many left as splits still empty: each must get one
-        choices = empty if len(order) >= len(active) and len(order) - at == len(empty) else list(active)
-        rng.shuffle(choices)
-        chosen[part[0]] = min(choices, key=lambda i: balance.change(i, part, 1))
-        balance.move(chosen[part[0]], part, 1)
-    for _ in range(10):
-        moved = False
-        for part in reversed(order):
-            now = chosen[part[0]]
-            if balance.members[now] <= 1:
-                continue
-            best, gain = now, -1e-12
-            for i in active:
-                if i != now and (d := balance.change(now, part, -1) + balance.change(i, part, 1)) < gain:
-                    best, gain = i, d
-            if best != now:
-                balance.move(now, part, -1)
-                balance.move(best, part, 1)
-                chosen[part[0]], moved = best, True
-        if not moved:
-            break
-    return chosen
-
-
-def assign_shares(profiles: list[tuple[int, ...]], ratios: Sequence[float], steps: int = 1000) -> dict[tuple[int, ...], list[float]]:
-    """For very many components: what share of the components of each profile goes to each split.
-
-    profiles: (number of components, rows of one, count of each label in one). The greedy walk of
-    assign_splits, largest first, by portions of at most one in ``steps`` of a profile.
+    A split needs its ratio of each label's rows. A component goes where the needs, as shares of the
+    label's rows, are largest for what it brings (the dot product of the two vectors); equal ones to
+    the split of fewer components, then to the larger ratio.
     """
-    order = sorted(profiles, key=lambda p: (-p[1], p))
-    balance = _Balance(ratios, sum(p[0] * p[1] for p in order), [sum(p[0] * p[2 + k] for p in order) for k in range(len(text.LABELS))])
+    need = [[r * n for n in totals] for r in ratios]
+    members = [0] * len(ratios)
     active = [i for i, r in enumerate(ratios) if r > 0]
-    shares = {}
-    for profile in order:
-        got, left = [0, 0, 0], profile[0]
-        while left:
-            n = min(left, max(1, profile[0] // steps))
-            part = (0, *(n * x for x in profile[1:]))
-            best = min(active, key=lambda i: balance.change(i, part, 1))
-            balance.move(best, part, 1)
-            got[best] += n
-            left -= n
-        shares[profile[1:]] = [g / profile[0] for g in got]
-    return shares
-
-
-def split_rows(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42, most: int | None = None) -> DataFrame:
+    placed = {}
+    for name, *brings in parts:
+        drawn = [sum(b * x / max(n, 1) for b, x, n in zip(brings, need[i], totals, strict=True)) for i in range(len(ratios))]
+        best = max(active, key=lambda i: (round(drawn[i], 9), -members[i], ratios[i]))
+        placed[name] = best
+        members[best] += 1
+        need[best] = [x - b for x, b in zip(need[best], brings, strict=True)]
+    # a split that got none takes the last (smallest) component of the split that has most
+    for i in active:
+        giver = max(active, key=lambda g: members[g])
+        if not members[i] and members[giver] > 1:
+            name, *brings = next(p for p in reversed(parts) if placed[p[0]] == giver)
+            placed[name] = i
+            members[giver] -= 1
+            members[i] += 1
+            need[giver] = [x + b for x, b in zip(need[giver], brings, strict=True)]
+            need[i] = [x - b for x, b in zip(need[i], brings, strict=True)]
+    return placed, need
+
+
+def split_rows(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """``rows`` (with component_id) with split: train, validation or test, whole components each.
 
-    The components are assigned one by one on the driver (a small row each), however many they are.
-    Only a caller that names ``most`` gets another rule beyond so many: the driver then sees only the
-    profiles (rows and label counts) and how many components have each, and the places within a
-    profile are dealt by rank under a hash, so that each split gets exactly its share.
+    Large components (a thousandth of all rows or more, and the three largest in any case) are placed
+    one by one, largest first (ties by a seeded hash); there are a thousand and three at most. All
+    others are ordered by their labels and size, then by the hash, and dealt in that order by a
+    sequence that fills any stretch evenly (multiples of the golden ratio), in the shares that the
+    large ones have left; so components of one kind reach each split in its share. Each split of a
+    positive ratio gets a component if there are as many. The same seed gives the same splits.
     """
     spark = rows.sparkSession
-    table = settle(rows.groupBy("component_id").agg(F.count("*").alias("rows"), *[F.count_if(F.col("label") == x).alias(x) for x in text.LABELS]))
-    if most is None or table.count() <= most:
-        parts = [tuple(r) for r in table.orderBy("component_id").collect()]
-        chosen = [(c, SPLITS[i]) for c, i in assign_splits(parts, ratios, seed).items()]
-        return rows.join(spark.createDataFrame(chosen, "component_id long, split string"), "component_id")
-    keys = ["rows", *text.LABELS]
-    profiles = [(r["n"], *(r[k] for k in keys)) for r in table.groupBy(*keys).agg(F.count("*").alias("n")).collect()]
-    number, shares = {p[1:]: p[0] for p in profiles}, assign_shares(profiles, ratios)
-    # ranks by range partitions: the places of each profile within one, and how many stand before
-    order = [*keys, F.xxhash64(F.lit(seed), "component_id"), "component_id"]
-    placed = settle(table.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    told, seen = [], dict.fromkeys(number, 0)
-    for r in sorted(placed.groupBy("part", *keys).agg(F.min("at").alias("low"), F.count("*").alias("n")).collect(), key=lambda r: r["part"]):
-        profile = tuple(r[k] for k in keys)
-        first, second = (round(sum(shares[profile][:k]) * number[profile]) for k in (1, 2))
-        told.append((r["part"], *profile, seen[profile] - r["low"], first, second))
-        seen[profile] += r["n"]
-    told = spark.createDataFrame(told, "part int, " + ", ".join(f"{k} long" for k in (*keys, "before", "first", "second")))
-    rank = F.col("before") + F.col("at")
-    split = F.when(rank < F.col("first"), SPLITS[0]).when(rank < F.col("second"), SPLITS[1]).otherwise(SPLITS[2])
-    return rows.join(placed.join(F.broadcast(told), ["part", *keys]).select("component_id", split.alias("split")), "component_id")
+    counts = [F.count_if(F.col("label") == x).alias(x) for x in text.LABELS]
+    table = settle(rows.groupBy("component_id").agg(F.count("*").alias("rows"), *counts).withColumn("__tie", F.xxhash64(F.lit(seed), "component_id")))
+    total, *by_label = table.agg(F.coalesce(F.sum("rows"), F.lit(0)), *[F.coalesce(F.sum(x), F.lit(0)) for x in text.LABELS]).first()
+    largest_first = [F.col("rows").desc(), "__tie", "component_id"]
+    head = table.filter(F.col("rows") * HEAD >= total).union(table.orderBy(*largest_first).limit(len(SPLITS))).distinct()
+    head = [(r["component_id"], *(r[x] for x in text.LABELS)) for r in head.orderBy(*largest_first).collect()]
+    placed, need = place_large(head, by_label, ratios)
+    chosen = spark.createDataFrame([(c, SPLITS[i]) for c, i in placed.items()], "component_id long, split string")
+    left = [max(0.0, sum(n)) if r > 0 else 0.0 for n, r in zip(need, ratios, strict=True)]
+    tail = settle(table.join(F.broadcast(chosen), "component_id", "left_anti"))
+    dealt = numbered(tail, [*text.LABELS, "rows", "__tie", "component_id"], "__place")
+    golden = (5**0.5 - 1) / 2
+    at = F.pmod(F.col("__place") * F.lit(golden), F.lit(1.0))
+    cuts = [sum(left[: i + 1]) / sum(left) if sum(left) else sum(ratios[: i + 1]) for i in range(len(SPLITS) - 1)]
+    split = F.when(at < cuts[0], SPLITS[0]).when(at < cuts[1], SPLITS[1]).otherwise(SPLITS[2])
+    return rows.join(chosen.unionByName(dealt.select("component_id", split.alias("split"))), "component_id")
 
 
 def shared_values(values: DataFrame, most: int = 20) -> DataFrame:

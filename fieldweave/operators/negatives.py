@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions import text
-from fieldweave.shared import settle
+from fieldweave.shared import numbered, settle
 
 
 @dataclass(frozen=True)
@@ -38,15 +38,8 @@ def target_classes(rows: DataFrame) -> DataFrame:
     Numbers follow a hash of the target, so that targets alike in spelling do not stand together.
     """
     first = rows.filter(F.col("norm_b") != "").groupBy(F.col("norm_b").alias("target")).agg(F.min_by("B", "source_row").alias("spelling"))
-    # numbers by range partitions, so that no task sees all targets
-    shuffled = first.withColumn("place", F.xxhash64(F.lit("place"), "target"))
-    placed = settle(shuffled.repartitionByRange("place", "target").sortWithinPartitions("place", "target").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    offsets, seen = [], 1
-    for part, n in sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()):
-        offsets.append((part, seen))
-        seen += n
-    table = rows.sparkSession.createDataFrame(offsets, "part int, before long")
-    return placed.join(F.broadcast(table), "part").select("target", "spelling", (F.col("before") + F.col("at")).alias("number"))
+    shuffled = settle(first.withColumn("place", F.xxhash64(F.lit("place"), "target")))
+    return numbered(shuffled, ["place", "target"], "at").select("target", "spelling", (F.col("at") + 1).alias("number"))
 
 
 def eligible_targets(rows: DataFrame, config: NegativeConfig) -> DataFrame:

@@ -1,12 +1,13 @@
 import csv
 import json
 import os
+import random
 from collections import Counter
 
 import pytest
 
 from fieldweave.functions.text import LABELS
-from fieldweave.operators.grouping import assign_splits
+from fieldweave.operators.grouping import split_rows
 from fieldweave.plans.prepare import FILES, check_parameters, prepare
 from fieldweave.sources.pairs import read_csv
 
@@ -101,43 +102,55 @@ def test_parameters():
         check_parameters((0.7, 0.15, 0.15), (0.4, 1.7))
 
 
-def test_assignment_fills_each_split_and_is_seeded():
-    parts = [(k, 1 + k % 4, 1 + k % 4, 0, 0) for k in range(3)]
-    assert sorted(assign_splits(parts, (0.7, 0.15, 0.15), 1).values()) == [0, 1, 2]
-    many = [(k, 2, 1, 1, 0) for k in range(100)]
-    assert assign_splits(many, (0.7, 0.15, 0.15), 5) == assign_splits(many, (0.7, 0.15, 0.15), 5)
-    sizes = Counter(assign_splits(many, (0.8, 0.2, 0.0), 5).values())
-    assert sizes[2] == 0 and abs(sizes[0] - 80) <= 2
+def shares(got):
+    sizes = Counter(got.values())
+    return {k: n / len(got) for k, n in sizes.items()}
 
 
-def test_the_walk_at_every_number_of_components(spark):
-    from fieldweave.operators.grouping import split_rows
-
-    many = 200_001
-    got = split_rows(spark.range(many).selectExpr("id AS component_id", "'DIRECT' AS label")).toPandas()
-    chosen = assign_splits([(k, 1, 1, 0, 0) for k in range(many)], (0.7, 0.15, 0.15), 42)
-    assert dict(zip(got["component_id"], got["split"], strict=True)) == {k: ("train", "validation", "test")[i] for k, i in chosen.items()}
-
-
-def test_shares_are_dealt_exactly(spark):
-    from fieldweave.operators.grouping import split_rows
-
-    # ten large components of one profile beside many small ones
-    rows = spark.range(10).selectExpr("id AS component_id", "explode(sequence(1, 50)) AS n").union(spark.range(10, 210).selectExpr("id", "1")).selectExpr("component_id", "'DIRECT' AS label")
-    got = split_rows(rows, (0.5, 0.3, 0.2), most=100).distinct().collect()
-    assert Counter(r.split for r in got if r.component_id < 10) == {"train": 5, "validation": 3, "test": 2}
-    assert len(got) == 210
-
-
-def test_shares_of_many_components(spark):
-    from fieldweave.operators.grouping import assign_shares, split_rows
-
-    shares = assign_shares([(100_000, 2, 1, 1, 0), (50_000, 1, 0, 0, 1)], (0.7, 0.15, 0.15))
-    assert all(abs(s - r) < 0.02 for own in shares.values() for s, r in zip(own, (0.7, 0.15, 0.15), strict=True))
-    rows = spark.createDataFrame([(k, "DIRECT" if j else "NO_MATCH") for k in range(3000) for j in range(2)], "component_id long, label string")
-    got = split_rows(rows, most=100).collect()
+def splits_of(spark, components, ratios=(0.7, 0.15, 0.15), seed=42):
+    """components: id, rows of each label."""
+    rows = [(c, label) for c, *n in components for label, k in zip(LABELS, n, strict=True) for _ in range(k)]
+    got = split_rows(spark.createDataFrame(rows, "component_id long, label string"), ratios, seed).collect()
+    assert sorted((r.component_id, r.label) for r in got) == sorted(rows)
     per = {}
     for r in got:
         assert per.setdefault(r.component_id, r.split) == r.split
-    sizes = Counter(per.values())
-    assert len(got) == 6000 and abs(sizes["train"] / 3000 - 0.7) < 0.05 and abs(sizes["test"] / 3000 - 0.15) < 0.05
+    return per
+
+
+def test_each_split_gets_a_component_and_the_seed_decides(spark):
+    assert sorted(splits_of(spark, [(k, 1 + k % 4, 0, 0) for k in range(3)]).values()) == ["test", "train", "validation"]
+    assert sorted(splits_of(spark, [(0, 900, 0, 0), (1, 40, 0, 0), (2, 1, 1, 0)], (0.98, 0.01, 0.01)).values()) == ["test", "train", "validation"]
+    assert len(set(splits_of(spark, [(k, 1, 0, 0) for k in range(4)], (0.9, 0.05, 0.05)).values())) == 3
+    many = [(k, 1, 1, 0) for k in range(100)]
+    first = splits_of(spark, many, (0.8, 0.2, 0.0), 5)
+    assert first == splits_of(spark, many, (0.8, 0.2, 0.0), 5) != splits_of(spark, many, (0.8, 0.2, 0.0), 6)
+    assert "test" not in first.values() and abs(shares(first)["train"] - 0.8) <= 0.02
+
+
+def test_labels_are_balanced_too(spark):
+    rng = random.Random(2)
+    parts = [(k, *(rng.randrange(0, 9) if rng.random() < 0.5 else 0 for _ in LABELS)) for k in range(300)]
+    parts = [p for p in parts if sum(p[1:])]
+    got = splits_of(spark, parts)
+    for label in range(3):
+        whole = sum(p[1 + label] for p in parts)
+        for split, ratio in (("train", 0.7), ("validation", 0.15), ("test", 0.15)):
+            assert abs(sum(p[1 + label] for p in parts if got[p[0]] == split) / whole - ratio) <= 0.02
+
+
+def test_very_many_components_follow_the_same_rule(spark):
+    many = 200_001  # of two kinds, beside one large one
+    rows = spark.range(many).selectExpr("id AS component_id", "IF(id % 3 = 0, 'DIRECT', 'NO_MATCH') AS label")
+    rows = rows.union(spark.range(20_000).selectExpr("-1L", "'DERIVATION'"))
+    got = split_rows(rows, (0.5, 0.3, 0.2)).toPandas()
+    assert len(got) == many + 20_000 and got.groupby("component_id")["split"].nunique().max() == 1
+    small = got[got["component_id"] >= 0]
+    sizes = got["split"].value_counts(normalize=True)
+    assert all(abs(sizes[s] - r) < 0.005 for s, r in (("train", 0.5), ("validation", 0.3), ("test", 0.2)))
+    of_kind = small.groupby("label")["split"].value_counts(normalize=True).unstack()
+    assert (of_kind.loc["DIRECT"] - of_kind.loc["NO_MATCH"]).abs().max() < 0.005
+
+
+def test_no_rows_no_splits(spark):
+    assert splits_of(spark, []) == {}
