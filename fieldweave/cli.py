@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
+from fieldweave.shared import release
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="python -m fieldweave.cli", description=__doc__)
@@ -96,6 +97,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     except (OSError, ValueError, RuntimeError, PySparkException) as failed:
         print(f"{args.command} failed: {str(failed)[:1000]}", file=sys.stderr)
         return 2
+    finally:
+        release(spark)  # what the run has settled; its results are written
 
 
 if __name__ == "__main__":

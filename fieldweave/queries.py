@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldweave.config import MatcherConfig
 from fieldweave.functions import text
 from fieldweave.operators import grouping, metrics, negatives, quality, vocabulary
 from fieldweave.operators.retrieval import cosine_top_k
@@ -112,6 +113,15 @@ def q09_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.split_rows(grouping.with_components(_clean(spark, sf_dir))).select("source_row", "component_id", "split")
 
 
+def q09b_split_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: rows and distinct rows of the splits, components and names that more than one split has, splits in use."""
+    found = settle(grouping.split_rows(grouping.with_components(_clean(spark, sf_dir))))
+    cut = found.groupBy("component_id").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("cut_components"))
+    shared = grouping.leakage(found).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("shared_names"))
+    sizes = found.agg(F.count("*").alias("rows"), F.count_distinct("source_row").alias("distinct_rows"), F.count_distinct("split").alias("splits"))
+    return sizes.join(cut).join(shared)
+
+
 def q10_hard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.hard_cases(_clean(spark, sf_dir))
 
@@ -147,7 +157,7 @@ def q13_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = _clean(spark, sf_dir)
     names = clean.select(F.col("norm_a").alias("name")).union(clean.select("norm_b")).distinct()
     tokens = vocabulary.build_vocabulary(vocabulary.character_counts(names, "name"))
-    ids = vocabulary.encode(F.col("name"), tokens, 16)
+    ids = vocabulary.encode(F.col("name"), tokens, MatcherConfig().max_length)
     return names.select("name", F.array_join(ids.cast("array<string>"), ",").alias("ids"), vocabulary.decode(ids, tokens).alias("decoded"))
 
 
@@ -161,16 +171,25 @@ def q14_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir)
 
 
-def _same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, target: vectors of one label, as a table of relevant answers to the ranked ones."""
+def _relevant(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
+    """source, target, parity: what makes vectors of one label each other's right answers.
+
+    Ranked pairs (source, target) of one label, and for every source, without a target, the parities
+    of the ids that other vectors of its label have; so no label's vectors meet each other.
+    """
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    a, b = rows.select(F.col("vec_id").alias("source"), "label"), rows.select(F.col("vec_id").alias("target"), "label")
-    return a.join(b, "label").filter(F.col("source") != F.col("target")).select("source", "target")
+    own, other = rows.select(F.col("vec_id").alias("source"), F.col("label").alias("own")), rows.select(F.col("vec_id").alias("target"), F.col("label").alias("other"))
+    odd = F.col("vec_id") % 2 != 0
+    hits = ranked.join(own, "source").join(other, "target").filter((F.col("own") == F.col("other")) & (F.col("source") != F.col("target")))
+    sizes = rows.groupBy("label").agg(F.count_if(~odd).alias("even_ids"), F.count_if(odd).alias("odd_ids"))
+    others = F.array_compact(F.array(F.when(F.col("even_ids") > (~odd).cast("int"), 0), F.when(F.col("odd_ids") > odd.cast("int"), 1)))
+    known = rows.join(sizes, "label").select(F.col("vec_id").alias("source"), F.lit(None).cast(rows.schema["vec_id"].dataType).alias("target"), F.explode(others).alias("parity"))
+    return hits.select("source", "target", (F.col("target") % 2).cast("int").alias("parity")).unionByName(known)
 
 
 def q15_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _top(spark, sf_dir).select(F.col("query_id").alias("source"), F.col("candidate_id").alias("target"), "rank")
-    found = metrics.retrieval_metrics(ranked, _same_label(spark, sf_dir), ks=(1, 5, 10), cutoff=10)
+    ranked = settle(_top(spark, sf_dir).select(F.col("query_id").alias("source"), F.col("candidate_id").alias("target"), "rank"))
+    found = metrics.retrieval_metrics(ranked, _relevant(spark, sf_dir, ranked.select("source", "target")), ks=(1, 5, 10), cutoff=10)
     return found.select("evaluated_sources", "skipped_sources", *[F.round(c, 6).alias(c) for c in found.columns if c not in ("evaluated_sources", "skipped_sources")])
 
 
@@ -211,10 +230,10 @@ def q17_threshold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First answers as matches: the right one is a vector of the same label; even ids are DIRECT."""
-    rows = _first_answers(spark, sf_dir)
+    rows = settle(_first_answers(spark, sf_dir))
     relation = lambda c: F.when(F.col(c) % 2 == 0, "DIRECT").otherwise("DERIVATION")
     predictions = rows.select(F.col("query_id").alias("source"), F.col("candidate_id").alias("target"), relation("query_id").alias("label"), F.col("similarity").alias("confidence"))
-    truth = _same_label(spark, sf_dir).filter(F.col("source") % 7 != 0).withColumn("label", relation("target"))
+    truth = _relevant(spark, sf_dir, predictions.select("source", "target")).filter(F.col("source") % 7 != 0).withColumn("label", relation("parity"))
     complete = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source"), (F.col("vec_id") % 3 != 0).alias("complete"))
     return metrics.judged(predictions, truth, complete)
 
@@ -291,6 +310,26 @@ def q26_hard_negative_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("source_row", "candidate", F.round("ratio", 6).alias("ratio"), F.row_number().over(order).cast("long").alias("place"))
 
 
+def q24b_group_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: sources, those that are distinct, and results that break a rule of the gate, of q24's groups."""
+    found = settle(q24_match_groups(spark, sf_dir))
+    p, none = F.col("match_probability"), F.col("status") == "NO_MATCH"
+    status = F.when(p < MatcherConfig().review_threshold, "NO_MATCH").when(p < MatcherConfig().auto_accept_threshold, "REVIEW").otherwise("AUTO_ACCEPT")
+    broken = (F.col("status") != status) | (none != (F.col("best_B") == "")) | (none != (F.col("predicted_label") == "NO_MATCH")) | (F.abs(p - F.col("p_direct") - F.col("p_derivation")) > 1e-6)
+    unknown = found.filter(~none).join(_clean(spark, sf_dir).select(F.col("B").alias("best_B")).distinct(), "best_B", "left_anti").agg(F.count("*").alias("unknown_targets"))
+    return found.agg(F.count("*").alias("sources"), F.count_distinct("source_row").alias("distinct_sources"), F.count_if(F.col("rank").between(1, MatcherConfig().top_k)).alias("ranked"), F.count_if(broken).alias("broken")).join(unknown)
+
+
+def q25b_truth_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of each true class that q25's matrix counts."""
+    return q25_pair_eval(spark, sf_dir).groupBy("truth").agg(F.sum("count").alias("pairs"))
+
+
+def q26b_sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many targets the sample of each positive holds, how many of them differ, and the last place."""
+    return q26_hard_negative_rank(spark, sf_dir).groupBy("source_row").agg(F.count("*").alias("targets"), F.count_distinct("candidate").alias("distinct_targets"), F.max("place").alias("last_place"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 _P = f"""
@@ -379,12 +418,13 @@ ORACLE_SQL = {
     "q08_leakage": _SPLIT + _LEAKS.format(values="SELECT 'A' AS kind, split, norm_a AS x FROM s UNION SELECT 'B', split, norm_b FROM s UNION SELECT 'any', split, norm_a FROM s UNION SELECT 'any', split, norm_b FROM s UNION SELECT 'pair', split, norm_a || ' -> ' || norm_b FROM s") + """
         SELECT k.kind, p.l AS "left", p.r AS "right", count(b.x) AS count, coalesce(array_to_string(list(a.x ORDER BY a.x) FILTER (b.x IS NOT NULL)[1:20], ','), '') AS sample
         FROM (SELECT DISTINCT kind FROM w) k CROSS JOIN p LEFT JOIN w a ON a.kind = k.kind AND a.split = p.l LEFT JOIN w b ON b.kind = k.kind AND b.split = p.r AND b.x = a.x GROUP BY k.kind, p.l, p.r""",
+    "q09b_split_checks": _GROUPS + "SELECT (SELECT count(*) FROM c) AS rows, (SELECT count(*) FROM c) AS distinct_rows, least(count(*), 3) AS splits, CAST(0 AS BIGINT) AS cut_components, CAST(0 AS BIGINT) AS shared_names FROM t",
     "q10b_format_variants": _ROWS + "SELECT source_row, norm_a = norm_b AND A <> B AS format_variant FROM c",
     "q11b_negative_violations": _ROWS + ", pos AS (SELECT count(*) AS n FROM c WHERE label <> 'NO_MATCH') SELECT kind AS negative_type, CAST(0 AS BIGINT) AS violations, n AS rows FROM pos, (VALUES ('hard'), ('random')) k(kind)",
     "q12_vocab": _ROWS + ", ch AS (SELECT DISTINCT unnest(string_split(norm_a || norm_b, '')) AS token FROM c) SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM ch UNION ALL VALUES ('<PAD>', 0), ('<UNK>', 1)",
     "q13_encode": _ROWS + """, nm AS (SELECT norm_a AS name FROM c UNION SELECT norm_b FROM c), ch AS (SELECT DISTINCT unnest(string_split(name, '')) AS token FROM nm), ids AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM ch),
-        l AS (SELECT name, i, id FROM (SELECT name, unnest(range(1, 17)) AS i FROM nm) q LEFT JOIN ids ON ids.token = substr(name, i, 1))
-        SELECT name, array_to_string(list(coalesce(id, 0) ORDER BY i), ',') AS ids, substr(name, 1, 16) AS decoded FROM l GROUP BY name""",
+        l AS (SELECT name, i, id FROM (SELECT name, unnest(range(1, 65)) AS i FROM nm) q LEFT JOIN ids ON ids.token = substr(name, i, 1))
+        SELECT name, array_to_string(list(coalesce(id, 0) ORDER BY i), ',') AS ids, substr(name, 1, 64) AS decoded FROM l GROUP BY name""",
     "q14_cosine_topk": _TOP + "SELECT query_id, candidate_id, rank, similarity FROM top",
     "q15_retrieval_metrics": _TOP + """, hit AS (SELECT t.query_id, min(rank) AS first FROM top t JOIN v a ON a.vec_id = t.query_id JOIN v b ON b.vec_id = t.candidate_id AND a.label = b.label GROUP BY t.query_id),
         src AS (SELECT vec_id FROM v a WHERE EXISTS (SELECT 1 FROM v b WHERE b.label = a.label AND b.vec_id <> a.vec_id))
@@ -414,6 +454,12 @@ ORACLE_SQL = {
         w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY mp DESC, rank) AS n FROM m) WHERE n = 1)
         SELECT a, CASE WHEN mp < 0.35 THEN '' ELSE CAST(b AS VARCHAR) END AS "best_B", CASE WHEN mp < 0.35 THEN 'NO_MATCH' WHEN p_direct > p_derivation THEN 'DIRECT' ELSE 'DERIVATION' END AS predicted_label, round(mp, 6) AS match_probability,
         similarity AS retrieval_similarity, rank, CASE WHEN mp < 0.35 THEN 'NO_MATCH' WHEN mp < 0.4 THEN 'REVIEW' ELSE 'AUTO_ACCEPT' END AS status FROM w""",
+    "q24b_group_checks": _ROWS + "SELECT count(*) AS sources, count(*) AS distinct_sources, count(*) AS ranked, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS unknown_targets FROM c",
+    "q25b_truth_totals": _ROWS + "SELECT CAST(i AS INTEGER) AS truth, (SELECT count(*) FROM c WHERE label = l) AS pairs FROM (VALUES ('NO_MATCH', 0), ('DIRECT', 1), ('DERIVATION', 2)) x(l, i)",
+    "q26b_sample_sizes": _ROWS + """, t AS (SELECT DISTINCT norm_b AS target FROM c WHERE norm_b <> ''), k AS (SELECT DISTINCT norm_a, norm_b AS target FROM c WHERE label <> 'NO_MATCH'),
+        x AS (SELECT norm_a, target FROM k UNION SELECT norm_a, norm_a FROM k WHERE norm_a IN (SELECT target FROM t)), kn AS (SELECT norm_a, count(*) AS n FROM x GROUP BY norm_a),
+        y AS (SELECT source_row, least(101, (SELECT count(*) FROM t) - n) AS targets FROM c JOIN kn USING (norm_a) WHERE label <> 'NO_MATCH')
+        SELECT source_row, targets, targets AS distinct_targets, targets AS last_place FROM y""",
     "q20_target_dedup": _ROWS + "SELECT norm_b AS target, arg_min(B, source_row) AS spelling FROM v GROUP BY norm_b",
     "q21_contradictions_to_first": _ROWS + ", o AS (SELECT *, first_value(source_row) OVER w AS first_row, first_value(label) OVER w AS first_label FROM v WINDOW w AS (PARTITION BY norm_a, norm_b ORDER BY source_row)) SELECT norm_a, norm_b, label, source_row, first_row, first_label FROM o WHERE label <> first_label ORDER BY source_row LIMIT 10",
     "q22_completeness": _ROWS + "SELECT DISTINCT norm_a AS source, length(norm_a) % 2 = 0 AS complete FROM v",
