@@ -4,10 +4,13 @@
    windows have equal anchors at equal places, so windows whose anchor occurs once are not repeated;
    the stretch of windows with one anchor, as a hash, stands for them in the shuffle.
 2. A stretch that occurs twice is repeated as a whole. Only distinct stretches with a common anchor
-   may share a part: their bytes are fetched, dealt by anchor, and a Burrows-Wheeler transform of
-   some groups at a time finds the windows that occur twice (see bwt). A group of more stretches than
-   one task should hold is decided by its windows' hashes instead, which spread over all tasks.
-3. The covered bytes of each document are put together and cut out.
+   may share a part: their bytes are fetched, dealt by anchor, cut to what may be shared, and a
+   Burrows-Wheeler transform of some groups at a time finds the windows that occur twice (see bwt).
+3. A group of more distinct stretches than one task should hold is split by further anchors: the
+   windows at neighbouring places have all but a few bytes in common, and these bytes are the new
+   anchor of that part of the stretch. Each window lies in one part, equal windows in parts of one
+   anchor, so step 2 holds for the parts as it stands, and the parts spread over all tasks.
+4. The covered bytes of each document are put together and cut out.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldweave.llm.bwt import repeated_starts
 from fieldweave.llm.jaccard_join import by_group
@@ -27,8 +31,11 @@ from fieldweave.shared import settle, small
 
 #: Bytes of an anchor, at most a quarter of the window.
 ANCHOR = 100
-#: Bytes whose anchors are found at a time; bytes and stretches that a transform takes.
-PIECE, TRANSFORM, GROUP = 1 << 18, 1 << 20, 2000
+#: Bytes whose anchors are found at a time; bytes that a transform takes; stretches that share an
+#: anchor, beyond which they are split by further anchors, of windows at so many places, then of one.
+PIECE, TRANSFORM, GROUP, PLACES = 1 << 18, 1 << 20, 2000, (16, 1)
+#: Steps, in bytes, of what stretches are compared by on either side of their anchor.
+STEP = 50
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -140,13 +147,15 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+STRINGS = "key long, at int, n int, lead int, anchor long, once boolean, crowd boolean, bytes binary"
+
+
 def _fetch(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """``wanted`` (key, at, n, lead, anchor, stretch, once, crowd) with the bytes of each stretch."""
     keys = small(settle(wanted.select("key").distinct()))
     by_doc = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "n", "lead", "anchor", "once", "crowd")).alias("parts"))
     texts = docs.join(keys, "key", "left_semi").dropDuplicates(["key"]).join(by_doc, "key").select("key", "text", "parts")
-    schema = "key long, at int, n int, lead int, anchor long, once boolean, crowd boolean, bytes binary"
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = [c.split()[0] for c in STRINGS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +166,32 @@ def _fetch(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in fetched], schema=fetched)
 
     fetched = pa.schema([("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("lead", pa.int32()), ("anchor", pa.int64()), ("once", pa.bool_()), ("crowd", pa.bool_()), ("bytes", pa.binary())])
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, STRINGS)
+
+
+def shareable(strings: list[bytes], leads: list[int], least: int) -> list[tuple[int, int]]:
+    """Of distinct stretches with one anchor (at ``leads``): the range that shared windows lie in.
+
+    Equal windows have their anchor at one place, so two stretches that share a window agree from its
+    begin over the anchor to its end. How far a stretch agrees with any other on either side is found
+    in steps, so a range may be too long by less than a step, never too short.
+    """
+    reach = []
+    for side in (-1, 1):
+        far, going = [0] * len(strings), list(range(len(strings)))
+        for step in range(STEP, least + STEP, STEP):
+            met: dict[bytes, list[int]] = {}
+            for i in going:
+                far[i] = step  # it agrees with another over fewer bytes, if it stops here
+                lead = leads[i]
+                part = strings[i][max(0, lead - step) : lead] if side < 0 else strings[i][lead : lead + step]
+                if len(part) == step:
+                    met.setdefault(part, []).append(i)
+            going = [i for same in met.values() if len(same) > 1 for i in same]
+            if not going:
+                break
+        reach.append(far)
+    return [(max(0, lead - a), min(len(s), lead + b)) for s, lead, a, b in zip(strings, leads, *reach, strict=True)]
 
 
 SPANS = "key long, low int, high int"
@@ -167,19 +201,22 @@ def _shared_parts(stretches_: DataFrame, least: int) -> DataFrame:
     """Covered bytes of stretches that occur once, from those that share their anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans(tables: list[pa.Table]) -> pa.RecordBatch:
-            table = pa.concat_tables(tables)
-            marks = repeated_starts(table.column("bytes").to_pylist(), least)
+        def spans(rows: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
             out: list[tuple[int, int, int]] = []
-            for mask, key, at, once in zip(marks, *(table.column(c).to_pylist() for c in ("key", "at", "once")), strict=True):
+            for mask, (key, at, once, _) in zip(repeated_starts([r[3] for r in rows], least), rows, strict=True):
                 if once:
                     out += [(key, at + i, at + j - 1 + least) for i, j in _runs(mask)]
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["key", "low", "high"])
 
         waiting, size = [], 0
         for table in by_group(batches, 1):
-            waiting.append(table)
-            size += table.column("bytes").nbytes
+            strings, leads, keys, ats, onces = (table.column(c).to_pylist() for c in ("bytes", "lead", "key", "at", "once"))
+            cut = zip(keys, ats, onces, strings, shareable(strings, leads, least), strict=True)
+            own = [(key, at + low, once, s[low:high]) for key, at, once, s, (low, high) in cut if high - low >= least]
+            if len(own) < 2:
+                continue
+            waiting += own
+            size += sum(len(r[3]) for r in own)
             if size >= TRANSFORM:
                 yield spans(waiting)
                 waiting, size = [], 0
@@ -187,30 +224,32 @@ def _shared_parts(stretches_: DataFrame, least: int) -> DataFrame:
             yield spans(waiting)
 
     dealt = stretches_.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "key", "at", "once", "bytes").mapInArrow(run, SPANS)
+    return dealt.select("anchor", "key", "at", "once", "lead", "bytes").mapInArrow(run, SPANS)
 
 
-def _crowded_parts(stretches_: DataFrame, least: int) -> DataFrame:
-    """As _shared_parts, for anchors of very many distinct stretches: windows are counted by hash."""
+def _split(crowded: DataFrame, least: int, places: int) -> DataFrame:
+    """Stretches of a crowded anchor as parts: windows that begin at so many neighbouring places
+    before the anchor. What these have in common, all but ``places`` - 1 bytes, is the part's anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "place", "window", "key", "at", "once"]
+        names = [c.split()[0] for c in OCCURRENCE.split(", ")]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        signed = lambda b: xxhash.xxh3_64_intdigest(b) - (1 << 63)
         for batch in batches:
-            for anchor, key, at, n, lead, once, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "at", "n", "lead", "once", "bytes")), strict=True):
+            out: list[tuple[int, ...]] = []
+            for key, at, n, lead, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "n", "lead", "bytes")), strict=True):
                 view = memoryview(raw)
-                hashes = np.array([xxhash.xxh3_64_intdigest(view[i : i + least]) for i in range(n)], dtype=np.uint64).view(np.int64)
-                columns = [np.full(n, anchor), (lead - np.arange(n)).astype(np.int32), hashes, np.full(n, key), (at + np.arange(n)).astype(np.int32), np.full(n, once)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                for part in range((lead - n + 1) // places, lead // places + 1):
+                    first, end = max(0, lead - (part + 1) * places + 1), min(n, lead - part * places + 1)
+                    common = lead - part * places
+                    out.append((key, at + first, end - first, common - first, signed(view[common : common + least - places + 1]), signed(view[first : end - 1 + least])))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
 
-    windows = settle(stretches_.mapInArrow(run, "anchor long, place int, window long, key long, at int, once boolean"))
-    which = ["anchor", "place", "window"]
-    twice = windows.groupBy(*which).agg(F.count("*").alias("c")).filter(F.col("c") > 1).drop("c")
-    return windows.join(twice, which, "left_semi").filter("once").select("key", F.col("at").alias("low"), (F.col("at") + least).alias("high"))
+    return crowded.mapInArrow(run, OCCURRENCE)
 
 
-def spans(docs: DataFrame, least: int) -> DataFrame:
-    """key, low, high: byte ranges that repeated strings of ``least`` bytes cover (some overlap)."""
-    every = settle(occurrences(docs, least))
+def _covered(every: DataFrame, docs: DataFrame, least: int, places: tuple[int, ...] = PLACES) -> DataFrame:
+    """key, low, high of the repeated windows of ``every`` (a table of occurrences)."""
     anchors = every.groupBy("anchor").agg(F.count("*").alias("c"), F.min("stretch").alias("low"), F.max("stretch").alias("high"))
     anchors = settle(anchors.filter(F.col("c") > 1).select("anchor", (F.col("low") != F.col("high")).alias("mixed")))
     twice = settle(every.join(small(anchors), "anchor"))
@@ -222,63 +261,73 @@ def spans(docs: DataFrame, least: int) -> DataFrame:
     copied = twice.filter("mixed").join(again, ["anchor", "stretch"]).select("key", F.col("at").alias("low"), high)
     open_ = distinct.groupBy("anchor").agg(F.count("*").alias("c"), F.max("once").alias("some")).filter("some")
     open_ = small(settle(open_.select("anchor", (F.col("c") > GROUP).alias("crowd"))))
-    bytes_ = settle(_fetch(docs, distinct.join(open_, "anchor"), least))
-    shared = _shared_parts(bytes_.filter(~F.col("crowd")), least)
-    crowded = _crowded_parts(bytes_.filter("crowd"), least)
-    return whole.unionByName(copied).unionByName(shared).unionByName(crowded)
+    strings = settle(_fetch(docs, distinct.join(open_, "anchor"), least))
+    found = whole.unionByName(copied).unionByName(_shared_parts(strings.filter(~F.col("crowd")), least))
+    crowded = strings.filter("crowd")
+    if not places or crowded.isEmpty():  # parts of one place are single windows: none of them is mixed
+        return found
+    return found.unionByName(_covered(settle(_split(crowded, least, places[0])), docs, least, places[1:]))
+
+
+def spans(docs: DataFrame, least: int) -> DataFrame:
+    """key, low, high: the maximal byte ranges of ``docs`` (key, text) that repeated strings of ``least`` bytes cover."""
+    found = _covered(settle(occurrences(docs, least)), docs, least)
+    # ranges that overlap or touch become one before anything gathers them
+    before = Window.partitionBy("key").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    begins = found.withColumn("begins", F.coalesce(F.col("low") > F.max("high").over(before), F.lit(True)).cast("long"))
+    runs = begins.withColumn("run", F.sum("begins").over(Window.partitionBy("key").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("key", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
 
 
-def merged(parts: list) -> list[tuple[int, int]]:
-    """Ranges that overlap or touch as one, ascending."""
-    out: list[list[int]] = []
-    for low, high in sorted((p["low"], p["high"]) for p in parts):
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return [tuple(x) for x in out]
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with underlines behind it until no column is called so (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def without_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
     """``docs`` with the text that dedup_substrings leaves, null as empty; columns stay as they are.
 
-    Where a run begins or ends within a character, what is left of the character goes too.
+    Where a run begins or ends within a character, what is left of the character goes too. Nulls,
+    empty and very long texts, repeated rows and empty tables give what dedup_substrings says;
+    columns of any name, removed and kept too, pass through.
     """
-    if {"removed", "kept"} & set(docs.columns):
-        raise ValueError("columns removed and kept are the result's")
-    cut = dedup_substrings(docs, least, as_text=True)
-    return cut.withColumn("text", F.col("kept")).select(*docs.columns)
+    names = {c: free(c, docs.columns) for c in ("removed", "kept")}
+    cut = dedup_substrings(docs, least, as_text=True, **names)
+    return cut.withColumn("text", F.col(names["kept"])).select(*docs.columns)
 
 
-def dedup_substrings(docs: DataFrame, least: int = 400, *, as_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least: int = 400, *, as_text: bool = False, removed: str = "removed", kept: str = "kept") -> DataFrame:
     """``docs`` with removed (array of low, high: the maximal removed byte runs), kept (bytes left).
 
     Texts are read as UTF-8, null as empty; a byte goes if a string of ``least`` bytes that covers it
     starts anywhere else too, in the same or another row (matches never cross rows and are judged on
-    the input; repeated rows are each other's repeats). Shorter texts stay whole. Input columns named
-    removed or kept are replaced, others pass through. No rows: no rows. ``as_text`` gives kept as a
-    string, without characters that a run has cut.
+    the input; repeated rows are each other's repeats). Shorter texts stay whole; very long ones are
+    read in overlapping pieces. Input columns of the result's names are replaced, others pass through,
+    whatever they are called. Nulls elsewhere pass through. No rows: no rows. ``as_text`` gives kept
+    as a string, without characters that a run has cut.
     """
-    kept_columns = [c for c in docs.columns if c not in ("removed", "kept")]
-    docs = docs.select(*kept_columns).withColumn("__key", F.xxhash64("doc_id", "text"))
-    narrow = docs.select(F.col("__key").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = settle(spans(narrow, least).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("__parts")))
-    keys = small(cut.select(F.col("key").alias("__key")))
+    columns = [c for c in docs.columns if c.lower() not in (removed.lower(), kept.lower())]
+    key, parts = free("__key", columns), free("__parts", columns)
+    docs = docs.select(*columns).withColumn(key, F.xxhash64("doc_id", "text"))
+    narrow = docs.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    cut = settle(spans(narrow, least).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias(parts)).withColumnRenamed("key", key))
+    keys = small(cut.select(key))
     none = F.array().cast("array<struct<low:int,high:int>>")
-    untouched = docs.join(keys, "__key", "left_anti").select(*kept_columns, none.alias("removed"), (F.coalesce("text", F.lit("")) if as_text else F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("kept"))
-    touched = docs.join(keys, "__key", "left_semi").join(cut.withColumnRenamed("key", "__key"), "__key").select(*kept_columns, "__parts")
-    at = kept_columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in touched.schema if f.name != "__parts") + ", removed array<struct<low:int,high:int>>, kept " + ("string" if as_text else "binary")
-    pair = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+    untouched = docs.join(keys, key, "left_anti").select(*columns, none.alias(removed), (F.coalesce("text", F.lit("")) if as_text else F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias(kept))
+    touched = docs.join(keys, key, "left_semi").join(cut, key).select(*columns, parts)
+    at = columns.index("text")
+    schema = T.StructType([*(touched.schema[c] for c in columns), T.StructField(removed, touched.schema[parts].dataType), T.StructField(kept, T.StringType() if as_text else T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, kept = [], []
-            for text, parts in zip(batch.column(at).to_pylist(), batch.column(len(kept_columns)).to_pylist(), strict=True):
-                raw, runs = text.encode("utf-8", "surrogatepass"), merged(parts)
-                ends = [0, *(h for _, h in runs)]
-                kept.append(b"".join(raw[i:j] for i, j in zip(ends, [*(low for low, _ in runs), len(raw)], strict=True)))
-                removed.append([{"low": low, "high": h} for low, h in runs])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept_columns)], pa.array(removed, pair), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], names=[*kept_columns, "removed", "kept"])
+            left = []
+            for text, runs in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                ends = [0, *(r["high"] for r in runs)]
+                left.append(b"".join(raw[i:j] for i, j in zip(ends, [*(r["low"] for r in runs), len(raw)], strict=True)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k.decode("utf-8", "ignore") for k in left], pa.string()) if as_text else pa.array(left, pa.binary())], names=[*columns, removed, kept])
 
     return untouched.unionByName(touched.mapInArrow(run, schema))

@@ -74,3 +74,31 @@ def test_stretches_cover_all_windows():
     windows = [s + i for s, c in zip(start, count, strict=True) for i in range(c)]
     assert windows == [*range(100, 2101), 2500, *range(2900, 4601)]
     assert all(0 <= g - i <= 300 for g, c in zip(lead, count, strict=True) for i in (0, c - 1))
+
+
+def test_shareable_ranges_hold_every_shared_window():
+    rng = random.Random(4)
+    for least in (120, 400):
+        base = rng.randbytes(2 * least)
+        strings, leads = [], []
+        for _ in range(12):
+            own, lead = bytearray(base), least  # the anchor: 20 bytes from the middle of the base
+            for _ in range(rng.randrange(0, 3)):
+                at = rng.choice([*range(least), *range(least + 20, 2 * least)])
+                own[at] = rng.randrange(256)
+            low, high = rng.randrange(0, 60), rng.randrange(2 * least - 60, 2 * least)
+            strings.append(bytes(own[low:high]))
+            leads.append(lead - low)
+        n = Counter((s[i : i + least], lead - i) for s, lead in dict(zip(strings, leads, strict=True)).items() for i in range(max(0, lead + 20 - least), min(lead, len(s) - least) + 1))
+        for s, lead, (low, high) in zip(strings, leads, substring_dedup.shareable(strings, leads, least), strict=True):
+            shared = [i for i in range(max(0, lead + 20 - least), min(lead, len(s) - least) + 1) if n[s[i : i + least], lead - i] > 1]
+            assert all(low <= i and i + least <= high for i in shared)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    text = "".join(random.Random(6).choices("abcdefgh", k=600))
+    rows = [(1, text, [1], "k", "p", 5), (2, "é" + text[:450], None, None, None, None), (3, None, [2], "k", "p", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed array<int>, Kept string, __parts string, __key int")
+    got = {r.doc_id: r for r in substring_dedup.without_repeats(df).collect()}
+    assert got[1].asDict() == dict(zip(df.columns, rows[0], strict=True)) | {"text": text[450:]}
+    assert (got[2].text, got[2].removed, got[2].Kept) == ("é", None, None) and got[3].text == "" and got[3].removed == [2]
