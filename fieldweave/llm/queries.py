@@ -15,8 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few MB, also where many texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Arrow batches of a thousand rows and 8 MB at most (one text may be longer), where the session has
+    Spark's defaults; settings of the caller's own stay."""
+    for name, usual, value in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +28,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substring_dedup.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+    """n_repeated, beside the contract's columns: bytes of passages of 150 bytes or more that stand elsewhere too."""
+    cut = substring_dedup.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"), shorter=substring_dedup.PASSAGE)
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["high"] - r["low"])
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return cut.select("doc_id", n_bytes.alias("n_bytes"), gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", n_bytes.alias("n_bytes"), gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.col("repeated").alias("n_repeated"))
 
 
 def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ ANCHOR = 100
 #: Bytes whose anchors are found at a time; bytes that a transform takes; stretches that share an
 #: anchor, beyond which they are split by further anchors, of windows at so many places, then of one.
 PIECE, TRANSFORM, GROUP, PLACES = 1 << 18, 1 << 20, 2000, (16, 1)
+#: Bytes of a passage: fifty-one words of two letters are 152 bytes.
+PASSAGE = 150
 #: Steps, in bytes, of what stretches are compared by on either side of their anchor.
 STEP = 50
 _ODD = 0x9E3779B97F4A7C15
@@ -102,7 +105,11 @@ OCCURRENCE = "key long, at int, n int, lead int, anchor long, stretch long"
 
 
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """Every stretch of ``docs`` (key, text): windows at .. at + n - 1 share the anchor at + lead."""
+    """Every stretch of ``docs`` (key, text): windows at .. at + n - 1 share the anchor at + lead.
+
+    Where ``docs`` has parts (array of low, high) too, only windows inside one of these are looked at.
+    """
+    limited = "parts" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(min(ANCHOR, max(1, least // 4)))
@@ -124,17 +131,17 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
                 columns = [key, at.astype(np.int32), count.astype(np.int32), lead.astype(np.int32), anchor, np.array(names_of, dtype=np.uint64).view(np.int64)]
                 return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-            for row, text in enumerate(batch.column(1).to_pylist()):
+            inside = batch.column(2).to_pylist() if limited else repeat(None)
+            for key, text, ranges in zip(keys, batch.column(1).to_pylist(), inside, strict=False):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                if len(raw) < least:
-                    continue
-                for at in range(0, len(raw) - least + 1, PIECE):  # pieces overlap, so that no window is lost
-                    part = raw[at : at + PIECE + least - 1]
-                    if size + len(part) > PIECE and waiting:
-                        yield found(waiting)
-                        waiting, size = [], 0
-                    waiting.append((keys[row], at, part))
-                    size += len(part)
+                for low, high in [(0, len(raw))] if ranges is None else [(r["low"], r["high"]) for r in ranges]:
+                    for at in range(low, high - least + 1, PIECE):  # pieces overlap, so that no window is lost
+                        part = raw[at : min(high, at + PIECE + least - 1)]
+                        if size + len(part) > PIECE and waiting:
+                            yield found(waiting)
+                            waiting, size = [], 0
+                        waiting.append((key, at, part))
+                        size += len(part)
             if waiting:
                 yield found(waiting)
 
@@ -270,8 +277,9 @@ def _covered(every: DataFrame, docs: DataFrame, least: int, places: tuple[int, .
 
 
 def spans(docs: DataFrame, least: int) -> DataFrame:
-    """key, low, high: the maximal byte ranges of ``docs`` (key, text) that repeated strings of ``least`` bytes cover."""
-    found = _covered(settle(occurrences(docs, least)), docs, least)
+    """key, low, high: the maximal byte ranges of ``docs`` (key, text and, if need be, parts, outside of
+    which nothing of this length is repeated) that repeated strings of ``least`` bytes cover."""
+    found = _covered(settle(occurrences(docs, least)), docs.select("key", "text"), least)
     # ranges that overlap or touch become one before anything gathers them
     before = Window.partitionBy("key").orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
     begins = found.withColumn("begins", F.coalesce(F.col("low") > F.max("high").over(before), F.lit(True)).cast("long"))
@@ -299,9 +307,12 @@ def without_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
     return cut.withColumn("text", F.col(names["kept"])).select(*docs.columns)
 
 
-def dedup_substrings(docs: DataFrame, least: int = 400, *, as_text: bool = False, removed: str = "removed", kept: str = "kept") -> DataFrame:
+def dedup_substrings(docs: DataFrame, least: int = 400, *, as_text: bool = False, removed: str = "removed", kept: str = "kept", shorter: int | None = None, repeated: str = "repeated") -> DataFrame:
     """``docs`` with removed (array of low, high: the maximal removed byte runs), kept (bytes left).
 
+    ``shorter`` adds repeated: how many bytes strings of this length cover that occur elsewhere too;
+    they stay. Such ranges hold all longer repeats, so the search for those is limited to them.
+
     Texts are read as UTF-8, null as empty; a byte goes if a string of ``least`` bytes that covers it
     starts anywhere else too, in the same or another row (matches never cross rows and are judged on
     the input; repeated rows are each other's repeats). Shorter texts stay whole; very long ones are
@@ -309,10 +320,20 @@ def dedup_substrings(docs: DataFrame, least: int = 400, *, as_text: bool = False
     whatever they are called. Nulls elsewhere pass through. No rows: no rows. ``as_text`` gives kept
     as a string, without characters that a run has cut.
     """
-    columns = [c for c in docs.columns if c.lower() not in (removed.lower(), kept.lower())]
+    new = [removed, kept, *([repeated] if shorter else [])]
+    columns = [c for c in docs.columns if c.lower() not in [n.lower() for n in new]]
     key, parts = free("__key", columns), free("__parts", columns)
     docs = docs.select(*columns).withColumn(key, F.xxhash64("doc_id", "text"))
     narrow = docs.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    if shorter:
+        if not 0 < shorter <= least:
+            raise ValueError("shorter must be positive and at most least")
+        short = settle(spans(narrow, shorter))
+        sizes = small(settle(short.groupBy("key").agg(F.sum(F.col("high") - F.col("low")).alias(repeated)).withColumnRenamed("key", key)))
+        inside = short.filter(F.col("high") - F.col("low") >= least).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("parts"))
+        narrow = narrow.join(small(settle(inside)), "key")
+        docs = docs.join(sizes, key, "left").withColumn(repeated, F.coalesce(repeated, F.lit(0)).cast("long"))
+        columns = [*columns, repeated]
     cut = settle(spans(narrow, least).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias(parts)).withColumnRenamed("key", key))
     keys = small(cut.select(key))
     none = F.array().cast("array<struct<low:int,high:int>>")

@@ -102,3 +102,13 @@ def test_columns_of_any_name_pass_through(spark):
     got = {r.doc_id: r for r in substring_dedup.without_repeats(df).collect()}
     assert got[1].asDict() == dict(zip(df.columns, rows[0], strict=True)) | {"text": text[450:]}
     assert (got[2].text, got[2].removed, got[2].Kept) == ("é", None, None) and got[3].text == "" and got[3].removed == [2]
+
+
+def test_shorter_repeats_are_counted(spark):
+    rows = texts()
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup_substrings(df, shorter=150).collect()}
+    assert [([tuple(x) for x in got[k].removed], bytes(got[k].kept)) for k in range(len(rows))] == brute_force(rows, 400)
+    assert [got[k].repeated for k in range(len(rows))] == [sum(j - i for i, j in runs) for runs, _ in brute_force(rows, 150)]
+    with pytest.raises(ValueError):
+        dedup_substrings(df, shorter=500)
