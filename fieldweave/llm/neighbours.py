@@ -1,11 +1,15 @@
 """Nearest neighbours by several shifted Hilbert orderings.
 
-Each ordering projects the vectors on a few random directions, shifts them and sorts them along a
-Hilbert curve by Spark's range partitioning; a query meets the vectors in a window of keys around
-its own. The windows of all orderings merge and give each query a score that its true neighbours
-must reach. The window is then widened block by block along the first ordering: a block whose centre
-and radius show that no vector in it can reach that score is passed over, the others are scored.
-So nothing is missed; on vectors without structure, hardly any block can be passed over.
+1. Each ordering projects the vectors on some random directions, cuts each projection into cells at
+   shifted quantiles and numbers the cells along a Hilbert curve. Only ids and keys are sorted, by
+   ranges; a row's place in its ordering follows from the sizes of the ranges before its own.
+2. Places are cut into ranges of equal size; each range also gets the rows just outside its edges, so
+   no window is cut there. With the vectors joined, a query meets the rows whose places are near its
+   own, by blocks of a matrix product, and keeps the best.
+3. What all orderings have found is merged and ranked by the exact scores.
+
+The work grows with the rows times the orderings. ``widen`` adds an exact search for small tables:
+blocks of the first ordering whose centre and radius cannot rule out a better neighbour are scored.
 """
 
 from __future__ import annotations
@@ -19,13 +23,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.llm.hilbert import hilbert_keys
+from fieldweave.llm.jaccard_join import by_group
 from fieldweave.llm.split import cuts_below
-from fieldweave.shared import settle
+from fieldweave.shared import numbered, settle
 
-#: Orderings, dimensions of a projection and bits of each, vectors on either side in a window.
-ORDERINGS, DIMENSIONS, BITS, HALF_WINDOW = 4, 6, 8, 64
-#: Rows that fit the scale of the projections; rows of a range partition, a block and a block of queries.
+#: Orderings; dimensions of a projection; bits of a key; places on either side in a window.
+ORDERINGS, DIMENSIONS, BITS, HALF_WINDOW = 32, 20, 60, 512
+#: Rows that fit the cells of the projections; rows of a range, a block and a block of queries.
 SAMPLE, RANGE_ROWS, BLOCK, QUERY_BLOCK = 5_000, 20_000, 16_384, 4_096
+#: Scores of a matrix product that are nearer than this are told apart by the exact ones.
+NEAR = 1e-9
 
 
 def usable(vector: Column) -> Column:
@@ -42,57 +49,53 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, least: np.ndarray) -> pd.DataFrame:
-    """The k best of v for each q that reach ``least``, other ids only; ids ascending."""
-    out = []
-    for at in range(0, len(q), 256):
-        part = slice(at, at + 256)
-        s = np.round(q[part] @ v.T, 12)
-        s[(q_ids[part, None] == ids[None, :]) | (s < least[part, None] - 1e-9)] = -np.inf
-        if s.shape[1] > 4 * k:
-            # the k-th best score of each query, and all that reach it
-            level = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            rows, columns = np.nonzero((s >= level[:, None]) & np.isfinite(s))
-        else:
-            rows, columns = np.nonzero(np.isfinite(s))
-        order = np.lexsort((columns, -s[rows, columns], rows))
-        rows, columns = rows[order], columns[order]
-        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        rows, columns = rows[place < k], columns[place < k]
-        out.append(pd.DataFrame({"query_id": q_ids[part][rows], "vec_id": ids[columns], "score": exact(q[part][rows], v[columns])}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+FOUND = "query_id long, vec_id long, score double"
 
 
-FOUND = "query_id long, vec_id long, score double"
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, allowed: np.ndarray) -> pd.DataFrame:
+    """The k best of v for each q among the allowed (a mask), other ids only, by the exact scores."""
+    s = q @ v.T
+    s[~allowed | (q_ids[:, None] == ids[None, :])] = -np.inf
+    level = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(q), -np.inf)
+    rows, columns = np.nonzero((s >= level[:, None] - NEAR) & np.isfinite(s))
+    score = exact(q[rows], v[columns])
+    order = np.lexsort((ids[columns], -score, rows))
+    rows, columns, score = rows[order], columns[order], score[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return pd.DataFrame({"query_id": q_ids[rows[kept]], "vec_id": ids[columns[kept]], "score": score[kept]})
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _curves(dims: int, sample: np.ndarray, seed: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each ordering: directions (orthonormal), offset and scale to whole numbers."""
+def _curves(sample: np.ndarray, seed: int) -> list[tuple[np.ndarray, list[np.ndarray], int]]:
+    """For each ordering: directions (orthonormal), ascending cuts of each projection, bits of a cell."""
     rng = np.random.default_rng(seed)
-    m = min(DIMENSIONS, dims)
+    m = min(DIMENSIONS, sample.shape[1])
+    bits = min(8, BITS // m)
     out = []
     for c in range(ORDERINGS):
-        directions = np.linalg.qr(rng.normal(size=(dims, m)))[0]
-        p = sample @ directions
-        low, high = p.min(axis=0), p.max(axis=0)
-        # the grid is wider than the sample by half a cell's worth for each ordering: the shift
-        room = (high - low) * 0.15 + 1e-9
-        shift = room * (c / max(1, ORDERINGS))
-        scale = (2**BITS - 1) / (high - low + 2 * room)
-        out.append((directions, low - room - shift + room * 0.5, scale))
+        directions = np.linalg.qr(rng.normal(size=(sample.shape[1], m)))[0]
+        levels = (np.arange(1, 2**bits) - 0.5 + c / ORDERINGS) / 2**bits  # the shift: up to a cell between orderings
+        out.append((directions, list(np.quantile(sample @ directions, levels, axis=0).T), bits))
     return out
 
 
-def _keys(v: np.ndarray, curve: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    directions, offset, scale = curve
-    cell = np.clip(np.floor((v @ directions - offset) * scale), 0, 2**BITS - 1)
-    return hilbert_keys(cell.astype(np.int64), BITS)
+def _keys(v: np.ndarray, curve: tuple[np.ndarray, list[np.ndarray], int]) -> np.ndarray:
+    directions, cuts, bits = curve
+    p = v @ directions
+    cells = np.stack([np.searchsorted(c, p[:, d], side="right") for d, c in enumerate(cuts)], axis=1)
+    return hilbert_keys(cells, bits)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of equal length, without nulls, as rows of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _windows(vectors: DataFrame, curves: list, k: int, half: int) -> DataFrame:
@@ -100,57 +103,62 @@ def _windows(vectors: DataFrame, curves: list, k: int, half: int) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.array(batch.column(2).to_pylist(), dtype=np.float64)
-            for c, curve in enumerate(curves):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, dtype=np.int32)), pa.array(_keys(v, curve)), *batch.columns], names=["curve", "place", "id", "is_query", "v"])
+            if batch.num_rows:
+                v = _matrix(batch.column(2))
+                for c, curve in enumerate(curves):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, dtype=np.int32)), pa.array(_keys(v, curve)), *batch.columns[:2]], names=["curve", "place", "id", "is_query"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        table = pa.Table.from_batches(tables)
-        curve, ids, asks = (table.column(c).to_numpy() for c in ("curve", "id", "is_query"))
-        v = np.array(table.column("v").to_pylist(), dtype=np.float64)
-        at = np.flatnonzero(asks)
-        for start in range(0, len(at), 128):
-            own = at[start : start + 128]
-            near_ = own[:, None] + np.arange(-half, half + 1)[None, :]
-            inside = np.clip(near_, 0, len(ids) - 1)
-            s = np.einsum("qd,qwd->qw", v[own], v[inside])
-            s[(near_ != inside) | (curve[inside] != curve[own][:, None]) | (ids[inside] == ids[own][:, None])] = -np.inf
-            pick = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(own)), pick.shape[1])
-            columns = inside[rows, pick.ravel()]
-            ok = np.isfinite(s[rows, pick.ravel()])
-            rows, columns = rows[ok], columns[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own][rows]), pa.array(ids[columns]), pa.array(exact(v[own][rows], v[columns]))], names=["query_id", "vec_id", "score"])
-
-    rows = vectors.count()
-    parts = max(1, -(-rows * len(curves) // RANGE_ROWS))
-    spread = vectors.select("id", "is_query", "v").mapInArrow(keyed, "curve int, place long, id long, is_query boolean, v array<double>")
-    dealt = spread.repartitionByRange(parts, "curve", "place", "id").sortWithinPartitions("curve", "place", "id")
-    return dealt.select("curve", "place", "id", "is_query", "v").mapInArrow(near, FOUND)
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, vector_id: str = "vec_id", vector: str = "embedding", half: int = HALF_WINDOW, widen: bool = True, seed: int = 11) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows of largest inner product with each query row.
+        for table in by_group(batches, 1):
+            curve, ids = table.column("curve").to_numpy(), table.column("id").to_numpy()
+            at = np.flatnonzero(table.column("own").to_numpy() & table.column("is_query").to_numpy())
+            if not len(at):
+                continue
+            v = _matrix(table.column("v"))
+            start = 0
+            while start < len(at):
+                # queries whose windows overlap meet one stretch of rows
+                end = min(start + 128, int(np.searchsorted(at, at[start] + 4 * half, side="right")))
+                own = at[start:end]
+                low, high = max(0, own[0] - half), min(len(ids), own[-1] + half + 1)
+                allowed = (np.abs(np.arange(low, high)[None, :] - own[:, None]) <= half) & (curve[low:high][None, :] == curve[own][:, None])
+                yield pa.RecordBatch.from_pandas(_best(ids[own], v[own], ids[low:high], v[low:high], k, allowed), preserve_index=False)
+                start = end
+
+    keys = settle(vectors.select("id", "is_query", "v").mapInArrow(keyed, "curve int, place long, id long, is_query boolean"))
+    placed = numbered(keys, ["curve", "place", "id"], "at")
+    size = max(RANGE_ROWS, half)
+    own, inside = F.floor(F.col("at") / size), F.col("at") % size
+    to = lambda n, own: F.struct(n.cast("long").alias("range"), F.lit(own).alias("own"))
+    ranges = F.array_compact(F.array(to(own, True), F.when(inside < half, to(own - 1, False)), F.when(inside >= size - half, to(own + 1, False))))
+    dealt = placed.select("curve", "at", "id", "is_query", F.explode(ranges).alias("to")).select("to.range", "at", "curve", "id", "is_query", "to.own")
+    dealt = dealt.join(vectors.select("id", "v"), "id").repartition("range").sortWithinPartitions("range", "at")
+    return dealt.select("range", "curve", "id", "is_query", "own", "v").mapInArrow(near, FOUND)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, vector_id: str = "vec_id", vector: str = "embedding", half: int = HALF_WINDOW, widen: bool = False, seed: int = 11) -> DataFrame:
+    """query_id, rank, vec_id, score: the k rows of largest inner product with each query row, as found.
 
     Every row but the query's own is a candidate; fewer than k give all. Scores are in double
-    precision, ties (to 12 places) go to the smaller id. Rows whose id is null or whose vector is
-    null, zero or holds null or non-finite components take no part, nor do rows whose vector is
-    not of the commonest length (the least of equals). Repeated rows of one id are one candidate.
-    ``widen=False`` leaves it at the windows (approximate). Other columns are not read.
+    precision on the original vectors, equal ones go to the smaller id. Rows whose id is null or
+    whose vector is null, zero or holds null or non-finite components take no part, nor do rows whose
+    vector is not of the commonest length (the least of equals). Rows that repeat an id are one
+    candidate, with the least of their vectors (and a query, if one of them is). Equal vectors, also
+    very many of them, are told apart by their ids in the orderings, so no range grows. No rows, or
+    no query: no rows. Other columns are not read, whatever their names.
+
+    With up to ``half`` + 1 usable rows all are found. Beyond, each is found if some ordering places it
+    within ``half`` places of the query. ``widen`` searches on until nothing is missed, at a cost that
+    grows with queries times rows where the vectors have no structure.
     """
-    clean = vectors.select(F.col(vector_id).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.col(vector).cast("array<double>").alias("v"))
+    clean = vectors.select(F.col(vector_id).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.col(vector).alias("v"))
     clean = clean.filter(F.col("id").isNotNull() & usable(F.col("v")))
     lengths = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
     if lengths is None:
         return clean.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    clean = clean.filter(F.size("v") == lengths["n"]).dropDuplicates(["id", "is_query"])
-    sample = clean.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
-    curves = _curves(lengths["n"], np.array(sample["v"].tolist(), dtype=np.float64), seed)
+    clean = settle(clean.filter(F.size("v") == lengths["n"]).groupBy("id").agg(F.max("is_query").alias("is_query"), F.min("v").alias("v")))
+    sample = clean.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).toArrow()
+    curves = _curves(_matrix(sample.column("v")), seed)
     found = settle(_ranked(_windows(clean, curves, k, half), k))
     if not widen:
         return found.select("query_id", "rank", "vec_id", "score")
@@ -159,10 +167,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, vector_id: str
     def first_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                v = np.array(batch.column(2).to_pylist(), dtype=np.float64)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_keys(v, curves[0]))], names=["id", "is_query", "v", "place"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_keys(_matrix(batch.column(2)), curves[0]))], names=["id", "is_query", "v", "place"])
 
-    placed = clean.mapInArrow(first_key, "id long, is_query boolean, v array<double>, place long")
+    placed = clean.select("id", "is_query", F.col("v").cast("array<double>").alias("v")).mapInArrow(first_key, "id long, is_query boolean, v array<double>, place long")
     rows = lengths["count"]
     # blocks are cut at quantiles of the first ordering; many rows at one place are dealt by a hash
     blocks = max(1, -(-rows // BLOCK))
@@ -186,8 +193,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, vector_id: str
         centre = v.mean(axis=0)
         radius = np.sqrt(((v - centre) ** 2).sum(axis=1).max())
         reach = q @ centre + np.sqrt((q * q).sum(axis=1)) * radius
-        own = np.flatnonzero(reach >= left["least"].to_numpy() - 1e-9)
-        return _best(left["query_id"].to_numpy()[own], q[own], right["id"].to_numpy(), v, k, left["least"].to_numpy()[own])
+        own = np.flatnonzero(reach >= left["least"].to_numpy() - NEAR)
+        some = [own[at : at + 256] for at in range(0, len(own), 256)]
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return pd.concat([none.astype({"query_id": "int64", "vec_id": "int64"}), *[_best(left["query_id"].to_numpy()[x], q[x], right["id"].to_numpy(), v, k, np.ones((len(x), len(v)), dtype=bool)) for x in some]])
 
     more = asking.groupBy("q", "block").cogroup(offered.groupBy("q", "block")).applyInPandas(widened, FOUND)
     return _ranked(found.select("query_id", "vec_id", "score").unionByName(more), k).select("query_id", "rank", "vec_id", "score")
