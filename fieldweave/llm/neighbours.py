@@ -28,7 +28,7 @@ from fieldweave.llm.split import cuts_below
 from fieldweave.shared import numbered, settle
 
 #: Orderings; dimensions of a projection; bits of a key; places on either side in a window.
-ORDERINGS, DIMENSIONS, BITS, HALF_WINDOW = 32, 20, 60, 512
+ORDERINGS, DIMENSIONS, BITS, HALF_WINDOW = 40, 20, 60, 512
 #: Rows that fit the cells of the projections; rows of a range, a block and a block of queries.
 SAMPLE, RANGE_ROWS, BLOCK, QUERY_BLOCK = 5_000, 20_000, 16_384, 4_096
 #: Scores of a matrix product that are nearer than this are told apart by the exact ones.
