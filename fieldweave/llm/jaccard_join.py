@@ -2,11 +2,16 @@
 
 1. Texts with equal shingle sets fall together into one *node* (a hash of the set).
 2. Bands of MinHash values deal the nodes into buckets; band and row counts follow from the recall
-   wanted at the threshold. Within a bucket all pairs are compared by their whole MinHash rows
-   (a byte a value) and those near the threshold are joined, by blocks if the bucket is large.
-3. In the groups that arise, all pairs are verified on their full shingle sets, by blocks of a
-   matrix product, so a link that the bands missed is found too. Links are counted inside the task;
-   only one edge for each joined node leaves it, to give the classes as components.
+   wanted at the threshold. Within a bucket nodes are compared by their whole MinHash rows (a byte a
+   value) and those near the threshold are joined. A large bucket is dealt to blocks, and some of its
+   nodes, the leaders, go to every block; what these have not joined meets by pairs of blocks.
+3. In the groups that arise, pairs are verified on their full shingle sets, by blocks of a matrix
+   product, so a link that the bands missed is found too. Links are counted inside the task; only one
+   edge for each joined node leaves it, to give the classes as components.
+4. A large group gets centres: sets of shingles that most of some similar members have. The distance
+   of two sets (how many shingles only one of them has) obeys the triangle inequality, so distances
+   to a centre tell of most pairs whether they are linked: these are counted by class, without being
+   made. Only classes whose distances leave it open meet by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -14,17 +19,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm.shingles import Words, mixed, shingle_hashes
+from fieldweave.llm.split import free
 from fieldweave.operators.components import components
 from fieldweave.shared import settle, small
 
-#: Nodes in a block of a bucket and in a block of a group.
-BUCKET_BLOCK, GROUP_BLOCK = 512, 256
+#: Nodes in a block of a bucket and in a block of a group; leaders of a large bucket.
+BUCKET_BLOCK, GROUP_BLOCK, LEADERS = 512, 256, 8
+#: Members of a large group that give its centres, and their bytes; most centres; shells about a
+#: centre. They decide how many pairs have to be compared, never which pairs are linked.
+SAMPLE, SAMPLE_BYTES, CENTRES, SHELLS = 200, 64 << 20, 16, 9
 #: Under the threshold by so much, the share of equal MinHash values still counts as near: over five
 #: standard errors at 72 values.
 SLACK = 0.25
@@ -91,16 +101,17 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def in_blocks(df: DataFrame, size: Column, block: int) -> DataFrame:
-    """Copies each row to every pair of blocks of its group that holds it: columns b1 <= b2, own.
+def in_blocks(df: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
+    """Copies each row to the pairs of blocks in which it meets others: columns b1 <= b2, own.
 
-    ``size`` bounds the rows of the group; rows are dealt to blocks by a hash of their node, so any
-    group spreads over as many tasks as it has pairs of blocks.
+    plan: for each klass of a group (``keys``) its first block, its number of blocks and the blocks
+    that it meets. Rows are dealt to the blocks of their klass by a hash of their node, so any group
+    spreads over as many tasks as it has pairs of blocks that must meet.
     """
-    df = df.withColumn("__n", F.greatest(F.lit(1), F.ceil(size / F.lit(block))).cast("int"))
-    df = df.withColumn("own", F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.col("__n")).cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    return df.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("other", "__n")
+    met = df.join(small(plan), [*keys, "klass"])
+    met = met.withColumn("own", (F.col("first") + F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks"))).cast("int"))
+    met = met.withColumn("other", F.explode("meets"))
+    return met.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("other", "first", "blocks", "meets")
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -221,6 +232,179 @@ def links(groups: DataFrame, threshold: float) -> DataFrame:
     return dealt.select("root", "b1", "b2", "own", "node", "copies", "shingles").mapInArrow(run, "node long, other long, n long")
 
 
+def joined_in_buckets(members: DataFrame, rows: DataFrame, values: int, threshold: float) -> DataFrame:
+    """node, root: groups of nodes that are near each other by their MinHash values.
+
+    members: band, value, node of buckets with several nodes; rows: node, bytes. First each block of
+    a bucket is compared within itself and with the leaders of the bucket. Where a large bucket still
+    holds several groups, all but the largest of them meet all blocks.
+    """
+    keys = ["band", "value"]
+    sizes = settle(members.groupBy(*keys).agg(F.count("*").alias("size")))
+    large = sizes.filter(F.col("size") > BUCKET_BLOCK)
+    blocks = F.ceil(F.col("size") / F.lit(BUCKET_BLOCK)).cast("int")
+    once = members.join(small(sizes), keys).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")).drop("size")
+    few = large.isEmpty()
+    if not few:
+        large = settle(large)
+        led = members.join(small(large), keys).groupBy(*keys, "size", F.pmod(F.xxhash64("node", F.lit(8)), F.lit(LEADERS)).alias("part"))
+        led = settle(led.agg(F.min_by("node", F.xxhash64("node", F.lit(9))).alias("node")))
+        once = once.unionByName(led.select(*keys, "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own")))
+    rows = small(rows)
+    compared = once.select("*", F.col("own").alias("b1"), F.col("own").alias("b2")).join(rows, "node")
+    near = settle(near_edges(compared, values, threshold))
+    groups = settle(components(near))
+    if few:
+        return groups
+    inside = members.join(small(large.select(*keys)), keys).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    inside = settle(inside)
+    roots = inside.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+    open_ = roots.groupBy(*keys).agg(F.count("*").alias("roots"), F.max_by("root", "n").alias("most"), F.max("n").alias("main"), F.sum("n").alias("all")).filter(F.col("roots") > 1)
+    open_ = settle(open_)
+    if open_.isEmpty():
+        return groups
+    count = lambda n: F.ceil(n / F.lit(BUCKET_BLOCK)).cast("int")
+    main, rest = count(F.col("main")), count(F.col("all") - F.col("main"))
+    sequence = lambda low, n: F.sequence(low, low + n - 1)
+    plan = open_.select(*keys, F.lit(0).alias("klass"), F.lit(0).alias("first"), main.alias("blocks"), sequence(main, rest).alias("meets"))
+    plan = settle(plan.unionByName(open_.select(*keys, F.lit(-1).alias("klass"), main.alias("first"), rest.alias("blocks"), sequence(F.lit(0), main + rest).alias("meets"))))
+    inside = inside.join(small(open_.select(*keys, "most")), keys).withColumn("klass", F.when(F.col("root") == F.col("most"), 0).otherwise(-1)).drop("most", "root")
+    more = near_edges(in_blocks(inside, plan, keys).join(rows, "node"), values, threshold)
+    return settle(components(near.unionByName(more)))
+
+
+def majority(sets: list[np.ndarray]) -> np.ndarray:
+    """What more than half of the sets hold."""
+    value, n = np.unique(np.concatenate(sets), return_counts=True)
+    return value[2 * n > len(sets)]
+
+
+def centres_of(sets: list[np.ndarray], threshold: float) -> list[np.ndarray]:
+    """At most ``CENTRES`` sets that the given ones lie about, those with the most sets first."""
+    size = np.array([len(s) for s in sets], dtype=np.float64)
+    both = overlaps(sets, sets).astype(np.float64)
+    near = both >= threshold * (size[:, None] + size[None, :] - both)
+    left, found = np.ones(len(sets), dtype=bool), []
+    while len(found) < CENTRES and left.any():
+        degree = np.where(left, (near & left[None, :]).sum(axis=1), -1)
+        own = near[int(degree.argmax())] & left
+        if own.sum() < 2:
+            break
+        found.append(majority([sets[i] for i in np.flatnonzero(own)]))
+        left &= ~own
+    return [c for c in found if len(c)]
+
+
+def distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values only one of two sets holds."""
+    return np.array([len(x) for x in a], dtype=np.float64)[:, None] + np.array([len(x) for x in b], dtype=np.float64)[None, :] - 2 * overlaps(a, b).astype(np.float64)
+
+
+def centres(big: DataFrame, stats: DataFrame, threshold: float) -> DataFrame:
+    """root, centre (number), shingles, apart (distances to the root's centres) from some members of each root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches, 1):
+            found = centres_of([np.frombuffer(b, dtype=np.uint64) for b in table.column("shingles")[:SAMPLE].to_pylist()], threshold)
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([table.column("root")[0].as_py()] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array([c.tobytes() for c in found], pa.binary()), pa.array(distances(found, found).tolist(), pa.list_(pa.float64()))], names=["root", "centre", "shingles", "apart"]
+                )
+
+    wanted = F.least(F.lit(2.0 * SAMPLE), F.lit(float(SAMPLE_BYTES)) / F.greatest(F.col("bytes"), F.lit(1.0)))
+    drawn = F.pmod(F.xxhash64("node", F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = big.join(small(stats), "root").filter(drawn * F.col("members") < wanted).withColumn("drawn", drawn)
+    return some.repartition("root").sortWithinPartitions("root", "drawn").select("root", "shingles").mapInArrow(run, "root long, centre int, shingles binary, apart array<double>")
+
+
+def placed_about(big: DataFrame, stats: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """``big`` with size, distance to the nearest centre, spare (what is left of it until a set of this
+    size is no longer sure to be linked) and klass: centre * SHELLS + shell, -1 far from all centres."""
+    share = (1 - threshold) / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_group(batches, 2):
+            guest = table.column("node").is_null().to_numpy(zero_copy_only=False)
+            about = [np.frombuffer(b, dtype=np.uint64) for b in table.filter(pa.array(guest)).column("shingles").to_pylist()]
+            table = table.filter(pa.array(~guest)).combine_chunks()
+            sets = [np.frombuffer(b, dtype=np.uint64) for b in table.column("shingles").to_pylist()]
+            size = np.array([len(s) for s in sets], dtype=np.float64)
+            if not len(sets):
+                continue
+            d = distances(sets, about) if about else np.full((len(sets), 1), np.inf)
+            best = d.argmin(axis=1)
+            d = d[np.arange(len(d)), best]
+            shell = np.minimum(4 * d / (share * size), SHELLS)  # pairs are sure to be linked if their shells add up to 8 at most, sizes alike
+            klass = np.where(shell < SHELLS, best * SHELLS + np.floor(shell), -1).astype(np.int32)
+            d = np.where(klass < 0, 0.0, d)
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("root", "node", "copies", "shingles")), pa.array(klass), pa.array(size), pa.array(d), pa.array(share * size - d)], names=["root", "node", "copies", "shingles", "klass", "size", "d", "spare"])
+
+    parts = F.ceil(F.col("members") / F.lit(2 * GROUP_BLOCK)).cast("int")
+    own = big.join(small(stats), "root").select("root", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int").alias("part"), "node", "copies", "shingles", F.lit(0).alias("centre"))
+    guests = found.join(small(stats), "root").select("root", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("copies"), "shingles", "centre")
+    dealt = own.unionByName(guests).repartition("root", "part").sortWithinPartitions("root", "part", F.col("node").isNotNull(), "centre")
+    return dealt.select("root", "part", "node", "copies", "shingles").mapInArrow(run, "root long, node long, copies long, shingles binary, klass int, size double, d double, spare double")
+
+
+PLAN = "root long, klass int, first int, blocks int, meets array<int>, sure long, itself boolean, head long"
+
+
+def plan_of(threshold: float):
+    """For the klasses of a root: which are linked as they stand, and the blocks that others have to meet."""
+    share = (1 - threshold) / (1 + threshold)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("klass").reset_index(drop=True)
+        klass, n, copies, low = (rows[c].to_numpy() for c in ("klass", "n", "copies", "low"))
+        spare, d_low, d_high, s_low, s_high = (rows[c].to_numpy(dtype=np.float64) for c in ("spare", "d_low", "d_high", "s_low", "s_high"))
+        centre = np.where(klass < 0, -1, klass // SHELLS)
+        blocks = -(-n // GROUP_BLOCK)
+        first = np.cumsum(blocks) - blocks
+        same = (centre[:, None] == centre[None, :]) & (centre >= 0)[:, None]
+        sure = same & (spare[:, None] + spare[None, :] >= 0)
+        reach = share * (s_high[:, None] + s_high[None, :]) + 1e-6
+        far = (s_high[:, None] < (threshold - 1e-6) * s_low[None, :]) | (s_high[None, :] < (threshold - 1e-6) * s_low[:, None])
+        far |= same & (np.maximum(d_low[:, None] - d_high[None, :], d_low[None, :] - d_high[:, None]) > reach)
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if centre[i] >= 0 and centre[j] >= 0 and centre[i] != centre[j]:
+                    far[i, j] |= rows["apart"][i][centre[j]] - d_high[i] - d_high[j] > reach[i, j]
+        meets = [[b for j in np.flatnonzero(~sure[i] & ~far[i]) for b in range(first[j], first[j] + blocks[j])] for i in range(len(rows))]
+        total = (sure * copies[None, :]).sum(axis=1)
+        head = [int(low[sure[i]].min()) if sure[i].any() else None for i in range(len(rows))]
+        return pd.DataFrame({"root": rows["root"], "klass": klass, "first": first, "blocks": blocks, "meets": meets, "sure": total, "itself": np.diagonal(sure), "head": pd.array(head, dtype="Int64")})
+
+    return run
+
+
+def verified_links(known: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """node, other, n as ``links`` gives them, for the groups of ``known`` (node, root, key, copies)."""
+    sets = shingle_sets(docs, known.select("key"), n).dropDuplicates(["node"])
+    sizes = settle(known.groupBy("root").agg(F.count("*").alias("members")))
+    large = sizes.filter(F.col("members") > GROUP_BLOCK)
+    whole = [F.lit(0).alias(c) for c in ("b1", "b2", "own")]
+    if large.isEmpty():
+        return links(sets.join(known.drop("key"), "node").select("root", *whole, "node", "copies", "shingles"), threshold)
+    large = small(settle(large))
+    every = settle(sets.join(known.drop("key"), "node").join(large, "root", "left"))
+    big = every.filter(F.col("members").isNotNull()).drop("members")
+    stats = settle(every.filter(F.col("members").isNotNull()).groupBy("root", "members").agg(F.avg(F.octet_length("shingles")).alias("bytes")))
+    found = settle(centres(big, stats, threshold))
+    placed = settle(placed_about(big, stats, found, threshold))
+    klasses = placed.groupBy("root", "klass").agg(
+        F.count("*").alias("n"), F.sum("copies").alias("copies"), F.min("node").alias("low"), F.min("spare").alias("spare"), F.min("d").alias("d_low"), F.max("d").alias("d_high"), F.min("size").alias("s_low"), F.max("size").alias("s_high")
+    )
+    klasses = klasses.join(found.select("root", (F.col("centre") * SHELLS).alias("at"), "apart"), (klasses["root"] == found["root"]) & (F.floor(F.col("klass") / SHELLS) * SHELLS == F.col("at")), "left").select(klasses["*"], "apart")
+    plan = settle(klasses.groupBy("root").applyInPandas(plan_of(threshold), PLAN))
+    meeting = in_blocks(placed.select("root", "klass", "node", "copies", "shingles"), plan.filter(F.size("meets") > 0).select("root", "klass", "first", "blocks", "meets"), ["root"])
+    columns = ["root", "b1", "b2", "own", "node", "copies", "shingles"]
+    met = links(every.filter(F.col("members").isNull()).select("root", *whole, "node", "copies", "shingles").unionByName(meeting.select(*columns)), threshold)
+    told = placed.select("root", "klass", "node", "copies").join(small(settle(plan.filter(F.col("head").isNotNull()).select("root", "klass", "sure", "itself", "head"))), ["root", "klass"])
+    edges = told.filter(F.col("head") != F.col("node")).select("node", F.col("head").alias("other"), F.lit(0).cast("long").alias("n"))
+    sure = told.select("node", F.lit(0).cast("long").alias("other"), (F.col("sure") - F.when(F.col("itself"), F.col("copies")).otherwise(F.lit(0))).alias("n"))
+    return met.unionByName(edges).unionByName(sure.filter(F.col("n") > 0))
+
+
 def shingle_sets(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
     """node, shingles (sorted 64-bit numbers) of the documents whose row key is in ``keys`` (key)."""
     picked = docs.select(row_key().alias("key"), "text").join(small(keys), "key", "left_semi").select("text")
@@ -255,16 +439,11 @@ def near_classes(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall:
     buckets = dealt.groupBy("band", "value").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     buckets = small(settle(buckets.filter(F.col("low") != F.col("high")).select("band", "value")))
     members = settle(dealt.join(buckets, ["band", "value"]).distinct())
-    sizes = small(settle(members.groupBy("band", "value").agg(F.count("*").alias("size"))))
     rows_of = nodes.join(small(settle(members.select("node").distinct())), "node").select("node", "bytes").dropDuplicates(["node"])
-    blocks = in_blocks(members.join(sizes, ["band", "value"]), F.col("size"), BUCKET_BLOCK)
-    near = near_edges(blocks.join(small(settle(rows_of)), "node"), values, threshold)
-    groups = settle(components(near))
+    groups = joined_in_buckets(members, settle(rows_of), values, threshold)
     known = nodes.join(small(groups), "node").groupBy("node", "root").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
     known = settle(known)
-    sets = shingle_sets(docs, known.select("key"), n).dropDuplicates(["node"])
-    sizes = known.groupBy("root").agg(F.count("*").alias("members"))
-    verified = settle(links(in_blocks(sets.join(known.drop("key"), "node").join(sizes, "root"), F.col("members"), GROUP_BLOCK), threshold))
+    verified = settle(verified_links(known, docs, n, threshold))
     classes = components(verified.filter(F.col("n") == 0).select(F.col("node").alias("u"), F.col("other").alias("v")))
     linked = verified.groupBy("node").agg(F.sum("n").alias("others"))
     # every node: its class, its documents and those linked with it
@@ -295,7 +474,8 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     kept_twice = grouped.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("key")
     gone = gone.withColumn("all", F.lit(True)).unionByName(kept_twice.withColumn("all", F.lit(False)))
     gone = settle(gone.groupBy("key").agg(F.max("all").alias("all")))
-    left = docs.withColumn("__key", row_key()).join(small(gone).select(F.col("key").alias("__key"), F.col("all").alias("__all")), "__key", "left")
-    once = left.filter(F.col("__all").isNull()).select(*docs.columns)
-    repeated = left.filter(~F.col("__all")).dropDuplicates(["__key"])
+    key, every = free("__key", docs.columns), free("__all", docs.columns)
+    left = docs.withColumn(key, row_key()).join(small(gone).select(F.col("key").alias(key), F.col("all").alias(every)), key, "left")
+    once = left.filter(F.col(every).isNull()).select(*docs.columns)
+    repeated = left.filter(~F.col(every)).dropDuplicates([key])
     return once.unionByName(repeated.select(*docs.columns))

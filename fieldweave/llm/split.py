@@ -1,4 +1,4 @@
-"""Who may be learnt from, by crc32 of the id as text; and places of values between cuts."""
+"""Who may be learnt from, by crc32 of the id as text; places of values between cuts; free column names."""
 
 from __future__ import annotations
 
@@ -25,3 +25,11 @@ def cuts_below(value: Column, cuts: list[int]) -> Column:
     group = below(longs([g[0] for g in groups]))
     inside = below(F.element_at(F.array(*map(longs, groups)), F.greatest(group, F.lit(1))))
     return F.when(group == 0, F.lit(0)).otherwise((group - 1) * size + inside)
+
+
+def free(name: str, columns: list[str]) -> str:
+    """``name``, with underlines behind it until no column is called so (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from fieldweave.llm.bwt import repeated_starts
 from fieldweave.llm.jaccard_join import by_group
 from fieldweave.llm.shingles import mixed
+from fieldweave.llm.split import free
 from fieldweave.shared import settle, small
 
 #: Bytes of an anchor, at most a quarter of the window.
@@ -287,14 +288,6 @@ def spans(docs: DataFrame, least: int) -> DataFrame:
     return runs.groupBy("key", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
 
 
-def free(name: str, columns: list[str]) -> str:
-    """``name``, with underlines behind it until no column is called so (in any case of letters)."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def without_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
     """``docs`` with the text that dedup_substrings leaves, null as empty; columns stay as they are.
 

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
-from fieldweave.llm.jaccard_join import bands_for, keep_one, minhashes, near_classes, overlaps
+from fieldweave.llm import jaccard_join
+from fieldweave.llm.jaccard_join import bands_for, centres_of, distances, keep_one, minhashes, near_classes, overlaps
 from fieldweave.llm.shingles import Words, shingle_hashes
 
 
@@ -44,6 +46,67 @@ def test_against_all_pairs(spark):
     assert sorted(map(tuple, got), key=str) == brute_force(rows)
 
 
+def families(seed=5):
+    """Near copies of a few texts, with few to many words changed, and chains that drift away."""
+    rng = random.Random(seed)
+    word = lambda: "w%d" % rng.randrange(5000)
+    texts = []
+    for size, n, most in ((150, 120, 6), (400, 60, 25), (60, 40, 2)):
+        base = [word() for _ in range(size)]
+        for _ in range(n):
+            own = list(base)
+            for _ in range(rng.randrange(most + 1)):
+                own[rng.randrange(size)] = word()
+            texts.append(" ".join(own + [word() for _ in range(rng.randrange(3))]))
+    own = [word() for _ in range(200)]
+    for _ in range(60):
+        own[rng.randrange(200)] = word()
+        texts.append(" ".join(own))
+    return list(enumerate(texts + texts[:9]))
+
+
+@pytest.mark.parametrize(("bucket", "group", "sample"), [(16, 8, 30), (7, 50, 200), (512, 20, 3)])
+def test_large_groups_against_all_pairs(spark, monkeypatch, bucket, group, sample):
+    for name, value in (("BUCKET_BLOCK", bucket), ("GROUP_BLOCK", group), ("SAMPLE", sample), ("LEADERS", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = families()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_classes(df).select("doc_id", "class_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == brute_force(rows)
+
+
+def test_pairs_of_near_copies_are_not_made(spark):
+    rng = random.Random(3)
+    base = ["w%d" % k for k in range(300)]
+    rows = []
+    for k in range(3000):
+        own = list(base)
+        own[rng.randrange(300)] = "x%d" % k
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    copied, real = [], jaccard_join.in_blocks
+
+    def counted(*args):
+        out = real(*args)
+        copied.append(out.count())
+        return out
+
+    jaccard_join.in_blocks = counted
+    try:
+        got = near_classes(df).collect()
+    finally:
+        jaccard_join.in_blocks = real
+    assert {r.n_links for r in got} == {2999} and {r.class_id for r in got} == {0}
+    assert sum(copied) < 3000
+
+
+def test_centres_and_distances():
+    base = np.arange(200, dtype=np.uint64)
+    sets = [np.union1d(np.delete(base, range(k, k + 5)), np.uint64(1000 + k)) for k in range(9)] + [np.arange(5000, 5100, dtype=np.uint64)]
+    centre, = centres_of(sets, 0.8)
+    assert (distances(sets, [centre])[:9, 0] <= 12).all() and distances(sets, [centre])[9, 0] >= 250
+
+
 def test_one_of_each_class_stays(spark):
     rows = corpus(2)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows] + [(rows[0][0], rows[0][1], "x")], "doc_id long, text string, class_id string")
