@@ -19,14 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.shared import settle
+from fieldweave.shared import settle, small
 
 #: Hashed features; most labelled rows that the classifier is fitted on.
 BUCKETS, TRAINING_ROWS = 1 << 18, 20_000
 #: Weights of the counterfactual and the L1 term; features of fewer training texts are not used.
 PAIRING, L1, LEAST = 1.0, 2e-4, 3
-#: Most features that the classifier is fitted on.
-CHOSEN = 5_000
+#: Features whose chi-square with the label is below this (10 of 100 would pass it by chance) are not used.
+LEVEL = 2.71
 #: Terms for groups of people, by kind; a term is swapped for the others of its kind (fixed values).
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "trans", "nonbinary"),
@@ -149,11 +149,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, rows: int = TRAINI
     """Learns from at most ``rows`` labelled rows (lowest hash of the id) where ``learn`` holds.
 
     ``labels`` has doc_id and toxic; rows with a null in either teach nothing. An id labelled twice
-    counts with its larger label. The features that tell most come to the driver, not the texts.
+    counts with its larger label; of documents that share an id one teaches, that of the least hash
+    of its text. Null texts read as empty, long ones are read whole. The features that tell of the
+    label come to the driver, not the texts. No labelled rows: every score is low (0.05).
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    known = settle(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    one = hashed.select("doc_id", "hash").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("hash").alias("hash"))
+    sample = hashed.join(small(settle(one)), ["doc_id", "hash"]).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Features()
@@ -163,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, rows: int = TRAINI
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([own.of(t) for t in tokens], ints), pa.array([None if o is None else own.of(o) for o in other], ints)], names=["doc_id", "toxic", "cells", "other"])
 
-    told = settle(sample.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, cells array<int>, other array<int>"))
+    told = sample.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, cells array<int>, other array<int>")
+    told = settle(told.dropDuplicates(["doc_id"]))
     met = told.select("toxic", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).toPandas()  # BUCKETS rows at most
     total, toxic = told.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     chosen = telling(met["cell"].to_numpy(dtype=np.int64), met["n"].to_numpy(dtype=float), met["toxic"].to_numpy(dtype=float), total, toxic)
@@ -180,19 +185,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, rows: int = TRAINI
 
 
 def telling(cells: np.ndarray, n: np.ndarray, toxic: np.ndarray, total: int, all_toxic: int) -> np.ndarray:
-    """The ``CHOSEN`` features that tell most of the label (chi-square), and those of identity terms."""
+    """The features that tell of the label (chi-square of at least ``LEVEL``), and those of identity terms."""
     expected = n * all_toxic / max(1, total)
     strength = (toxic - expected) ** 2 / np.maximum(expected * (1 - n / max(1, total)), 1e-9)
-    strength[n < LEAST] = -1
-    best = np.lexsort((cells, -strength))[:CHOSEN]
     own = Features()
-    return np.union1d(cells[best[strength[best] > 0]], own.of([t for kind in IDENTITY_TERMS for t in kind])).astype(np.int32)
+    return np.union1d(cells[(n >= LEAST) & (strength >= LEVEL)], own.of([t for kind in IDENTITY_TERMS for t in kind])).astype(np.int32)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with toxicity (0 to 1) of every whole text, null read as empty; the text stays.
 
-    An input column named toxicity is replaced, others pass through; repeated rows are scored each.
+    An input column named toxicity is replaced, others pass through, nulls too; repeated rows are
+    scored each, equal texts alike. Very long texts are read whole, a text at a time. No rows: no rows.
     """
     docs = docs.drop("toxicity")
     names = docs.columns
