@@ -1,11 +1,19 @@
 """Language-model scoring with a Brown class bigram model.
 
-p(text) = product of p(class | class before) p(word | class). Words are gathered into classes by the
-exchange algorithm on bigram counts: each unit in turn moves to the class that raises the likelihood
-most. A unit is one of the most frequent words, the end of a text, or all other words with endings of
-one hash; so every word, a new one too, has a class, and the exchange works on a table of fixed size
-that Spark has summed over all training texts. Word counts cover every word; those of rare words,
-whose number is unbounded, reach the texts by a join.
+p(text) = product of p(class | class before) p(word | class).
+
+1. The exchange algorithm makes the classes, on the bigram counts of units: each unit in turn moves to
+   the class that raises the likelihood most. A unit is one of the most frequent words, the end of a
+   text, or all other words with endings of one hash; so the exchange works on a table of fixed size
+   that Spark has summed over all training texts.
+2. Every other word with a share of ``SHARE`` of all tokens (a million words at most, in a corpus of
+   any size; each seen word, in one of a million tokens) then moves to the class of best likelihood:
+   Spark sums its bigrams with the classes, and its ending's bigrams count as a few more of its own.
+3. Class bigrams are summed over all texts anew, with these classes. Words that are rarer or unseen
+   have the class of their ending.
+
+Word counts cover every word; those of rare words, whose number is unbounded, reach the texts by a join.
+Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,44 +29,59 @@ from pyspark.sql import functions as F
 
 from fieldweave.shared import settle
 
-#: Word classes; units; units that are hashes of endings (a power of two).
+#: Word classes; units; units that are hashes of endings.
 CLASSES, UNITS, ENDINGS = 64, 4096, 1024
+#: Share of all tokens from which a word has a class of its own; bigrams that its ending counts for.
+SHARE, PRIOR = 1e-6, 4.0
 #: Most frequent words whose counts go to every task; the others' are joined.
 FREQUENT = 500_000
 #: Words whose hashes a Python worker remembers.
 REMEMBERED = 100_000
 #: Added to each word's count; weight of the class frequencies in the transitions; exchange passes.
 ADDED, BACKED, PASSES = 0.5, 5.0, 8
-#: The bits of a word's hash that number its ending.
-_LOW = np.uint64(ENDINGS - 1)
+
+
+class _Endings(dict):
+    """Number of each word's ending."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh32_intdigest(word[-3:]) % ENDINGS
+        return found
 
 
 class Hashes(dict):
-    """64-bit hash of each word (bytes), whose low bits number its ending."""
+    """64-bit hash of each word (bytes)."""
+
+    def __init__(self):
+        self.endings = _Endings()
 
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word) & ~(ENDINGS - 1) | xxhash.xxh32_intdigest(word[-3:]) % ENDINGS
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Hashes of the words of a text, small letters for A-Z, and the end."""
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and endings of the words of a text, small letters for A-Z, and of the end."""
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if len(self) > REMEMBERED:
             self.clear()
-        found = np.empty(len(words) + 1, dtype=np.uint64)
-        found[:-1] = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-        found[-1] = END
-        return found
+            self.endings.clear()
+        words.append(b"")
+        found = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        return found, np.fromiter(map(self.endings.__getitem__, words), dtype=np.int16, count=len(words))
 
 
 #: Stands for the end of a text: the hash of a word of no letters, which no text holds.
-END = np.uint64(xxhash.xxh3_64_intdigest(b"") & ~(ENDINGS - 1) | xxhash.xxh32_intdigest(b"") % ENDINGS)
+END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 
 
 def _summed(batches: Iterator[pa.RecordBatch], codes, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Numbers of the codes that ``codes(text)`` gives, summed over some millions at a time."""
+    """How often each code of ``codes(text)`` comes, over some millions at a time; ``codes`` may give
+    (codes, what else belongs to each code)."""
 
-    def flushed(parts: list[np.ndarray]) -> pa.RecordBatch:
+    def flushed(parts: list) -> pa.RecordBatch:
+        if isinstance(parts[0], tuple):
+            value, at, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.concatenate([p[1] for p in parts])[at].astype(np.int32)), pa.array(n)], names=names)
         value, n = np.unique(np.concatenate(parts), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=names)
 
@@ -66,7 +89,7 @@ def _summed(batches: Iterator[pa.RecordBatch], codes, names: list[str]) -> Itera
     for batch in batches:
         for text in batch.column(0).to_pylist():
             parts.append(codes(text))
-            size += len(parts[-1])
+            size += len(parts[-1][0] if isinstance(parts[-1], tuple) else parts[-1])
             if size >= 3_000_000:
                 yield flushed(parts)
                 parts, size = [], 0
@@ -75,13 +98,21 @@ def _summed(batches: Iterator[pa.RecordBatch], codes, names: list[str]) -> Itera
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word (hash), n over all texts, the end of each text included."""
+    """word (hash), ending, n over all texts, the end of each text included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        return _summed(batches, hashes.of, ["word", "n"])
+        return _summed(batches, hashes.of, ["word", "ending", "n"])
+
+    return texts.select("text").mapInArrow(run, "word long, ending int, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
+
 
-    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value in the sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(values), dtype=np.int64), np.zeros(len(values), dtype=bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
 
 
 @dataclass
@@ -90,27 +121,106 @@ class Units:
 
     words: np.ndarray  #: sorted hashes of the frequent words
     number: np.ndarray  #: their units
+    size: int  #: how many units there are, the ``ENDINGS`` last ones included
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.number[at], (UNITS - ENDINGS) + (hashes & _LOW).astype(np.int64))
+    def of(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        at, hit = _found(self.words, hashes)
+        return np.where(hit, self.number[at], (self.size - ENDINGS) + endings.astype(np.int64))
+
+
+@dataclass
+class Classes:
+    """The classes of words: their own, or those of their endings."""
+
+    words: np.ndarray  #: sorted hashes of the words with a class of their own
+    own: np.ndarray  #: their classes
+    endings: np.ndarray  #: class of each ending
+
+    def of(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        at, hit = _found(self.words, hashes)
+        return np.where(hit, self.own[at], self.endings[endings])
 
 
 def unit_bigrams(texts: DataFrame, units: Units) -> DataFrame:
-    """code = unit * UNITS + next unit, n; a text begins after an end and closes with one."""
+    """code = unit * units.size + next unit, n; a text begins after an end and closes with one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
 
         def codes(text: str | None) -> np.ndarray:
-            own = units.of(hashes.of(text))
-            return np.concatenate(([0], own[:-1])) * UNITS + own
+            own = units.of(*hashes.of(text))
+            return np.concatenate(([0], own[:-1])) * units.size + own
 
         return _summed(batches, codes, ["code", "n"])
 
     return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def class_bigrams(texts: DataFrame, classes: Classes, n: int) -> np.ndarray:
+    """Counts of pairs of n classes over all texts."""
+    broad = texts.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, own, met = Hashes(), broad.value, np.zeros(n * n, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                c = own.of(*hashes.of(text)).astype(np.int64)
+                met += np.bincount(np.concatenate((c[-1:], c[:-1])) * n + c, minlength=n * n)
+        some = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(met[some])], names=["code", "n"])
+
+    g = np.zeros(n * n)
+    for r in texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        g[r["code"]] = r["n"]
+    return g.reshape(n, n)
+
+
+def best_classes(texts: DataFrame, classes: Classes, words: np.ndarray, likelihood: np.ndarray, prior: np.ndarray) -> DataFrame:
+    """at (place in ``words``, sorted hashes), class: that of best likelihood by the word's bigrams.
+
+    likelihood: a row for each class before and each class behind, what one such bigram gives to each
+    class; prior: what each word has to begin with.
+    """
+    n = likelihood.shape[1]
+    broad = texts.sparkSession.sparkContext.broadcast((classes, words, likelihood, prior))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (known, asked, _, _) = Hashes(), broad.value
+
+        def codes(text: str | None) -> np.ndarray:
+            hash_, ending = hashes.of(text)
+            c = known.of(hash_, ending).astype(np.int64)
+            at, hit = _found(asked, hash_)
+            here = np.flatnonzero(hit)  # never the end
+            first = at[here] * (2 * n)
+            return np.concatenate((first + c[here - 1], first + n + c[here + 1]))  # before the first word: the end
+
+        return _summed(batches, codes, ["code", "n"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, gains, begin = broad.value
+
+        def told(word: np.ndarray, code: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            at, row = np.unique(word, return_inverse=True)
+            counts = np.zeros((len(at), 2 * n))
+            counts[row, code % (2 * n)] = times
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array((counts @ gains + begin[at]).argmax(axis=1).astype(np.int32))], names=["at", "class"])
+
+        left = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            rows = [np.concatenate((a, b.to_numpy())) for a, b in zip(left, batch.columns, strict=True)]
+            end = np.searchsorted(rows[0], rows[0][-1]) if len(rows[0]) else 0  # the last word may go on
+            if end:
+                yield told(*(r[:end] for r in rows))
+            left = [r[end:] for r in rows]
+        if len(left[0]):
+            yield told(*left)
+
+    summed = texts.select("text").mapInArrow(met, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    dealt = summed.withColumn("word", F.floor(F.col("code") / F.lit(2 * n))).repartition("word").sortWithinPartitions("word")
+    return dealt.select("word", "code", "n").mapInArrow(best, "at long, class int")
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -168,7 +278,7 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = PASSES) -> np.ndar
 @dataclass
 class Model:
     units: Units
-    classes: np.ndarray  #: class of each unit
+    classes: Classes
     step: np.ndarray  #: log10 p(class | class before)
     inside: np.ndarray  #: log10 of what divides (n + ADDED) in each class
     frequent: np.ndarray  #: sorted hashes of the most frequent words
@@ -177,54 +287,78 @@ class Model:
     distinct: int  #: distinct training tokens
 
 
-def fit(texts: DataFrame, *, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``texts`` (text) and the table of all word counts."""
+def fit(texts: DataFrame, *, classes: int = CLASSES, size: int = UNITS) -> tuple[Model, DataFrame]:
+    """The model of all rows of ``texts`` (text, null as empty) and the table of all word counts.
+
+    No rows: every word has the class of its ending, and no count.
+    """
     counts = settle(word_counts(texts))
     # a count so high that few enough words reach it; of the counts themselves there are few
     levels = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    tokens, distinct = sum(n * words for n, words in levels), sum(words for _, words in levels)
+
+    def reaching(level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes (sorted), endings and counts of the words that come so often."""
+        table = counts.filter(F.col("n") >= level).toArrow()
+        word = table.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(word)
+        return word[order], table.column("ending").to_numpy()[order], table.column("n").to_numpy()[order]
 
-    def most(limit: int) -> tuple[np.ndarray, np.ndarray]:
+    def most(limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         reached, level = 0, levels[0][0] + 1 if levels else 1
         for n, words in levels:
             if reached + words > limit:
                 break
             reached, level = reached + words, n
-        table = counts.filter(F.col("n") >= level).toArrow()
-        word, n = table.column("word").to_numpy().view(np.uint64), table.column("n").to_numpy()
-        order = np.argsort(word)
-        return word[order], n[order]
+        return reaching(level)
 
-    top, _ = most(UNITS - ENDINGS - 1)
+    top = most(size - ENDINGS - 1)[0]
     top = top[top != END]
     words = np.append(top, END)
     order = np.argsort(words)
-    units = Units(words[order], np.append(np.arange(1, len(top) + 1), 0)[order])
-    bigrams = np.zeros(UNITS * UNITS, dtype=np.float32)
-    table = unit_bigrams(texts, units).toArrow()  # UNITS squared rows at most
+    units = Units(words[order], np.append(np.arange(1, len(top) + 1), 0)[order], size)
+    bigrams = np.zeros(size * size, dtype=np.float32)
+    table = unit_bigrams(texts, units).toArrow()  # size squared rows at most
     for batch in table.to_batches():
         bigrams[batch.column("code").to_numpy()] = batch.column("n").to_numpy()
     del table
-    bigrams = bigrams.reshape(UNITS, UNITS)
+    bigrams = bigrams.reshape(size, size)
     own = exchange(bigrams, classes)
-    member = np.zeros((UNITS, classes), dtype=np.float32)
-    member[np.arange(UNITS), own] = 1
-    g = (member.T @ (bigrams @ member)).astype(np.float64)
-    # tokens and distinct words of each unit: of the endings by a sum over all words that are no units
-    frequent, n = most(FREQUENT)
-    singles = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(w),) for w in words.view(np.int64)], "word long")), "word", "left_semi")
-    tokens, distinct = np.zeros(classes), np.zeros(classes)
-    for r in singles.collect():
-        c = own[units.of(np.array([r["word"]], dtype=np.int64).view(np.uint64))[0]]
-        tokens[c] += r["n"]
-        distinct[c] += 1
-    others = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(w),) for w in words.view(np.int64)], "word long")), "word", "left_anti")
-    for r in others.groupBy(F.col("word").bitwiseAND(F.lit(ENDINGS - 1)).alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        c = own[UNITS - ENDINGS + r["ending"]]
-        tokens[c] += r["n"]
-        distinct[c] += r["words"]
-    share = (tokens + ADDED) / (tokens.sum() + ADDED * classes)
+    member = np.zeros((size, classes), dtype=np.float32)
+    member[np.arange(size), own] = 1
+    behind, before = (bigrams @ member).astype(np.float64), (bigrams.T @ member).astype(np.float64)
+    del bigrams
+    by_unit = Classes(units.words, own[units.number], own[size - ENDINGS :])
+    g = member.T @ behind
+    # what a bigram with each class gives to a word's likelihood in each class
+    likelihood = np.concatenate((np.log(g + ADDED) - np.log(g.sum(axis=0) + ADDED * classes)[None, :], (np.log(g + ADDED) - np.log(g.sum(axis=1) + ADDED * classes)[:, None]).T))
+    likelihood[:, 0] = -1e9  # the end is alone in its class
+    profile = np.concatenate((before, behind), axis=1)[size - ENDINGS :]
+    prior = PRIOR * (profile / np.maximum(profile.sum(axis=1, keepdims=True), 1)) @ likelihood
+    chosen, ending, _ = reaching(max(1, int(np.ceil(SHARE * tokens))))  # 1 / SHARE words at most
+    others = ~_found(units.words, chosen)[1]
+    rest, ending = chosen[others], ending[others]
+    if len(rest):
+        moved = best_classes(texts, by_unit, rest, likelihood, prior[ending]).toArrow()
+        found = by_unit.endings[ending]
+        found[moved.column("at").to_numpy()] = moved.column("class").to_numpy()
+        words, number = np.concatenate((units.words, rest)), np.concatenate((by_unit.own, found))
+        order = np.argsort(words)
+        by_word = Classes(words[order], number[order].astype(np.int16), by_unit.endings.astype(np.int16))
+    else:
+        by_word = by_unit
+    g = class_bigrams(texts, by_word, classes)
+    # each token follows one other, so the columns count the tokens of each class
+    inside = g.sum(axis=0)
+    known = counts.sparkSession.createDataFrame([(int(w),) for w in units.words.view(np.int64)], "word long")
+    kinds = np.bincount(by_word.own, minlength=classes) - (np.arange(classes) == 0) * (not tokens)
+    rare = counts.filter(F.col("n") < max(1, int(np.ceil(SHARE * tokens)))).join(F.broadcast(known), "word", "left_anti")
+    for r in rare.groupBy("ending").agg(F.count("*").alias("words")).collect():
+        kinds[by_word.endings[r["ending"]]] += r["words"]
+    share = (inside + ADDED) / (inside.sum() + ADDED * classes)
     step = np.log10((g + BACKED * share[None, :]) / (g.sum(axis=1, keepdims=True) + BACKED))
-    return Model(units, own, step, np.log10(tokens + ADDED * (distinct + 1)), frequent, n, int(tokens.sum()), int(distinct.sum())), counts
+    frequent, _, n = most(FREQUENT)
+    return Model(units, by_word, step, np.log10(inside + ADDED * (kinds + 1)), frequent, n, tokens, distinct), counts
 
 
 def score(docs: DataFrame, fitted: tuple[Model, DataFrame]) -> DataFrame:
@@ -232,7 +366,9 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame]) -> DataFrame:
 
     Scores are log10 probabilities of the whole text (null: empty, its end alone). base_score is that
     of words by themselves, each with 0.5 added to its count; score that of the model; perplexity is
-    per token. Repeated rows are scored each; input columns of the result's names are replaced.
+    per token. Repeated rows are scored each, equal texts alike; input columns of the result's names
+    are replaced, others pass through, nulls too. Very long texts are scored whole, one at a time; their
+    rare words are counted before they are joined. No rows: no rows.
     """
     model, counts = fitted
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
@@ -246,12 +382,11 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame]) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for text in batch.column(len(kept)).to_pylist():
-                own = hashes.of(text)
-                c = m.classes[m.units.of(own)]
-                at = np.minimum(np.searchsorted(m.frequent, own), max(0, len(m.frequent) - 1))
-                hit = m.frequent[at] == own if len(m.frequent) else np.zeros(len(own), bool)
-                words = float(logs[at[hit]].sum()) if len(m.frequent) else 0.0
-                moves = float(m.step[np.concatenate(([m.classes[0]], c[:-1])), c].sum() - m.inside[c].sum())
+                own, ending = hashes.of(text)
+                c = m.classes.of(own, ending)
+                at, hit = _found(m.frequent, own)
+                words = float(logs[at[hit]].sum())
+                moves = float(m.step[np.concatenate((c[-1:], c[:-1])), c].sum() - m.inside[c].sum())
                 for to, x in zip(out, (len(own), int(hit.sum()), words, moves, own[~hit].view(np.int64)), strict=True):
                     to.append(x)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
@@ -262,7 +397,7 @@ def score(docs: DataFrame, fitted: tuple[Model, DataFrame]) -> DataFrame:
     schema += (", " if kept else "") + "__tokens long, __hits long, __words double, __moves double, __rare array<long>"
     local = settle(source.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
     rare = local.select("__row", F.explode("__rare").alias("word")).groupBy("__row", "word").agg(F.count("*").alias("times"))
-    met = rare.join(counts, "word", "left").groupBy("__row").agg(
+    met = rare.join(counts.select("word", "n"), "word", "left").groupBy("__row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("__met"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADDED))).alias("__logs"),
     )

@@ -64,7 +64,7 @@ def test_model_sums_to_one(spark):
     assert np.allclose((10**model.step).sum(axis=1), 1)
     table = counts.toPandas()
     word = table["word"].to_numpy(dtype=np.int64).view(np.uint64)
-    own = model.classes[model.units.of(word)]
+    own = model.classes.of(word, table["ending"].to_numpy())
     p = (table["n"].to_numpy() + 0.5) / 10 ** model.inside[own]
     inside = np.bincount(own, weights=p, minlength=class_lm.CLASSES)
     assert (inside <= 1 + 1e-9).all() and model.tokens == table["n"].sum() and model.distinct == len(table)
@@ -96,6 +96,20 @@ def test_three_thousand_words_are_clustered_on_their_own(spark):
     assert len(model.units.words) == 3001
 
 
+def test_every_seen_word_has_a_class_by_its_own_bigrams(spark):
+    # four kinds of words take turns; only the commonest are units, and endings tell nothing
+    rng = random.Random(8)
+    kinds = [["%d%s" % (rng.randrange(10**6), "abcd"[rng.randrange(4)]) for _ in range(60)] for _ in range(4)]
+    pick = lambda k: kinds[k][min(59, int(rng.expovariate(0.05)))]
+    df = spark.createDataFrame([(" ".join(pick(k % 4) for k in range(40)),) for _ in range(400)], "text string")
+    model, counts = class_lm.fit(df, classes=6, size=class_lm.ENDINGS + 41)
+    assert len(model.units.words) <= 41 < len(model.classes.words) == counts.count()
+    hashes = class_lm.Hashes()
+    where = [Counter(model.classes.of(*(a[:1] for a in hashes.of(w)))[0] for w in kind) for kind in kinds]
+    most = [w.most_common(1)[0] for w in where]
+    assert len({c for c, _ in most}) == 4 and min(n for _, n in most) >= 50
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert class_lm.score(df, class_lm.fit(df)).count() == 0
