@@ -192,19 +192,19 @@ def telling(cells: np.ndarray, n: np.ndarray, toxic: np.ndarray, total: int, all
     return np.union1d(cells[(n >= LEAST) & (strength >= LEVEL)], own.of([t for kind in IDENTITY_TERMS for t in kind])).astype(np.int32)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with toxicity (0 to 1) of every whole text, null read as empty; the text stays.
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """``docs`` with toxicity (0 to 1; or as ``name`` says) of every whole text, null read as empty; the text stays.
 
-    An input column named toxicity is replaced, others pass through, nulls too; repeated rows are
+    An input column of that name is replaced, others pass through, nulls too; repeated rows are
     scored each, equal texts alike. Very long texts are read whole, a text at a time. No rows: no rows.
     """
-    docs = docs.drop("toxicity")
+    docs = docs.drop(name)
     names = docs.columns
     at = names.index("text")
     kept = np.flatnonzero(model.weights)
     values = model.weights[kept]
     bias, buckets = model.bias, len(model.weights)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxicity double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(buckets, np.float32)
@@ -212,6 +212,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         own, whole = Features(buckets), Model(weights, bias)
         for batch in batches:
             scores = [whole.score(own.of((t or "").split())) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, name])
 
     return docs.mapInArrow(run, schema)
