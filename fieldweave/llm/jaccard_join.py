@@ -252,12 +252,11 @@ def joined_in_buckets(members: DataFrame, rows: DataFrame, values: int, threshol
         once = once.unionByName(led.select(*keys, "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("own")))
     rows = small(rows)
     compared = once.select("*", F.col("own").alias("b1"), F.col("own").alias("b2")).join(rows, "node")
-    near = settle(near_edges(compared, values, threshold))
-    groups = settle(components(near))
+    groups = settle(components(near_edges(compared, values, threshold)))
     if few:
         return groups
     inside = members.join(small(large.select(*keys)), keys).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    inside = settle(inside)
+    inside = settle(inside)  # read three times
     roots = inside.groupBy(*keys, "root").agg(F.count("*").alias("n"))
     open_ = roots.groupBy(*keys).agg(F.count("*").alias("roots"), F.max_by("root", "n").alias("most"), F.max("n").alias("main"), F.sum("n").alias("all")).filter(F.col("roots") > 1)
     open_ = settle(open_)
@@ -270,7 +269,8 @@ def joined_in_buckets(members: DataFrame, rows: DataFrame, values: int, threshol
     plan = settle(plan.unionByName(open_.select(*keys, F.lit(-1).alias("klass"), main.alias("first"), rest.alias("blocks"), sequence(F.lit(0), main + rest).alias("meets"))))
     inside = inside.join(small(open_.select(*keys, "most")), keys).withColumn("klass", F.when(F.col("root") == F.col("most"), 0).otherwise(-1)).drop("most", "root")
     more = near_edges(in_blocks(inside, plan, keys).join(rows, "node"), values, threshold)
-    return settle(components(near.unionByName(more)))
+    stars = groups.filter(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return settle(components(stars.unionByName(more)))
 
 
 def majority(sets: list[np.ndarray]) -> np.ndarray:
