@@ -79,7 +79,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Null ids come first; rows that share an id follow each other by a hash of their text. Ids are cut
     at quantiles into slices; each slice gets the first row of the next as a last one, so every pair
-    of neighbours lies in one task and each text moves once.
+    of neighbours lies in one task and each text moves once. Null texts read as empty, long ones stay
+    whole; a single row follows itself. Rows of one id, null too, lie in one slice, however many there
+    are. Columns but doc_id and text are not read, whatever their names. No rows: no rows.
     """
     spark = docs.sparkSession
     slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -117,7 +119,14 @@ def edited(text: str, following: str) -> str:
 
 
 def neighbour_likeness(docs: DataFrame, k: int = K, n: int = 5) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likeness; see the query op9."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
+
+    The edited text ends in the begin of the next row's text (see ``edited``); near_edited is the
+    estimated resemblance of a text's fingerprint to the edited text's, near_next that to the next
+    text's. Equal texts have equal fingerprints; those without a word (null, empty) have an empty one,
+    and two empty ones are alike (1). Long texts are read whole, one at a time; repeated rows are rows.
+    Order, nulls and ties of ids, and other columns, are as ``with_next`` has them. No rows: no rows.
+    """
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
