@@ -22,8 +22,15 @@ def _real(low: float, high: float = math.inf, *, open_low: bool = False, open_hi
     return ok
 
 
+class SettingTypeError(TypeError, ValueError):
+    """A setting of a wrong type, which is no valid value either."""
+
+
 @dataclass(frozen=True)
 class MatcherConfig:
+    """Values of a wrong type raise SettingTypeError (a TypeError), values out of their range ValueError."""
+
+    # names and defaults of the public configuration (fixed values)
     seed: int = 42
     max_length: int = 64
     char_embedding_dim: int = 32
@@ -56,15 +63,23 @@ class MatcherConfig:
     torch_num_threads: int = 8
 
     def __post_init__(self) -> None:
+        for field in fields(self):
+            value, kind = getattr(self, field.name), type(field.default)
+            if kind is bool:
+                right = isinstance(value, bool)
+            elif kind is tuple:
+                right = isinstance(value, (list, tuple))
+            else:  # a whole number also stands for a real one
+                right = isinstance(value, int if kind is int else (int, float)) and not isinstance(value, bool)
+            if not right:
+                raise SettingTypeError(f"{field.name} has the wrong type: {value!r}")
         sizes = self.cnn_kernel_sizes
-        if not isinstance(sizes, (list, tuple)) or not sizes or not all(map(_whole(1), sizes)):
+        if not sizes or not all(map(_whole(1), sizes)):
             raise ValueError("cnn_kernel_sizes must be positive whole numbers")
         object.__setattr__(self, "cnn_kernel_sizes", tuple(sizes))
         for name, ok in _RULES.items():
             if not ok(getattr(self, name)):
                 raise ValueError(f"{name} is out of its range: {getattr(self, name)!r}")
-        if not isinstance(self.fine_tune_encoder, bool):
-            raise ValueError("fine_tune_encoder must be true or false")
         if self.max_length < max(sizes):
             raise ValueError("max_length must not be below the largest kernel")
         if self.auto_accept_threshold < self.review_threshold:

@@ -31,6 +31,7 @@ def is_blank(c: Column) -> Column:
 def normalized(c: Column) -> Column:
     """The name's identity: words of a camel-case, dotted, dashed or spaced name joined by ``_``, in
     small letters. For text that is already in compatibility form (all ASCII is)."""
+    # the patterns that make names equal (fixed values)
     split = F.regexp_replace(stripped(c), r"(?<=[A-Z])(?=[A-Z][a-z])", "_")
     split = F.regexp_replace(split, r"(?<=[a-z0-9])(?=[A-Z])", "_")
     joined = F.regexp_replace(F.lower(split), r"(?U)[-.\s\x1c-\x1f_]+", "_")

@@ -26,14 +26,19 @@ def cosine_top_k(
     Returns query_id, candidate_id, similarity (double) and rank (from 1). Fewer candidates than
     ``top_k`` give all of them; a zero vector scores 0; rows with a null id or vector take no part.
     Both sides are cut into blocks by a hash of the id; a task holds one block of each, keeps the
-    best of each query, and a window over the survivors finishes, so no side is broadcast.
+    best of each query, and a window over the survivors finishes, so no side is broadcast. Vectors of
+    different lengths raise before the search.
     """
-    if top_k < 1:
-        raise ValueError("top_k must be positive")
+    if isinstance(top_k, bool) or not isinstance(top_k, int) or top_k < 1:
+        raise ValueError("top_k must be a positive whole number")
     q = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v")).dropna()
     c = candidates.select(F.col(candidate_id).alias("id"), F.col(vector).alias("v")).dropna()
-    n, tasks = q.count(), q.sparkSession.sparkContext.defaultParallelism
-    c_blocks = max(1, -(-c.count() // CANDIDATE_BLOCK))
+    sizes = [df.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first() for df in (q, c)]
+    lengths = {x for s in sizes for x in (s["low"], s["high"]) if x is not None}
+    if len(lengths) > 1:
+        raise ValueError(f"vectors differ in length: {min(lengths)} to {max(lengths)}")
+    n, tasks = sizes[0]["n"], q.sparkSession.sparkContext.defaultParallelism
+    c_blocks = max(1, -(-sizes[1]["n"] // CANDIDATE_BLOCK))
     # as many blocks as memory asks for, and enough to keep all cores busy on small inputs
     q_blocks = max(1, -(-n // QUERY_BLOCK), min(-(-n // QUERY_STEP), -(-tasks // c_blocks)))
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)

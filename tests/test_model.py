@@ -176,3 +176,9 @@ def test_public_names():
     assert all(getattr(fieldweave, name) is not None for name in fieldweave.__all__) and set(fieldweave.__all__) <= set(dir(fieldweave))
     with pytest.raises(AttributeError):
         fieldweave.nothing  # noqa: B018
+
+
+@pytest.mark.parametrize("wrong", [{"top_k": "3"}, {"seed": True}, {"dropout": None}, {"fine_tune_encoder": 1}, {"cnn_kernel_sizes": 3}])
+def test_settings_of_a_wrong_type(wrong):
+    with pytest.raises(TypeError):
+        MatcherConfig(**wrong)

@@ -33,3 +33,5 @@ def test_edges(spark):
     assert cosine_top_k(df.limit(0), df, 1, query_id="id", candidate_id="id", vector="v").count() == 0
     with pytest.raises(ValueError):
         cosine_top_k(df, df, 0, query_id="id", candidate_id="id", vector="v")
+    with pytest.raises(ValueError):
+        cosine_top_k(df, spark.createDataFrame([(1, [1.0])], "id long, v array<float>"), 1, query_id="id", candidate_id="id", vector="v")
