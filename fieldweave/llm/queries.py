@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import class_lm, fingerprints, jaccard_join, language_id, mixing, neighbours, packing, substring_dedup, token_counts, toxicity
+from fieldweave.llm import class_lm, embedding_dedup, fingerprints, jaccard_join, language_id, lexical_search, mixing, neighbours, packing, substring_dedup, token_counts, toxicity, whitening
 from fieldweave.llm.split import held_out
+from fieldweave.shared import settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +81,36 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_class_lm, op3_nearest_neighbours, op4_jaccard_join, op5_token_counts, op6_toxicity, op7_language_id, op8_packing, op9_fingerprints, op10_mixing)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(documents(spark, sf_dir))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector and component; entries beyond 2^52 / 1024 are held there, deviation is null where it is no long."""
+    rows = whitening.usable(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+    most = F.lit(float(1 << 52))
+    whole = lambda c: F.floor(F.greatest(F.least(c.cast("double") * 1024, most), -most)).cast("long") + 100_000
+    rows = settle(rows.select("vec_id", F.transform("embedding", whole).alias("x")))
+    summary = whitening.fit(rows, "x")
+    if summary is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    white = settle(whitening.whiten(rows, "x", summary, 8))
+    error = whitening.identity_error(whitening.fit(white, "whitened"))
+    e, _ = summary.components()
+    sums = F.array(*[F.lit(int(s)) for s in summary.sums])
+    apart = F.zip_with("x", sums, lambda x, s: F.try_subtract(F.try_multiply(x, F.lit(summary.n)), s))
+    deviation = F.aggregate(apart, F.lit(0).cast("long"), lambda total, d: F.try_add(total, F.try_multiply(d, d)))
+    explained = F.array(*[F.lit(float(x)) for x in e / e.sum()])
+    each = white.select("vec_id", F.lit(summary.n).cast("long").alias("n"), deviation.alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened", F.element_at(explained, F.col("at") + 1).alias("explained"), F.lit(error).alias("identity_error"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_class_lm, op3_nearest_neighbours, op4_jaccard_join, op5_token_counts, op6_toxicity, op7_language_id, op8_packing, op9_fingerprints, op10_mixing, op11_lexical_search, op12_embedding_dedup, op13_whitening)}
 
 ORACLE_SQL = {
     "op3_nearest_neighbours": """
@@ -112,5 +142,27 @@ x AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
              CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
+""",
+    "op11_lexical_search": r"""
+WITH d AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+o AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+p AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM o GROUP BY doc_id, term),
+z AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM z),
+m AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // terms) AS m FROM z, g),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term, docs),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+""",
+    "op12_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.93),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.vec_id, l.y FROM reach JOIN l ON reach.other = l.x),
+c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.x = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c USING (vec_id)
 """,
 }

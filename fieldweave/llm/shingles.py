@@ -26,9 +26,12 @@ class Words(dict):
         return found
 
     def of(self, text: str) -> np.ndarray:
+        return self.of_bytes(text.encode("utf-8", "surrogatepass"))
+
+    def of_bytes(self, text: bytes) -> np.ndarray:
         if len(self) > REMEMBERED:
             self.clear()
-        words = text.encode("utf-8", "surrogatepass").split()
+        words = text.split()
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
