@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldweave.functions.similarity import ratios
+
 #: The relationship labels, as reports list them, and their numbers in a model (fixed values).
 LABELS = ("DIRECT", "DERIVATION", "NO_MATCH")
 LABEL_NUMBERS = {"NO_MATCH": 0, "DIRECT": 1, "DERIVATION": 2}
@@ -75,17 +77,10 @@ def strict_boolean(c: Column) -> Column:
 
 
 def _ratios(a: pd.Series, b: pd.Series, autojunk: bool) -> pd.Series:
-    matcher, out, last = SequenceMatcher(None, autojunk=autojunk), [], None
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        if y != last:
-            matcher.set_seq2(y)
-            last = y
-        matcher.set_seq1(x)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
+    out = pd.Series(np.nan, index=a.index)
+    known = a.notna() & b.notna()
+    out[known] = ratios(a[known].tolist(), b[known].tolist(), autojunk)
+    return out
 
 
 @F.pandas_udf(T.DoubleType())

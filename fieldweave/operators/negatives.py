@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldweave.functions import text
+from fieldweave.functions.similarity import most_similar
 from fieldweave.shared import numbered, settle
 
 
@@ -46,10 +52,11 @@ def eligible_targets(rows: DataFrame, config: NegativeConfig) -> DataFrame:
     """source_row, A, norm_a, candidate, spelling, draw: a seeded sample of each positive's eligible targets.
 
     Eligible is every target but the source's own known positives and the source's own name. Each
-    positive draws distinct numbers of targets by hash, about twice as many as fill its sample after
-    the excluded ones are gone; only drawn numbers are joined, so positives never meet all targets.
-    Where that leaves a sample short, it is drawn again with as many numbers as always fill it. The
-    sample holds pool + random_per_positive targets; fewer only where fewer are eligible.
+    positive draws numbers of targets by hashes, independently of all others, and leaves out repeats
+    and excluded ones, so any set of eligible targets is as likely as any other of its size. Only
+    drawn numbers are joined, so positives never meet all targets. Where that leaves a sample short,
+    it is drawn again with more numbers. The sample holds pool + random_per_positive targets; fewer
+    only where fewer are eligible.
     """
     targets = settle(target_classes(rows))
     count = targets.count()
@@ -58,38 +65,70 @@ def eligible_targets(rows: DataFrame, config: NegativeConfig) -> DataFrame:
     known = positives.select("norm_a", F.col("norm_b").alias("target")).distinct()
     excluded = known.groupBy("norm_a").agg(F.count("*").alias("n"))
     asked = positives.select("source_row", "A", "norm_a").join(excluded, "norm_a")
-    # distinct numbers: steps through all of them from a hashed start with a hashed stride coprime to their count
     total = F.lit(max(count, 1)).cast("long")
-    # twice what fills the sample on average; wanted + n + 1 always fills it
-    often = F.ceil(2 * wanted * total / F.greatest(total - F.col("n"), F.lit(1))) + 20
+    # so many different numbers fill the sample whatever they are; 1 for the source's own name
     enough = F.least(total, F.lit(wanted).cast("long") + F.col("n") + 1)
-    start = F.pmod(F.xxhash64(F.lit(config.seed), "source_row", "norm_a"), total)
-    stride = F.element_at(F.array(*[F.lit(s).cast("long") for s in _strides(max(count, 1))]), (F.pmod(F.xxhash64("norm_a", F.lit(config.seed), "source_row"), F.lit(len(_strides(max(count, 1))))) + 1).cast("int"))
-    asked = settle(asked.select("source_row", "A", "norm_a", F.least(enough, often).cast("long").alias("draws"), enough.alias("enough"), start.alias("start"), stride.alias("stride")))
-
-    def sampled(asked: DataFrame, draws: str) -> DataFrame:
-        drawn = asked.select("source_row", "A", "norm_a", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col(draws) - 1)).alias("draw", "k"), "start", "stride")
-        drawn = drawn.withColumn("number", F.pmod(F.col("start") + F.col("k") * F.col("stride"), total) + 1)
-        met = drawn.join(targets, "number").join(known.withColumn("known", F.lit(True)), ["norm_a", "target"], "left")
+    asked = settle(asked.select("source_row", "A", "norm_a", "n", enough.alias("enough")))
+
+    def sampled(asked: DataFrame, draws: Column) -> DataFrame:
+        h = lambda i: F.xxhash64(F.lit(config.seed), "source_row", "norm_a", i)
+        # where most numbers are needed, all of them in the order of their hashes
+        every = F.transform(F.array_sort(F.transform(F.sequence(F.lit(1).cast("long"), total), lambda i: F.struct(h(i).alias("h"), i.alias("i")))), lambda x: x["i"])
+        some = F.array_distinct(F.transform(F.sequence(F.lit(1).cast("long"), draws), lambda i: F.pmod(h(i), total) + 1))
+        numbers = F.when(total <= 2 * F.col("enough"), every).otherwise(some)
+        met = asked.select("source_row", "A", "norm_a", F.posexplode(numbers).alias("draw", "number"))
+        met = met.join(targets, "number").join(known.withColumn("known", F.lit(True)), ["norm_a", "target"], "left")
         met = met.filter(F.col("known").isNull() & (F.col("target") != F.col("norm_a")))
         order = Window.partitionBy("source_row").orderBy("draw")
         kept = met.withColumn("draw", F.row_number().over(order)).filter(F.col("draw") <= wanted)
         return settle(kept.select("source_row", "A", "norm_a", F.col("target").alias("candidate"), "spelling", "draw"))
 
-    sample = sampled(asked, "draws")
-    full = sample.filter(F.col("draw") == wanted).select("source_row")
-    short = settle(asked.filter(F.col("draws") < F.col("enough")).join(full, "source_row", "left_anti"))
-    if short.isEmpty():
-        return sample
-    return sample.join(short.select("source_row"), "source_row", "left_anti").unionByName(sampled(short, "enough"))
-
-
-def _strides(n: int) -> list[int]:
-    """Some strides that visit each of n places once; none goes to the next place, if n has others."""
-    from math import gcd
+    # what fills the sample on average, and some; then more and more for those that are short
+    drawn = F.ceil(1.2 * wanted * total / F.greatest(total - F.col("n"), F.lit(1))) + 20
+    sample, left = None, asked
+    for often in (None, 4, 16, 64):
+        draws = F.least(drawn, 4 * F.col("enough")) if often is None else F.col("enough") * often
+        own = sampled(left, draws.cast("long"))
+        # a sample that all numbers were drawn for is as full as it can be
+        full = own.filter(F.col("draw") == wanted).select("source_row").unionByName(left.filter(total <= 2 * F.col("enough")).select("source_row")).distinct()
+        left = settle(left.join(full, "source_row", "left_anti"))
+        done = left.isEmpty()
+        own = own if done else own.join(left.select("source_row"), "source_row", "left_anti")
+        sample = own if sample is None else sample.unionByName(own)
+        if done:
+            return sample
+    raise RuntimeError("samples stay short after 64 draws for each target that is needed")
+
+
+def hardest(sample: DataFrame, k: int) -> DataFrame:
+    """``sample`` (source_row, norm_a, candidate, ..) with ratio and place, the k of each source_row
+    that are most alike in spelling (ties: code-point order).
+
+    A source_row's candidates meet in one task, some hundreds at most. Ratios are found only while
+    what the characters of the next candidate allow reaches the k-th best ratio.
+    """
 
-    found = [s for k in range(64) if gcd(s := (k * 2654435761 + 1) % n or 1, n) == 1]
-    return [s for s in found if s != 1] or [1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, (None,)):
+            if batch is None:
+                table, rest = rest, None
+            else:
+                table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+                last = table.column("source_row").to_numpy()
+                cut = int(np.flatnonzero(last != last[-1])[-1]) + 1 if len(last) and (last != last[-1]).any() else 0
+                table, rest = table.slice(0, cut), table.slice(cut)
+            if table is None or not len(table):
+                continue
+            row = table.column("source_row").to_numpy()
+            group = np.cumsum(np.concatenate(([0], row[1:] != row[:-1])))
+            best, ratio, _ = most_similar(group, table.column("norm_a").to_pylist(), table.column("candidate").to_pylist(), k, autojunk=True)
+            place = np.arange(len(best)) - np.searchsorted(group[best], group[best]) + 1
+            out = table.take(pa.array(best)).append_column("ratio", pa.array(ratio)).append_column("place", pa.array(place.astype(np.int32)))
+            yield from out.to_batches()
+
+    schema = T.StructType([*sample.schema.fields, T.StructField("ratio", T.DoubleType()), T.StructField("place", T.IntegerType())])
+    return sample.repartition("source_row").sortWithinPartitions("source_row", "draw").mapInArrow(run, schema)
 
 
 def synthetic_negatives(rows: DataFrame, config: NegativeConfig = NegativeConfig()) -> DataFrame:
@@ -102,10 +141,8 @@ def synthetic_negatives(rows: DataFrame, config: NegativeConfig = NegativeConfig
     """
     sample = settle(eligible_targets(rows, config))
     by_row = Window.partitionBy("source_row")
-    pool = sample.filter(F.col("draw") <= config.pool)
-    ranked = pool.withColumn("ratio", text.sequence_ratio_junk("norm_a", "candidate"))
-    ranked = ranked.withColumn("place", F.row_number().over(by_row.orderBy(F.col("ratio").desc(), "candidate")))
-    hard = _cycled(ranked, config.hard_per_positive).withColumn("negative_type", F.lit("hard"))
+    best = settle(hardest(sample.filter(F.col("draw") <= config.pool), max(config.hard_per_positive, 1)))
+    hard = _cycled(best, config.hard_per_positive).withColumn("negative_type", F.lit("hard"))
     taken = hard.select("source_row", "candidate").distinct().withColumn("taken", F.lit(1))
     rest = sample.join(taken, ["source_row", "candidate"], "left")
     rest = rest.withColumn("some_left", F.max(F.col("taken").isNull()).over(by_row)).filter(F.col("taken").isNull() | ~F.col("some_left"))

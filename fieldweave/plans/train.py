@@ -5,22 +5,18 @@ from __future__ import annotations
 from pathlib import Path
 from typing import Any
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.config import MatcherConfig
 from fieldweave.functions import text
 from fieldweave.operators import grouping, negatives, quality, vocabulary
-from fieldweave.operators.model import ModelBundle, Pairs, train_model
+from fieldweave.operators.model import ModelBundle, train_on
 from fieldweave.plans.evaluate import evaluate
-from fieldweave.shared import settle
+from fieldweave.shared import numbered, settle
 from fieldweave.sources.pairs import DataValidationError, read_labelled, split_path
 from fieldweave.sources.sinks import log_to, run_directory, to_json
 
-#: Most pairs that a model is fitted on (lowest hash first); each is a few hundred bytes on the driver.
-TRAINING_PAIRS = 500_000
-
 
 def validate(spark: SparkSession, data_dir: str = "data_split", *, strict: bool = True, **explicit: str | None) -> tuple[dict[str, DataFrame], dict[str, Any]]:
     """The three checked splits and a report; names shared by splits raise unless ``strict`` is off.
@@ -59,17 +55,19 @@ def check_training_pairs(rows: DataFrame) -> None:
             raise DataValidationError(f"{n} training pairs {what}")
 
 
-def encoded_pairs(rows: DataFrame, tokens: list[str], config: MatcherConfig, most: int = TRAINING_PAIRS) -> Pairs:
-    """At most ``most`` pairs as numbers, in an order that does not depend on the partitions."""
+def encoded_pairs(rows: DataFrame, tokens: list[str], config: MatcherConfig) -> DataFrame:
+    """number (from 0), a, b (ids), label (number), weight of every pair, written.
+
+    Numbers follow a hash of the pair, so they do not depend on the partitions.
+    """
     named = rows if {"norm_a", "norm_b"} <= set(rows.columns) else text.with_normalized(rows, {"A": "norm_a", "B": "norm_b"})
     check_training_pairs(named)
     weight = F.when(F.col("synthetic"), F.lit(float(config.synthetic_negative_weight))).otherwise(F.lit(1.0)) if "synthetic" in named.columns else F.lit(1.0)
     number = F.create_map(*[F.lit(x) for kv in text.LABEL_NUMBERS.items() for x in kv])[F.col("label")]
-    ids = {side: vocabulary.encode(F.col(f"norm_{side}"), tokens, config.max_length).alias(side) for side in ("a", "b")}
+    ids = {side: vocabulary.encode(F.col(f"norm_{side}"), tokens, config.max_length).cast("array<int>").alias(side) for side in ("a", "b")}
     order = F.xxhash64("norm_a", "norm_b", "label")
-    table = named.select(*ids.values(), number.alias("label"), weight.alias("weight"), order.alias("h"), "norm_a", "norm_b").orderBy("h", "norm_a", "norm_b").limit(most).toPandas()
-    stack = lambda c: np.array(table[c].tolist(), dtype=np.int64).reshape(len(table), config.max_length)
-    return Pairs(stack("a"), stack("b"), table["label"].to_numpy(dtype=np.int64), table["weight"].to_numpy(dtype=np.float64))
+    table = settle(named.select(*ids.values(), number.alias("label"), weight.alias("weight"), order.alias("h"), "norm_a", "norm_b"))
+    return settle(numbered(table, ["h", "norm_a", "norm_b", "label", "weight"], "number").select("number", "a", "b", "label", "weight"))
 
 
 def train(spark: SparkSession, config: MatcherConfig, data_dir: str = "data_split", artifacts_dir: str = "artifacts", *, strict: bool = True, **explicit: str | None) -> Path:
@@ -95,7 +93,7 @@ def train(spark: SparkSession, config: MatcherConfig, data_dir: str = "data_spli
     for pair, found in report["leakage"].items():
         if found["normalized_any_field_overlap_count"]:
             log.warning("%s share %d normalized names", pair, found["normalized_any_field_overlap_count"])
-    bundle, history = train_model(encoded_pairs(rows, tokens, config), encoded_pairs(splits["validation"], tokens, config), tokens, config)
+    bundle, history = train_on(encoded_pairs(rows, tokens, config), encoded_pairs(splits["validation"], tokens, config), tokens, config)
     history["negatives"] = {r["negative_type"]: r["n"] for r in rows.filter("synthetic").groupBy("negative_type").agg(F.count("*").alias("n")).collect()}
     bundle.save(folder)
     (folder / "training_history.json").write_text(to_json(history), encoding="utf-8")

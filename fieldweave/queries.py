@@ -310,6 +310,21 @@ def q26_hard_negative_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("source_row", "candidate", F.round("ratio", 6).alias("ratio"), F.row_number().over(order).cast("long").alias("place"))
 
 
+def q27_training_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses and accuracies of a model of the default settings after its first epochs, by the tasks of a barrier stage."""
+    from fieldweave.operators.model import train_on
+    from fieldweave.plans.train import encoded_pairs
+
+    rows = settle(grouping.split_rows(grouping.with_components(_clean(spark, sf_dir))))
+    train, validation = (rows.filter(F.col("split") == s) for s in ("train", "validation"))
+    names = train.select(F.col("norm_a").alias("name")).union(train.select("norm_b"))
+    tokens = vocabulary.build_vocabulary(vocabulary.character_counts(names, "name"))
+    config = MatcherConfig(embedding_epochs=1, classifier_epochs=1)
+    history = train_on(encoded_pairs(train, tokens, config), encoded_pairs(validation, tokens, config), tokens, config)[1]
+    figures = ("epoch", "train_loss", "train_accuracy", "validation_loss", "validation_accuracy")
+    return spark.createDataFrame([(phase, *(h[x] for x in figures)) for phase, epochs in history.items() for h in epochs], "phase string, epoch int, train_loss double, train_accuracy double, validation_loss double, validation_accuracy double")
+
+
 def q24b_group_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: sources, those that are distinct, and results that break a rule of the gate, of q24's groups."""
     found = settle(q24_match_groups(spark, sf_dir))

@@ -167,7 +167,50 @@ def test_training_pairs_are_checked(spark):
         with pytest.raises(DataValidationError, match=why):
             encoded_pairs(spark.createDataFrame([row], "A string, B string, label string, synthetic boolean"), TOKENS, SMALL)
     pairs = encoded_pairs(spark.createDataFrame([("a", "b", "NO_MATCH", True), ("a", "c", "DIRECT", False)], "A string, B string, label string, synthetic boolean"), TOKENS, MatcherConfig(synthetic_negative_weight=0.25))
-    assert sorted(zip(pairs.label.tolist(), pairs.weight.tolist(), strict=True)) == [(0, 0.25), (1, 1.0)]
+    assert sorted((r.label, r.weight) for r in pairs.collect()) == [(0, 0.25), (1, 1.0)] and sorted(r.number for r in pairs.collect()) == [0, 1]
+
+
+def training_frame(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    ids = rng.integers(0, len(TOKENS), (2, n, 8))
+    rows = [(k, ids[0, k].tolist(), ids[1, k].tolist(), int(rng.integers(3)), float(rng.choice([1.0, 0.5]))) for k in range(n)]
+    return spark.createDataFrame(rows, "number long, a array<int>, b array<int>, label int, weight double")
+
+
+def as_pairs(df):
+    rows = df.orderBy("number").collect()
+    return model.Pairs(np.array([r.a for r in rows]), np.array([r.b for r in rows]), np.array([r.label for r in rows]), np.array([r.weight for r in rows]), np.array([r.number for r in rows]))
+
+
+@pytest.mark.parametrize("fine", [False, True])
+def test_tasks_together_learn_what_one_process_learns(spark, fine):
+    config = MatcherConfig(**(SMALL.to_dict() | {"dropout": 0.3, "batch_size": 16, "fine_tune_encoder": fine, "embedding_epochs": 3}))
+    train, validation = training_frame(spark, 75, 1), training_frame(spark, 20, 2)
+    one, losses = model.train_model(as_pairs(train), as_pairs(validation), TOKENS, config)
+    for tasks in (1, 4):
+        many, found = model.train_on(train, validation.repartition(3), TOKENS, config, tasks)
+        assert all(np.allclose(many.weights[k], x, atol=1e-6) for k, x in one.weights.items())
+        for phase, history in losses.items():
+            assert [list(h.values()) for h in found[phase]] == [pytest.approx(list(h.values()), abs=1e-6) for h in history]
+    assert losses["encoder"][-1]["train_loss"] < losses["encoder"][0]["train_loss"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 100, 1025])
+def test_a_keyed_permutation(n):
+    found = model.permuted(np.arange(n), n, 5)
+    assert sorted(found.tolist()) == list(range(n))
+    assert model.permuted(np.arange(n)[::-1], n, 5).tolist() == found[::-1].tolist()
+    assert n < 100 or (found != model.permuted(np.arange(n), n, 6)).mean() > 0.9
+
+
+def test_dropped_units_and_the_number_of_tasks():
+    kept = model.kept_units(np.arange(500), 20, 0.3, 1)
+    assert abs((kept == 0).mean() - 0.3) < 0.02 and set(np.unique(kept)) == {0, 1 / 0.7}
+    assert (model.kept_units(np.arange(100, 200), 20, 0.3, 1) == kept[100:200]).all()
+    assert model.training_tasks(MatcherConfig(), 100, 10_000, 64) == 8 and model.training_tasks(MatcherConfig(batch_size=4096), 100, 10_000, 200) < 64
+    assert model.training_tasks(MatcherConfig(), 100, 40_000_000, 64) == 10
+    with pytest.raises(ValueError):
+        model.training_tasks(MatcherConfig(), 100, 10**9, 64)
 
 
 def test_public_names():

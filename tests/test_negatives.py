@@ -1,13 +1,15 @@
 from collections import Counter
-from math import gcd
+from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fieldweave import queries
 from fieldweave.functions import text
+from fieldweave.functions.similarity import most_similar
 from fieldweave.operators import vocabulary
-from fieldweave.operators.negatives import NegativeConfig, _strides, augmented, contains_no_match, eligible_targets, synthetic_negatives
+from fieldweave.operators.negatives import NegativeConfig, augmented, contains_no_match, eligible_targets, hardest, synthetic_negatives
 
 
 def rows(spark, pairs):
@@ -41,9 +43,42 @@ def test_every_sample_is_full_beside_a_hot_source(spark, often):
     assert all(sorted(r.draw for r in sample if r.source_row == k) == list(range(1, 11)) for k in range(5))
 
 
-def test_strides_leave_out_the_next_place():
-    assert all(1 not in _strides(n) and all(gcd(s, n) == 1 for s in _strides(n)) for n in (10_000, 100_000, 99_991))
-    assert _strides(1) == [1]
+def test_any_set_of_targets_is_as_likely_as_any_other(spark):
+    pairs = [(f"s{k}", f"t{k % 16}", "DIRECT") for k in range(3200)]
+    for pool in (1, 4):  # drawn with repeats left out, and by the order of all
+        sample = eligible_targets(rows(spark, pairs), NegativeConfig(pool=pool)).collect()
+        met = {}
+        for r in sample:
+            met.setdefault(r.source_row, []).append((r.draw, int(r.candidate[1:])))
+        # of the pairs of targets (i, j) that stand first in a sample, each should come up as often; t(k mod 16) is excluded
+        first = Counter(tuple(c for _, c in sorted(x)[:2]) for x in met.values())
+        expected = len(met) * 14 / (16 * 15 * 14)
+        chi = sum((first[i, j] - expected) ** 2 / expected for i in range(16) for j in range(16) if i != j)
+        assert chi < 239 + 4 * (2 * 239) ** 0.5
+        assert all((k % 16) not in [c for _, c in x] for k, x in met.items())
+
+
+def test_the_hardest_need_few_ratios(spark):
+    import random
+
+    words = "customer account order number total amount date type status code address".split()
+    draw = random.Random(3)
+    names = ["_".join(draw.choice(words) for _ in range(draw.randint(1, 4))) + (f"_{k}" if k % 3 else "") for k in range(300)]
+    group, a, b = [], [], []
+    for k in range(60):
+        for c in draw.sample(names, 100):
+            group.append(k), a.append(names[k]), b.append(c)
+    best, ratio, found = most_similar(np.array(group), a, b, 1, autojunk=True)
+    assert found < 20 * 60
+    for k, (i, r) in enumerate(zip(best, ratio, strict=True)):
+        assert (-r, b[i]) == min((-SequenceMatcher(None, a[j], b[j]).ratio(), b[j]) for j in range(100 * k, 100 * k + 100))
+    df = spark.createDataFrame(list(zip(group, a, b, range(len(b)), strict=True)), "source_row long, norm_a string, candidate string, draw int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = {r.source_row: r.candidate for r in hardest(df, 2).filter("place = 1").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: b[i] for k, i in enumerate(best)}
 
 
 def test_few_targets_repeat_and_none_give_none(spark):
