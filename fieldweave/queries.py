@@ -381,13 +381,39 @@ t AS (SELECT component_id, count(*) AS rows, (SELECT count(*) FROM names WHERE n
         count(*) FILTER (label = 'DERIVATION') AS "DERIVATION", count(*) FILTER (label = 'NO_MATCH') AS "NO_MATCH" FROM k GROUP BY component_id)
 """
 
+def _alike(a: str, b: str) -> str:
+    """The longest common stretch, the first of equals, as its length and minus its place in a."""
+    return f"list_max(flatten([[{{'n': n, 'i': -i}} FOR n IN range(1, len({a}) - i + 2) IF contains({b}, substr({a}, i, n))] FOR i IN range(1, len({a}) + 1)]))"
+
+
+# blocks: the longest common stretch of each pair, then of what stands left and right of it, and so on
+_BLOCKS = _ROWS.replace("WITH pairs", "WITH RECURSIVE pairs") + f""",
+blocks AS (SELECT source_row, norm_a AS a, norm_b AS b, {_alike("norm_a", "norm_b")} AS m FROM c
+    UNION ALL SELECT source_row, x.a, x.b, {_alike("x.a", "x.b")} FROM (SELECT source_row, unnest([{{'a': substr(a, 1, -m.i - 1), 'b': substr(b, 1, strpos(b, substr(a, -m.i, m.n)) - 1)}}, {{'a': substr(a, -m.i + m.n), 'b': substr(b, strpos(b, substr(a, -m.i, m.n)) + m.n)}}]) AS x FROM blocks WHERE m IS NOT NULL)),
+ratio AS (SELECT source_row, 2.0 * coalesce(sum(m.n), 0) / any_value(len(norm_a) + len(norm_b)) AS s FROM blocks JOIN c USING (source_row) GROUP BY source_row)
+"""
+
+
+def _inside(short: str, long: str) -> str:
+    """Whether the letters of one stand in the other, in their order."""
+    return f"regexp_matches({long}, array_to_string([regexp_escape(z) FOR z IN string_split({short}, '')], '.*'))"
+
+
+def _abbreviates(short: str, long: str) -> str:
+    s, g = f"string_split({short}, '_')", f"string_split({long}, '_')"
+    each = lambda what: f"len([1 FOR i IN range(1, len({s}) + 1) IF {what}])"
+    shorter = each(f"len({s}[i]) > 1 AND len({s}[i]) < len({g}[i]) AND {_inside(f'{s}[i]', f'{g}[i]')}") + " > 0"
+    fits = each(f"{s}[i] = {g}[i] OR (len({s}[i]) >= 2 AND {_inside(f'{s}[i]', f'{g}[i]')})") + f" = len({s})"
+    return f"(CASE WHEN len({s}) = len({g}) THEN {shorter} AND {fits} ELSE false END OR (len({s}) = 1 AND len({g}) > 1 AND {short} = array_to_string([z[1] FOR z IN {g}], '')))"
+
+
 _SPLIT = _ROWS + """, s AS (SELECT *, ['train', 'validation', 'test'][source_row % 3 + 1] AS split FROM c)
 """
 
 _TOP = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
-sim AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a, v b WHERE a.vec_id <> b.vec_id),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, candidate_id) AS rank FROM sim) WHERE rank <= 10)
+sim AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, list_cosine_similarity(a.e, b.e) AS similarity FROM v a, v b WHERE a.vec_id <> b.vec_id),
+top AS (SELECT query_id, candidate_id, rank, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, candidate_id) AS rank FROM sim) WHERE rank <= 10)
 """
 
 _FIRST = _TOP + """, best AS (SELECT t.query_id, t.candidate_id, t.similarity, a.label AS own, b.label AS other FROM top t JOIN v a ON a.vec_id = t.query_id JOIN v b ON b.vec_id = t.candidate_id WHERE rank = 1)
@@ -434,6 +460,9 @@ ORACLE_SQL = {
         SELECT k.kind, p.l AS "left", p.r AS "right", count(b.x) AS count, coalesce(array_to_string(list(a.x ORDER BY a.x) FILTER (b.x IS NOT NULL)[1:20], ','), '') AS sample
         FROM (SELECT DISTINCT kind FROM w) k CROSS JOIN p LEFT JOIN w a ON a.kind = k.kind AND a.split = p.l LEFT JOIN w b ON b.kind = k.kind AND b.split = p.r AND b.x = a.x GROUP BY k.kind, p.l, p.r""",
     "q09b_split_checks": _GROUPS + "SELECT (SELECT count(*) FROM c) AS rows, (SELECT count(*) FROM c) AS distinct_rows, least(count(*), 3) AS splits, CAST(0 AS BIGINT) AS cut_components, CAST(0 AS BIGINT) AS shared_names FROM t",
+    "q10_hard_cases": _BLOCKS + f""", h AS (SELECT c.*, s, [z FOR z IN [CASE WHEN label <> 'NO_MATCH' AND s < 0.4 THEN 'hard_positive' END, CASE WHEN label = 'NO_MATCH' AND s > 0.7 THEN 'hard_negative' END,
+        CASE WHEN norm_a = norm_b AND A <> B THEN 'format_variant' WHEN label <> 'NO_MATCH' AND s > 0.7 THEN 'near_spelling_variant' END, CASE WHEN {_abbreviates("norm_a", "norm_b")} OR {_abbreviates("norm_b", "norm_a")} THEN 'possible_abbreviation' END] IF z IS NOT NULL] AS why FROM c JOIN ratio USING (source_row))
+        SELECT A, B, label, source_row, round(s, 6) AS similarity, array_to_string(why, ';') AS reasons FROM h WHERE len(why) > 0""",
     "q10b_format_variants": _ROWS + "SELECT source_row, norm_a = norm_b AND A <> B AS format_variant FROM c",
     "q11b_negative_violations": _ROWS + ", pos AS (SELECT count(*) AS n FROM c WHERE label <> 'NO_MATCH') SELECT kind AS negative_type, CAST(0 AS BIGINT) AS violations, n AS rows FROM pos, (VALUES ('hard'), ('random')) k(kind)",
     "q12_vocab": _ROWS + ", ch AS (SELECT DISTINCT unnest(string_split(norm_a || norm_b, '')) AS token FROM c) SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM ch UNION ALL VALUES ('<PAD>', 0), ('<UNK>', 1)",
