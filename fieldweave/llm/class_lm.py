@@ -18,7 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fieldweave.llm.split import free
 from fieldweave.shared import settle
 
 #: Word classes; units; units that are hashes of endings (a power of two).
@@ -29,44 +31,49 @@ FREQUENT = 500_000
 REMEMBERED = 100_000
 #: Added to each word's count; weight of the class frequencies in the transitions; exchange passes.
 ADDED, BACKED, PASSES = 0.5, 5.0, 8
-#: The bits of a word's hash that number its ending.
-_LOW = np.uint64(ENDINGS - 1)
 
 
 class Hashes(dict):
-    """64-bit hash of each word (bytes), whose low bits number its ending."""
+    """64-bit hash and ending number of each word (bytes); the dictionary holds where they stand."""
 
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word) & ~(ENDINGS - 1) | xxhash.xxh32_intdigest(word[-3:]) % ENDINGS
-        return found
+    def __init__(self) -> None:
+        self.hashes, self.endings = np.empty(1 << 16, dtype=np.uint64), np.empty(1 << 16, dtype=np.int16)
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Hashes of the words of a text, small letters for A-Z, and the end."""
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        if at == len(self.hashes):
+            self.hashes, self.endings = (np.concatenate((x, x)) for x in (self.hashes, self.endings))
+        self.hashes[at], self.endings[at] = xxhash.xxh3_64_intdigest(word), xxhash.xxh32_intdigest(word[-3:]) % ENDINGS
+        return at
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and endings of the words of a text, small letters for A-Z, and of the end."""
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        words.append(b"")
         if len(self) > REMEMBERED:
             self.clear()
-        found = np.empty(len(words) + 1, dtype=np.uint64)
-        found[:-1] = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-        found[-1] = END
-        return found
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.hashes[at], self.endings[at]
 
 
 #: Stands for the end of a text: the hash of a word of no letters, which no text holds.
-END = np.uint64(xxhash.xxh3_64_intdigest(b"") & ~(ENDINGS - 1) | xxhash.xxh32_intdigest(b"") % ENDINGS)
+END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 
 
 def _summed(batches: Iterator[pa.RecordBatch], codes, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Numbers of the codes that ``codes(text)`` gives, summed over some millions at a time."""
+    """How often each code of ``codes(text)`` comes, over some millions at a time; codes come alone or
+    with a further value that each code always has."""
 
-    def flushed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        value, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=names)
+    def flushed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        value, at, n = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
+        more = [pa.array(np.concatenate([p[k] for p in parts])[at]) for k in range(1, len(parts[0]))]
+        return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), *more, pa.array(n)], names=names)
 
     parts, size = [], 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
             parts.append(codes(text))
-            size += len(parts[-1])
+            size += len(parts[-1][0])
             if size >= 3_000_000:
                 yield flushed(parts)
                 parts, size = [], 0
@@ -75,13 +82,13 @@ def _summed(batches: Iterator[pa.RecordBatch], codes, names: list[str]) -> Itera
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word (hash), n over all texts, the end of each text included."""
+    """word (hash), ending, n over all texts, the end of each text included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        return _summed(batches, hashes.of, ["word", "n"])
+        return _summed(batches, Hashes().of, ["word", "ending", "n"])
 
-    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(run, "word long, ending short, n long")
+    return counted.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
 @dataclass
@@ -91,9 +98,9 @@ class Units:
     words: np.ndarray  #: sorted hashes of the frequent words
     number: np.ndarray  #: their units
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
+    def of(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.number[at], (UNITS - ENDINGS) + (hashes & _LOW).astype(np.int64))
+        return np.where(self.words[at] == hashes, self.number[at], (UNITS - ENDINGS) + endings.astype(np.int64))
 
 
 def unit_bigrams(texts: DataFrame, units: Units) -> DataFrame:
@@ -102,9 +109,9 @@ def unit_bigrams(texts: DataFrame, units: Units) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
 
-        def codes(text: str | None) -> np.ndarray:
-            own = units.of(hashes.of(text))
-            return np.concatenate(([0], own[:-1])) * UNITS + own
+        def codes(text: str | None) -> tuple[np.ndarray]:
+            own = units.of(*hashes.of(text))
+            return (np.concatenate(([0], own[:-1])) * UNITS + own,)
 
         return _summed(batches, codes, ["code", "n"])
 
@@ -178,18 +185,28 @@ class Model:
 
 
 def fit(texts: DataFrame, *, classes: int = CLASSES) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``texts`` (text) and the table of all word counts."""
+    """The model of all rows of ``texts`` (text, null as empty) and the table of all word counts.
+
+    The most frequent words are units; of words that come equally often those of least hash. No rows:
+    every word has the class of its ending, and no count.
+    """
     counts = settle(word_counts(texts))
-    # a count so high that few enough words reach it; of the counts themselves there are few
+    # of the counts themselves there are few
     levels = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
 
     def most(limit: int) -> tuple[np.ndarray, np.ndarray]:
-        reached, level = 0, levels[0][0] + 1 if levels else 1
+        """Hashes (sorted) and counts of so many words: all above some count, and the first of that count by hash."""
+        reached, level, rest = 0, levels[0][0] + 1 if levels else 1, 0
         for n, words in levels:
             if reached + words > limit:
+                rest = limit - reached
+                level = n
                 break
             reached, level = reached + words, n
-        table = counts.filter(F.col("n") >= level).toArrow()
+        whole = counts.filter(F.col("n") > level if rest or not reached else F.col("n") >= level).select("word", "n")
+        if rest:
+            whole = whole.unionByName(counts.filter(F.col("n") == level).select("word", "n").orderBy("word").limit(rest))
+        table = whole.toArrow()
         word, n = table.column("word").to_numpy().view(np.uint64), table.column("n").to_numpy()
         order = np.argsort(word)
         return word[order], n[order]
@@ -214,11 +231,11 @@ def fit(texts: DataFrame, *, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     singles = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(w),) for w in words.view(np.int64)], "word long")), "word", "left_semi")
     tokens, distinct = np.zeros(classes), np.zeros(classes)
     for r in singles.collect():
-        c = own[units.of(np.array([r["word"]], dtype=np.int64).view(np.uint64))[0]]
+        c = own[units.of(np.array([r["word"]], dtype=np.int64).view(np.uint64), np.zeros(1, np.int16))[0]]
         tokens[c] += r["n"]
         distinct[c] += 1
     others = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(int(w),) for w in words.view(np.int64)], "word long")), "word", "left_anti")
-    for r in others.groupBy(F.col("word").bitwiseAND(F.lit(ENDINGS - 1)).alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+    for r in others.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         c = own[UNITS - ENDINGS + r["ending"]]
         tokens[c] += r["n"]
         distinct[c] += r["words"]
@@ -230,49 +247,52 @@ def fit(texts: DataFrame, *, classes: int = CLASSES) -> tuple[Model, DataFrame]:
 def score(docs: DataFrame, fitted: tuple[Model, DataFrame]) -> DataFrame:
     """doc_id and other columns but text, with n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
-    Scores are log10 probabilities of the whole text (null: empty, its end alone). base_score is that
-    of words by themselves, each with 0.5 added to its count; score that of the model; perplexity is
-    per token. Repeated rows are scored each; input columns of the result's names are replaced.
+    Scores are log10 probabilities of the whole text, of any length (null: empty, its end alone).
+    base_score is that of words by themselves, each with 0.5 added to its count; score that of the
+    model; perplexity is per token. Repeated rows are scored each, equal texts alike; input columns of
+    the result's names (in any case of letters) are replaced, others pass through. No rows: no rows; a
+    model of no texts knows no word.
     """
     model, counts = fitted
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
-    kept = [c for c in docs.columns if c not in (*new, "text")]
+    kept = [c for c in docs.columns if c.lower() not in (*new, "text")]
+    tokens, hits, own_words, moves, rare, row, met, logs = own = [free(f"__{x}", [*docs.columns, *new]) for x in ("tokens", "hits", "words", "moves", "rare", "row", "met", "logs")]
     broad = docs.sparkSession.sparkContext.broadcast(model)
     base = float(np.log10(model.tokens + ADDED * (model.distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, hashes = broad.value, Hashes()
-        logs = np.log10(m.counts + ADDED)
+        known = np.log10(m.counts + ADDED)
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for text in batch.column(len(kept)).to_pylist():
-                own = hashes.of(text)
-                c = m.classes[m.units.of(own)]
-                at = np.minimum(np.searchsorted(m.frequent, own), max(0, len(m.frequent) - 1))
-                hit = m.frequent[at] == own if len(m.frequent) else np.zeros(len(own), bool)
-                words = float(logs[at[hit]].sum()) if len(m.frequent) else 0.0
-                moves = float(m.step[np.concatenate(([m.classes[0]], c[:-1])), c].sum() - m.inside[c].sum())
-                for to, x in zip(out, (len(own), int(hit.sum()), words, moves, own[~hit].view(np.int64)), strict=True):
+                each, unit = hashes.of(text)
+                c = m.classes[m.units.of(each, unit)]
+                at = np.minimum(np.searchsorted(m.frequent, each), max(0, len(m.frequent) - 1))
+                hit = m.frequent[at] == each if len(m.frequent) else np.zeros(len(each), bool)
+                words = float(known[at[hit]].sum()) if len(m.frequent) else 0.0
+                steps = float(m.step[np.concatenate(([m.classes[0]], c[:-1])), c].sum() - m.inside[c].sum())
+                for to, x in zip(out, (len(each), int(hit.sum()), words, steps, each[~hit].view(np.int64)), strict=True):
                     to.append(x)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *map(pa.array, out, kinds)], names=[*kept, "__tokens", "__hits", "__words", "__moves", "__rare"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *map(pa.array, out, kinds)], names=[*kept, *own[:5]])
 
     source = docs.select(*kept, "text")
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept)
-    schema += (", " if kept else "") + "__tokens long, __hits long, __words double, __moves double, __rare array<long>"
-    local = settle(source.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
-    rare = local.select("__row", F.explode("__rare").alias("word")).groupBy("__row", "word").agg(F.count("*").alias("times"))
-    met = rare.join(counts, "word", "left").groupBy("__row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("__met"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADDED))).alias("__logs"),
+    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(c, k) for c, k in zip(own, (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType())), strict=False)])
+    local = settle(source.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()))
+    word, times = free("__word", docs.columns), free("__times", docs.columns)
+    seen = local.select(row, F.explode(rare).alias(word)).groupBy(row, word).agg(F.count("*").alias(times))
+    seen = seen.join(counts.select(F.col("word").alias(word), F.col("n").alias(hits)), word, "left").groupBy(row).agg(
+        F.sum(F.when(F.col(hits).isNotNull(), F.col(times)).otherwise(0)).alias(met),
+        F.sum(F.col(times) * F.log10(F.coalesce(hits, F.lit(0)) + F.lit(ADDED))).alias(logs),
     )
-    words = F.col("__words") + F.coalesce("__logs", F.lit(0.0))
-    total = local.drop("__rare").join(met, "__row", "left").select(
+    words = F.col(own_words) + F.coalesce(logs, F.lit(0.0))
+    total = local.drop(rare).join(seen, row, "left").select(
         *kept,
-        F.col("__tokens").alias("n_tokens"),
-        (F.col("__hits") + F.coalesce("__met", F.lit(0))).cast("long").alias("n_known"),
+        F.col(tokens).alias("n_tokens"),
+        (F.col(hits) + F.coalesce(met, F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (words - F.lit(base) * F.col("__tokens")).alias("base_score"),
-        (words + F.col("__moves")).alias("score"),
+        (words - F.lit(base) * F.col(tokens)).alias("base_score"),
+        (words + F.col(moves)).alias("score"),
     )
     return total.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -85,8 +85,9 @@ def fit(docs: DataFrame, train: Column, *, per_language: int = PER_LANGUAGE, cen
     """Learns from the rows where ``train`` holds, text has a letter and lang is not null.
 
     Every language is learnt, from at most ``per_language`` of its rows: those of lowest hash of id
-    and text, where rows equal in both count once. Each language's rows meet in one task, which gives
-    its centroids; the driver sees only those.
+    and text (ties fall by that hash), where rows equal in both count once. Each language's rows meet in
+    one task, which gives its centroids; the driver sees only those. No such rows: no languages, and
+    all texts are ``und``.
     """
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("__row"))
@@ -134,11 +135,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score (the cosine, 0 to 1) and rejected, of every whole text.
 
     ``und`` with score 0 (and rejected) where the text is null or has no letter, or no language was
-    learnt. A rejected text keeps its nearest language in lang_pred. Input columns of the result's
-    names are replaced; repeated rows are predicted each.
+    learnt. A rejected text keeps its nearest language in lang_pred. Of languages that are equally
+    near the first in code-point order is taken. Whole texts are read, of any length. Input columns of
+    the result's names (in any case of letters) are replaced, others pass through; repeated rows are
+    predicted each. No rows: no rows.
     """
     names = ["lang_pred", "score", "rejected"]
-    kept = [c for c in docs.columns if c not in (*names, "text")]
+    kept = [c for c in docs.columns if c.lower() not in (*names, "text")]
     docs = docs.select(*kept, "text")
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["lang_pred string", "score double", "rejected boolean"])
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.shared import settle
+from fieldweave.llm.split import free
+from fieldweave.shared import settle, small
 
 #: At most so many sources are broadcast with their rates; beyond, the rates are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
@@ -59,24 +60,36 @@ def source_plan(sizes: DataFrame, max_rate: int = 3, weights: int = 3) -> DataFr
     return shared.select("source", "source_size", target.alias("target"))
 
 
-def with_copies(docs: DataFrame, size: Column, *, seed: int = 17, max_rate: int = 3, weights: int = 3) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __copies: how often the mix takes each row.
+def with_copies(docs: DataFrame, size: Column, *, seed: int = 17, max_rate: int = 3, weights: int = 3, names: tuple[str, str, str, str] = ("__size", "__source_size", "__target", "__copies")) -> DataFrame:
+    """``docs`` with ``names``: its size, its source's size and target, and how often the mix takes it.
 
     Rows that repeat a doc_id are drawn alike. A null source is a source of its own, a null doc_id
-    draws as ''. Other columns pass through. The documents are never shuffled.
+    draws as '', a null size counts 0; texts of any length are one size each. Columns of the given
+    names are replaced, all others pass through. No rows: no rows. The documents are never shuffled,
+    unless there are more sources than are broadcast.
     """
-    sizes = docs.select("source", size.alias("size"))
-    plan = settle(source_plan(sizes, max_rate, weights)).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    sizes = docs.select("source", F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    own, source_size, target, copies = names
+    source = free("__source", [*docs.columns, *names])
+    plan = settle(source_plan(sizes, max_rate, weights)).select(F.col("source").alias(source), F.col("source_size").alias(source_size), F.col("target").alias(target))
     if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    joined = docs.withColumn("__size", size).join(plan, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+        plan = small(plan)
+    replaced = {n.lower() for n in names}
+    docs = docs.withColumn(own, F.coalesce(size, F.lit(0)).cast("long")).select(*[c for c in docs.columns if c.lower() not in replaced], own)
+    joined = docs.join(plan, F.col("source").eqNullSafe(F.col(source)), "left").drop(source)
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     extra = (uniform(seed, F.col("doc_id")) < rate - whole).cast("long")
-    return joined.withColumn("__copies", (whole + extra).cast("long"))
+    return joined.withColumn(copies, (whole + extra).cast("long"))
 
 
 def mix(docs: DataFrame, size: Column | None = None, *, seed: int = 17, max_rate: int = 3, weights: int = 3) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged."""
-    taken = with_copies(docs, word_count(F.col("text")) if size is None else size, seed=seed, max_rate=max_rate, weights=weights)
-    return taken.withColumn("__copy", F.explode(F.expr("CASE WHEN __copies > 0 THEN sequence(1L, __copies) END"))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged, whatever their names.
+
+    Nulls, ties, repeated and missing rows as in ``with_copies``.
+    """
+    names = tuple(free(n, docs.columns) for n in ("__size", "__source_size", "__target", "__copies"))
+    copy = free("__copy", docs.columns)
+    taken = with_copies(docs, word_count(F.col("text")) if size is None else size, seed=seed, max_rate=max_rate, weights=weights, names=names)
+    turns = F.when(F.col(names[3]) > 0, F.sequence(F.lit(1).cast("long"), F.col(names[3])))
+    return taken.withColumn(copy, F.explode(turns)).select(*docs.columns)

@@ -64,7 +64,7 @@ def test_model_sums_to_one(spark):
     assert np.allclose((10**model.step).sum(axis=1), 1)
     table = counts.toPandas()
     word = table["word"].to_numpy(dtype=np.int64).view(np.uint64)
-    own = model.classes[model.units.of(word)]
+    own = model.classes[model.units.of(word, table["ending"].to_numpy())]
     p = (table["n"].to_numpy() + 0.5) / 10 ** model.inside[own]
     inside = np.bincount(own, weights=p, minlength=class_lm.CLASSES)
     assert (inside <= 1 + 1e-9).all() and model.tokens == table["n"].sum() and model.distinct == len(table)
@@ -96,6 +96,21 @@ def test_three_thousand_words_are_clustered_on_their_own(spark):
     assert len(model.units.words) == 3001
 
 
+def test_words_of_equal_counts_fill_the_units(spark):
+    df = spark.createDataFrame([(" ".join(f"w{k}" for k in range(5000)),)] * 2, "text string")
+    model, counts = class_lm.fit(df)
+    assert len(model.units.words) == class_lm.UNITS - class_lm.ENDINGS
+    least = sorted(r.word for r in counts.filter("n = 2").collect())[: class_lm.UNITS - class_lm.ENDINGS - 1]
+    assert set(np.array(least, dtype=np.int64).view(np.uint64)) <= set(model.units.words)
+
+
+def test_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(5, "a b", 7, 8, 9, 1.5, 2.5)], "doc_id long, text string, __row int, __tokens int, word int, Score double, PERPLEXITY double")
+    (r,) = class_lm.score(df, class_lm.fit(df)).collect()
+    assert (r.doc_id, r["__row"], r["__tokens"], r["word"], r.n_tokens) == (5, 7, 8, 9, 3)
+    assert [c for c in r.asDict() if c.lower() in ("score", "perplexity")] == ["score", "perplexity"]
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert class_lm.score(df, class_lm.fit(df)).count() == 0

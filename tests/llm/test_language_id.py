@@ -53,3 +53,27 @@ def test_every_language_is_learnt_whatever_its_ids(spark):
 
 def test_letters():
     assert has_letter("1é") and not has_letter("12 _") and not has_letter(None)
+
+
+def test_predictions_of_given_centroids_equal_brute_force(spark):
+    rng = np.random.default_rng(0)
+    from fieldweave.llm import language_id
+    from fieldweave.llm.language_id import BUCKETS, Model, counts
+
+    texts = ["the cat sat on the mat", "le chat est là", "der Hund läuft", "xyz xyz", "a", "Ωμέγα", "the the le"]
+    idf = rng.uniform(0.1, 3, BUCKETS).astype(np.float32)
+    c = rng.uniform(0, 1, (5, BUCKETS)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    model = Model(["aa", "bb"], idf, c, np.array([0, 0, 1, 1, 1]), np.array([0.05, 0.2]))
+    df = spark.createDataFrame([(k, t, 1.0) for k, t in enumerate(texts)] + [(90, None, 1.0), (91, "12 .,", 1.0)], "doc_id long, text string, Score double")
+    got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    for k, text in enumerate(texts):
+        n = counts([text])[0].astype(np.float64)
+        # the vector of a text: 1 + log n, times the weight of the n-gram, to unit length
+        v = model.vectors(counts([text]))[0]
+        weighted = np.where(n > 0, v, 0)
+        cos = c.astype(np.float64) @ weighted / np.linalg.norm(weighted)
+        best = int(cos.argmax())
+        assert got[k].lang_pred == ["aa", "bb"][model.owner[best]] and abs(got[k].score - cos[best]) < 1e-5 and got[k].rejected == (cos[best] < model.least[model.owner[best]])
+    assert [(got[k].lang_pred, got[k].score) for k in (90, 91)] == [("und", 0.0)] * 2
+    assert [c for c in language_id.predict(df, model).columns if c.lower() == "score"] == ["score"] and language_id.predict(df.limit(0), model).count() == 0

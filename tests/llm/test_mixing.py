@@ -65,3 +65,14 @@ def test_small_inputs(spark):
     assert mix(empty).count() == 0 and all(r["__copies"] == 0 for r in with_copies(empty, word_count(F.col("text"))).collect())
     one = spark.createDataFrame([("s", 5), ("s", 6)], "source string, size long")
     assert source_plan(one).first().asDict() == {"source": "s", "source_size": 11, "target": 11.0}
+
+
+def test_columns_of_clashing_names_come_back(spark):
+    kind = "doc_id long, text string, source string, __size int, __source_size int, __target int, __copies int, __copy int, __source int"
+    df = spark.createDataFrame([(k, "a b c", "s", 100 + k, 200, 300, 400, 500 + k, 600) for k in range(9)], kind)
+    got = mix(df)
+    assert got.columns == df.columns and got.count()
+    assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in df.collect()}
+    plain = with_copies(df, word_count(F.col("text")))
+    assert {(r["__size"], r["__source_size"]) for r in plain.collect()} == {(3, 27)} and plain.columns.count("__target") == 1
+    assert mix(df.limit(0)).count() == 0

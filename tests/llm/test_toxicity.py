@@ -1,7 +1,10 @@
+import math
 import random
+import string
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from fieldweave.llm import toxicity
@@ -66,3 +69,22 @@ def test_one_label_only(spark, label):
     labels = spark.createDataFrame([(k, label) for k in range(9)], "doc_id long, toxic int")
     s = score(docs, fit(docs, labels, F.lit(True))).first().toxicity
     assert (s > 0.5) == bool(label)
+
+
+def test_scores_of_given_weights_equal_brute_force(spark):
+    rng = np.random.default_rng(1)
+    weights = np.where(rng.random(toxicity.BUCKETS) < 0.5, rng.normal(size=toxicity.BUCKETS), 0).astype(np.float32)
+    model = toxicity.Model(weights, -0.3)
+    texts = ["You are AWFUL, truly awful people!", "plain words", "", None, "a  b\tc", "straße übel", "x" * 50_000 + " end", "plain words"]
+    df = spark.createDataFrame([(k, t, "kept") for k, t in enumerate(texts)], "doc_id long, text string, Toxicity string")
+    got = {r.doc_id: r for r in toxicity.score(df, model, "risk").collect()}
+    for k, text in enumerate(texts):
+        keys = set()
+        for token in (text or "").split():
+            word = token.lower().strip(string.punctuation + string.whitespace + "“”‘’«»¿¡…–—")
+            if word:
+                keys |= {word} | {"^" + word[:n] for n in (4, 6) if len(word) > n}
+        cells = {xxhash.xxh3_64_intdigest(key) % toxicity.BUCKETS for key in keys}
+        want = 1 / (1 + math.exp(-(-0.3 + sum(float(weights[c]) for c in cells))))
+        assert got[k].risk == pytest.approx(want, abs=1e-5) and got[k].Toxicity == "kept"
+    assert toxicity.score(df.limit(0), model).count() == 0
