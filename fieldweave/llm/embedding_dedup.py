@@ -14,19 +14,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.jaccard_join import by_group, roots_of
 from fieldweave.llm.neighbours import exact, usable
 from fieldweave.operators.components import components
 from fieldweave.shared import settle, small
 
 #: Nodes of a block of a bucket; nodes of a label that share a bucket by chance, on average; least and most signs.
 BLOCK, BY_CHANCE, SIGNS = 512, 2, (4, 18)
+#: Groups of so many rows are searched many at once, larger ones by a matrix product each.
+FEW = 32
 #: Cosines that are nearer to the threshold than this are computed again, term by term.
 NEAR = 1e-9
 
@@ -49,7 +51,10 @@ def _hashes(v: np.ndarray, planes: np.ndarray, tables: int) -> np.ndarray:
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1)
+    """Rows of doubles; where lengths differ (they never meet) zeros stand behind the shorter ones."""
+    each = column.to_pylist()
+    longest = max(map(len, each))
+    return np.frombuffer(b"".join(x.ljust(longest, b"\0") for x in each), dtype=np.float64).reshape(len(each), -1)
 
 
 def hashed(nodes: DataFrame, tables: int, signs: int, seed: int) -> DataFrame:
@@ -72,42 +77,78 @@ def hashed(nodes: DataFrame, tables: int, signs: int, seed: int) -> DataFrame:
     return nodes.select("node", "block", "copies", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "node long, block long, copies long, hashes array<int>, v binary")
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by their first ``keys`` columns, about a batch at a time, never cut within a group; and where groups start."""
+    waiting: pa.Table | None = None
+    for batch in chain(batches, (None,)):
+        if batch is not None and not batch.num_rows:
+            continue
+        rows = [x for x in (waiting, None if batch is None else pa.Table.from_batches([batch])) if x is not None]
+        if not rows:
+            return
+        table = pa.concat_tables(rows)
+        change = np.zeros(len(table), dtype=bool)
+        for k in range(keys):
+            column = table.column(k).to_numpy()
+            change[1:] |= column[1:] != column[:-1]
+        starts = np.concatenate(([0], np.flatnonzero(change)))
+        end = len(table) if batch is None else int(starts[-1])
+        waiting = table.slice(end)
+        if end:
+            yield table.slice(0, end), starts[starts < end]
+
+
+def _pairs(v: np.ndarray, starts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i < j of one group whose product is ``least`` or more, and their products."""
+    size = np.diff(np.append(starts, len(v)))
+    group = np.repeat(np.arange(len(starts)), size)
+    out = []
+    few = size[group] <= FEW
+    for k in range(1, int(min(FEW, size.max(initial=1)))):  # many small groups at once: each row with the k-th after it
+        i = np.flatnonzero(few[:-k] & (group[:-k] == group[k:]))
+        for at in range(0, len(i), 4096):
+            part = i[at : at + 4096]
+            cosine = np.einsum("nd,nd->n", v[part], v[part + k])
+            near = cosine >= least
+            out.append((part[near], part[near] + k, cosine[near]))
+    for g in np.flatnonzero(size > FEW):
+        own = v[starts[g] : starts[g] + size[g]]
+        cosine = own @ own.T
+        i, j = np.nonzero(np.triu(cosine >= least, 1))
+        out.append((starts[g] + i, starts[g] + j, cosine[i, j]))
+    return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *out, strict=True))
+
+
 def links(met: DataFrame, threshold: float) -> DataFrame:
-    """kind 0: node, other = least node linked with it here; kind 1: node, n = vectors linked with it here for the first time.
+    """kind 0: node, other = least node joined with it here; kind 1: node, n = vectors linked with it here for the first time.
 
     met: block, table, value, b1, b2, own, node, copies, hashes, v.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in by_group(batches, 5):
-            node, at = np.unique(group.column("node").to_numpy(), return_index=True)
-            if len(node) < 2:
-                continue
-            group = group.take(pa.array(at))
-            own, copies = group.column("own").to_numpy(), group.column("copies").to_numpy()
-            table, b1, b2 = (group.column(c)[0].as_py() for c in ("table", "b1", "b2"))
-            v, h = _vectors(group.column("v")), group.column("hashes").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-            left = np.flatnonzero(own == b1)
-            right = left if b1 == b2 else np.flatnonzero(own == b2)
-            if not len(left) or not len(right):
-                continue
-            cosine = v[left] @ v[right].T
-            i, j = np.nonzero(cosine >= threshold - NEAR)
-            i, j, cosine = left[i], right[j], cosine[i, j]
-            sure = i != j if b1 != b2 else i < j
-            i, j, cosine = i[sure], j[sure], cosine[sure]
+        for rows, starts in whole_groups(batches, 5):
+            node, own, copies, table = (rows.column(c).to_numpy() for c in ("node", "own", "copies", "table"))
+            v = _vectors(rows.column("v"))
+            i, j, cosine = _pairs(v, starts, threshold - NEAR)
+            # of two blocks only pairs across them
+            met_here = (rows.column("b1").to_numpy()[i] == rows.column("b2").to_numpy()[i]) | (own[i] != own[j])
             close = np.flatnonzero(cosine < threshold + NEAR)
-            linked = np.ones(len(i), dtype=bool)
-            linked[close] = exact(v[i[close]], v[j[close]]) >= threshold
-            i, j = i[linked], j[linked]
-            first = np.ones(len(i), dtype=bool)
-            for t in range(table):
-                first &= h[i, t] != h[j, t]
+            met_here[close] &= exact(v[i[close]], v[j[close]]) >= threshold
+            i, j = i[met_here], j[met_here]
+            h = rows.column("hashes").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            first = np.zeros(len(i), dtype=bool)
+            for at in range(0, len(i), 16_384):  # the first table in which both have one hash counts the link
+                part = slice(at, at + 16_384)
+                first[part] = (h[i[part]] == h[j[part]]).argmax(axis=1) == table[i[part]]
             i, j = i[first], j[first]
             n = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
-            matrix = np.zeros((len(node), len(node)), dtype=bool)
-            matrix[i, j] = matrix[j, i] = True
-            root = roots_of(matrix, node)
+            root = node.copy()
+            while True:
+                before = root.copy()
+                np.minimum.at(root, i, before[j])
+                np.minimum.at(root, j, before[i])
+                if (root == before).all():
+                    break
             moved, some = root != node, n > 0
             none = np.zeros(len(node), np.int64)
             yield pa.RecordBatch.from_arrays(
