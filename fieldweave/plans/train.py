@@ -14,8 +14,8 @@ from fieldweave.operators import grouping, negatives, quality, vocabulary
 from fieldweave.operators.model import ModelBundle, train_on
 from fieldweave.plans.evaluate import evaluate
 from fieldweave.shared import numbered, settle
-from fieldweave.sources.pairs import DataValidationError, read_labelled, split_path
-from fieldweave.sources.sinks import log_to, run_directory, to_json
+from fieldweave.sources.pairs import DataValidationError, read_labelled
+from fieldweave.sources.sinks import current, log_to, run_directory, to_json
 
 
 def validate(spark: SparkSession, data_dir: str = "data_split", *, strict: bool = True, **explicit: str | None) -> tuple[dict[str, DataFrame], dict[str, Any]]:
@@ -23,7 +23,7 @@ def validate(spark: SparkSession, data_dir: str = "data_split", *, strict: bool
 
     explicit: paths of train, validation or test that override the folder's.
     """
-    splits = {s: settle(read_labelled(spark, split_path(data_dir, s, explicit.get(s)), s)) for s in grouping.SPLITS}
+    splits = {s: settle(read_labelled(spark, explicit.get(s) or current(spark, data_dir, f"{s}.csv"), s)) for s in grouping.SPLITS}
     columns = ["A", "B", "label", "norm_a", "norm_b", "split"]
     rows = None
     for name, own in splits.items():

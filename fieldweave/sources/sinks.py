@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 import uuid
 from collections.abc import Callable, Mapping
 from datetime import datetime
@@ -60,23 +61,95 @@ def to_json(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2, allow_nan=False, default=_plain) + "\n"
 
 
+#: The record that a set of files is complete and on its way to its places.
+COMMIT = ".commit.json"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _fs(spark, path)
+    return fs.exists(place)
+
+
+def _replace(spark: SparkSession, source: str, target: str) -> None:
+    """Puts ``source`` in the place of ``target``: a file at once, so that there is always one; a folder after the old one is gone."""
+    fs, place = _fs(spark, target)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = fs.getFileStatus(hadoop.Path(source)).isDirectory()
+    if folder or fs.exists(place) and fs.getFileStatus(place).isDirectory():
+        fs.delete(place, True)
+        fs.rename(hadoop.Path(source), place)
+    elif fs.getUri().getScheme() == "file":
+        plain = lambda p: hadoop.Path.getPathWithoutSchemeAndAuthority(hadoop.Path(p)).toString()
+        fs.delete(hadoop.Path(place.getParent(), f".{place.getName()}.crc"), False)  # of the old content
+        os.replace(plain(source), plain(target))
+    else:
+        options = spark._sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(hadoop.Path(source), place, options)
+
+
+def _commit_record(spark: SparkSession, folder: str) -> dict[str, Any] | None:
+    fs, place = _fs(spark, f"{folder}/{COMMIT}")
+    if not fs.exists(place):
+        return None
+    stream = fs.open(place)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
+    finally:
+        stream.close()
+
+
+def roll_forward(spark: SparkSession, folder: str) -> bool:
+    """Ends a publication that was stopped after its record was written; whether there was one."""
+    folder = str(folder).rstrip("/")
+    record = _commit_record(spark, folder)
+    if record is None:
+        return False
+    staging = f"{folder}/{record['staging']}"
+    for name in record["files"]:
+        if _exists(spark, f"{staging}/{name}"):  # else it is in its place already
+            _replace(spark, f"{staging}/{name}", f"{folder}/{name}")
+    fs, place = _fs(spark, f"{folder}/{COMMIT}")
+    fs.delete(place, False)
+    fs.delete(_fs(spark, staging)[1], True)
+    return True
+
+
+def current(spark: SparkSession, folder: str, name: str) -> str:
+    """Where a file of the last complete publication is, also while it is on its way to its place."""
+    folder = str(folder).rstrip("/")
+    record = _commit_record(spark, folder)
+    waiting = f"{folder}/{record['staging']}/{name}" if record and name in record["files"] else None
+    return waiting if waiting and _exists(spark, waiting) else f"{folder}/{name}"
+
+
 def publish(spark: SparkSession, folder: str, files: Mapping[str, Callable[[str], None]]) -> None:
-    """Each file is written beside its place first; only when all are there do they take their places."""
+    """The files as one set: all are written aside, a record says that they are complete, then each takes its place.
+
+    Stopped before the record the old set stays; stopped later, ``current`` finds the new set, and
+    ``roll_forward`` (which every publication begins with) ends the work. A file's place is never
+    empty in between, except that of a folder of part files.
+    """
+    folder = str(folder).rstrip("/")
     fs, place = _fs(spark, folder)
-    fs.mkdirs(place)
-    staging = f"{str(folder).rstrip('/')}/.staging-{uuid.uuid4().hex}"
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs.mkdirs(hadoop_path(staging))
+    fs.mkdirs(place)
+    roll_forward(spark, folder)
+    for left in fs.listStatus(place):  # of publications stopped before their record
+        if left.getPath().getName().startswith(".staging-"):
+            fs.delete(left.getPath(), True)
+    staging = f".staging-{uuid.uuid4().hex}"
+    fs.mkdirs(hadoop_path(f"{folder}/{staging}"))
     try:
         for name, write in files.items():
-            write(f"{staging}/{name}")
-        for name in files:
-            target = hadoop_path(f"{folder}/{name}")
-            fs.delete(target, True)
-            fs.rename(hadoop_path(f"{staging}/{name}"), target)
-            fs.delete(hadoop_path(f"{folder}/.{name}.crc"), False)
-    finally:
-        fs.delete(hadoop_path(staging), True)
+            write(f"{folder}/{staging}/{name}")
+        write_text(spark, f"{folder}/{staging}/{COMMIT}", json.dumps({"staging": staging, "files": list(files)}))
+        if not fs.rename(hadoop_path(f"{folder}/{staging}/{COMMIT}"), hadoop_path(f"{folder}/{COMMIT}")):
+            raise RuntimeError(f"{folder}: another publication is on its way")
+    except BaseException:
+        fs.delete(hadoop_path(f"{folder}/{staging}"), True)
+        raise
+    roll_forward(spark, folder)
 
 
 def run_directory(parent: str | Path) -> Path:
