@@ -7,6 +7,9 @@
    no window is cut there. With the vectors joined, a query meets the rows whose places are near its
    own, by blocks of a matrix product, and keeps the best.
 3. What all orderings have found is merged and ranked by the exact scores.
+4. A sample of the queries is searched in all rows. As long as the windows have found less than the
+   wanted share of what that gives, further orderings are added, so their number follows from the data:
+   few for vectors in clusters, more and more for many vectors without structure.
 
 The work grows with the rows times the orderings. ``widen`` adds an exact search for small tables:
 blocks of the first ordering whose centre and radius cannot rule out a better neighbour are scored.
@@ -27,8 +30,10 @@ from fieldweave.llm.jaccard_join import by_group
 from fieldweave.llm.split import cuts_below
 from fieldweave.shared import numbered, settle
 
-#: Orderings; dimensions of a projection; bits of a key; places on either side in a window.
-ORDERINGS, DIMENSIONS, BITS, HALF_WINDOW = 40, 20, 60, 512
+#: Orderings of each round (the last is repeated); dimensions of a projection; bits of a key; places on either side in a window.
+ORDERINGS, DIMENSIONS, BITS, HALF_WINDOW = (24, 16, 24, 40, 60, 100), 20, 60, 512
+#: Recall that ends the rounds; queries that it is measured on; most rounds.
+WANTED, MEASURED, ROUNDS = 0.95, 256, 12
 #: Rows that fit the cells of the projections; rows of a range, a block and a block of queries.
 SAMPLE, RANGE_ROWS, BLOCK, QUERY_BLOCK = 5_000, 20_000, 16_384, 4_096
 #: Scores of a matrix product that are nearer than this are told apart by the exact ones.
@@ -71,15 +76,14 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _curves(sample: np.ndarray, seed: int) -> list[tuple[np.ndarray, list[np.ndarray], int]]:
-    """For each ordering: directions (orthonormal), ascending cuts of each projection, bits of a cell."""
-    rng = np.random.default_rng(seed)
+def _curves(sample: np.ndarray, seed: int, numbers: range) -> list[tuple[np.ndarray, list[np.ndarray], int]]:
+    """For the ordering of each number: directions (orthonormal), ascending cuts of each projection, bits of a cell."""
     m = min(DIMENSIONS, sample.shape[1])
     bits = min(8, BITS // m)
     out = []
-    for c in range(ORDERINGS):
-        directions = np.linalg.qr(rng.normal(size=(sample.shape[1], m)))[0]
-        levels = (np.arange(1, 2**bits) - 0.5 + c / ORDERINGS) / 2**bits  # the shift: up to a cell between orderings
+    for c in numbers:
+        directions = np.linalg.qr(np.random.default_rng([seed, c]).normal(size=(sample.shape[1], m)))[0]
+        levels = (np.arange(1, 2**bits) - 0.5 + c * 0.618033988749895 % 1) / 2**bits  # the shift: up to a cell between orderings
         out.append((directions, list(np.quantile(sample @ directions, levels, axis=0).T), bits))
     return out
 
@@ -136,6 +140,41 @@ def _windows(vectors: DataFrame, curves: list, k: int, half: int) -> DataFrame:
     return dealt.select("range", "curve", "id", "is_query", "own", "v").mapInArrow(near, FOUND)
 
 
+def _of_all(vectors: DataFrame, k: int) -> DataFrame | None:
+    """The true answers of ``MEASURED`` queries (lowest hash of the id), in one pass over all rows; None without a query."""
+    asked = vectors.filter("is_query").select("id", "v", F.xxhash64("id", F.lit(7)).alias("h")).orderBy("h", "id").limit(MEASURED).toArrow()
+    if not len(asked):
+        return None
+    q_ids, q = asked.column("id").to_numpy(), _matrix(asked.column("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                own = _best(q_ids, q, part.column(0).to_numpy(), _matrix(part.column(1)), k, np.ones((len(q), part.num_rows), dtype=bool))
+                best = own if best is None else pd.concat((best, own)).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+        if best is not None:
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+
+    return settle(_ranked(vectors.select("id", "v").mapInArrow(run, FOUND), k).select("query_id", "vec_id"))
+
+
+def _found_so_far(vectors: DataFrame, sample: np.ndarray, k: int, half: int, seed: int, whole: bool) -> DataFrame:
+    """Rounds of orderings until the windows have found the wanted share; one ordering where its windows hold all rows."""
+    if whole:
+        return settle(_ranked(_windows(vectors, _curves(sample, seed, range(1)), k, half), k))
+    truth, found, done = _of_all(vectors, k), None, 0
+    for r in range(ROUNDS):
+        more = ORDERINGS[min(r, len(ORDERINGS) - 1)]
+        own = _windows(vectors, _curves(sample, seed, range(done, done + more)), k, half)
+        found = settle(_ranked(own if found is None else found.select("query_id", "vec_id", "score").unionByName(own), k))
+        done += more
+        if truth is None or found.join(F.broadcast(truth), ["query_id", "vec_id"]).count() >= WANTED * truth.count():
+            break
+    return found
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, vector_id: str = "vec_id", vector: str = "embedding", half: int = HALF_WINDOW, widen: bool = False, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product with each query row, as found.
 
@@ -148,8 +187,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, vector_id: str
     no query: no rows. Other columns are not read, whatever their names.
 
     With up to ``half`` + 1 usable rows all are found. Beyond, each is found if some ordering places it
-    within ``half`` places of the query. ``widen`` searches on until nothing is missed, at a cost that
-    grows with queries times rows where the vectors have no structure.
+    within ``half`` places of the query; orderings are added until ``WANTED`` of the true answers of a
+    sample of queries are found (or ``ROUNDS`` rounds, some thousand orderings, are over). ``widen`` searches
+    on until nothing is missed, at a cost that grows with queries times rows where the vectors have no
+    structure.
     """
     clean = vectors.select(F.col(vector_id).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), F.col(vector).alias("v"))
     clean = clean.filter(F.col("id").isNotNull() & usable(F.col("v")))
@@ -158,8 +199,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, *, vector_id: str
         return clean.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     clean = settle(clean.filter(F.size("v") == lengths["n"]).groupBy("id").agg(F.max("is_query").alias("is_query"), F.min("v").alias("v")))
     sample = clean.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).toArrow()
-    curves = _curves(_matrix(sample.column("v")), seed)
-    found = settle(_ranked(_windows(clean, curves, k, half), k))
+    sample = _matrix(sample.column("v"))
+    curves = _curves(sample, seed, range(1))
+    found = _found_so_far(clean, sample, k, half, seed, lengths["count"] <= half + 1)
     if not widen:
         return found.select("query_id", "rank", "vec_id", "score")
     least = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") == k).select("query_id", F.col("score").alias("least"))

@@ -91,3 +91,18 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert answers(nearest(df, df.vec_id % 20 == 0)) == {0: [2, 1]}
     assert nearest(df.limit(0), df.vec_id % 20 == 0).count() == 0
+
+
+def test_orderings_are_added_until_enough_is_found(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 24))
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(v)], "vec_id long, embedding array<double>")
+    want = brute_force(dict(enumerate(v)), 50, 20)
+    recall = lambda: np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want])
+    monkeypatch.setattr(neighbours, "ORDERINGS", (2, 6))
+    monkeypatch.setattr(neighbours, "ROUNDS", 1)
+    got = answers(nearest(df, df.vec_id % 50 == 0, half=40))
+    few = recall()
+    monkeypatch.setattr(neighbours, "ROUNDS", 20)
+    got = answers(nearest(df, df.vec_id % 50 == 0, half=40))
+    assert few < 0.5 and recall() >= 0.93
