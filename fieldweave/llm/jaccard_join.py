@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.llm.lean import lean
 from fieldweave.llm.shingles import Words, mixed, shingle_hashes
 from fieldweave.llm.split import free
 from fieldweave.operators.components import components
@@ -93,7 +94,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                 nodes.append(node_of(own)), dealt.append(_signed(band)), short.append((mixed(values) & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(dealt, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["key", "doc_id", "node", "bands", "bytes"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def row_key() -> Column:
@@ -174,7 +175,7 @@ def near_edges(members: DataFrame, values: int, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(root[moved])], names=["u", "v"])
 
     dealt = members.repartition("band", "value", "b1", "b2").sortWithinPartitions("band", "value", "b1", "b2")
-    return dealt.select("band", "value", "b1", "b2", "own", "node", "bytes").mapInArrow(run, "u long, v long")
+    return dealt.select("band", "value", "b1", "b2", "own", "node", "bytes").mapInArrow(lean(run), "u long, v long")
 
 
 def _matrix(ids: list[np.ndarray], low: int, high: int) -> np.ndarray:
@@ -229,7 +230,7 @@ def links(groups: DataFrame, threshold: float) -> DataFrame:
             )
 
     dealt = groups.repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2")
-    return dealt.select("root", "b1", "b2", "own", "node", "copies", "shingles").mapInArrow(run, "node long, other long, n long")
+    return dealt.select("root", "b1", "b2", "own", "node", "copies", "shingles").mapInArrow(lean(run), "node long, other long, n long")
 
 
 def joined_in_buckets(members: DataFrame, rows: DataFrame, values: int, threshold: float) -> DataFrame:
@@ -314,7 +315,7 @@ def centres(big: DataFrame, stats: DataFrame, threshold: float) -> DataFrame:
     wanted = F.least(F.lit(2.0 * SAMPLE), F.lit(float(SAMPLE_BYTES)) / F.greatest(F.col("bytes"), F.lit(1.0)))
     drawn = F.pmod(F.xxhash64("node", F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = big.join(small(stats), "root").filter(drawn * F.col("members") < wanted).withColumn("drawn", drawn)
-    return some.repartition("root").sortWithinPartitions("root", "drawn").select("root", "shingles").mapInArrow(run, "root long, centre int, shingles binary, apart array<double>")
+    return some.repartition("root").sortWithinPartitions("root", "drawn").select("root", "shingles").mapInArrow(lean(run), "root long, centre int, shingles binary, apart array<double>")
 
 
 def placed_about(big: DataFrame, stats: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
@@ -343,7 +344,7 @@ def placed_about(big: DataFrame, stats: DataFrame, found: DataFrame, threshold:
     own = big.join(small(stats), "root").select("root", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int").alias("part"), "node", "copies", "shingles", F.lit(0).alias("centre"))
     guests = found.join(small(stats), "root").select("root", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("copies"), "shingles", "centre")
     dealt = own.unionByName(guests).repartition("root", "part").sortWithinPartitions("root", "part", F.col("node").isNotNull(), "centre")
-    return dealt.select("root", "part", "node", "copies", "shingles").mapInArrow(run, "root long, node long, copies long, shingles binary, klass int, size double, d double, spare double")
+    return dealt.select("root", "part", "node", "copies", "shingles").mapInArrow(lean(run), "root long, node long, copies long, shingles binary, klass int, size double, d double, spare double")
 
 
 PLAN = "root long, klass int, first int, blocks int, meets array<int>, sure long, itself boolean, head long"
@@ -415,7 +416,7 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
             own = [shingle_hashes(words.of(t or ""), n) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "shingles"])
 
-    return picked.mapInArrow(run, "node long, shingles binary")
+    return picked.mapInArrow(lean(run), "node long, shingles binary")
 
 
 def near_classes(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float = 0.9999) -> DataFrame:

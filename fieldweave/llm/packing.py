@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldweave.llm.lean import lean
+
 #: Words whose ids a Python worker remembers; beyond, those that have not come up again are forgotten.
 REMEMBERED = 1_000_000
 
@@ -129,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, *, limit: int = 2048, end_id: int = 1,
             arrays = [batch.column(0).take(pa.array(where, pa.int64()))] + [pa.array(r, pa.list_(pa.int32()) if k == 4 else pa.int64()) for k, r in enumerate(rows[1:])]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    pieces = docs.mapInArrow(cut, schema)
+    pieces = docs.mapInArrow(lean(cut), schema)
     return pieces.select(
         "*",
         F.round(F.log2("length")).cast("int").alias("bucket"),

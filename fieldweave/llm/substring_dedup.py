@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from fieldweave.llm.bwt import repeated_starts
 from fieldweave.llm.jaccard_join import by_group
+from fieldweave.llm.lean import lean
 from fieldweave.llm.shingles import mixed
 from fieldweave.llm.split import free
 from fieldweave.shared import settle, small
@@ -146,7 +147,7 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
             if waiting:
                 yield found(waiting)
 
-    return docs.mapInArrow(run, OCCURRENCE)
+    return docs.mapInArrow(lean(run), OCCURRENCE)
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -174,7 +175,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in fetched], schema=fetched)
 
     fetched = pa.schema([("key", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("lead", pa.int32()), ("anchor", pa.int64()), ("once", pa.bool_()), ("crowd", pa.bool_()), ("bytes", pa.binary())])
-    return texts.mapInArrow(run, STRINGS)
+    return texts.mapInArrow(lean(run), STRINGS)
 
 
 def shareable(strings: list[bytes], leads: list[int], least: int) -> list[tuple[int, int]]:
@@ -232,7 +233,7 @@ def _shared_parts(stretches_: DataFrame, least: int) -> DataFrame:
             yield spans(waiting)
 
     dealt = stretches_.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "key", "at", "once", "lead", "bytes").mapInArrow(run, SPANS)
+    return dealt.select("anchor", "key", "at", "once", "lead", "bytes").mapInArrow(lean(run), SPANS)
 
 
 def _split(crowded: DataFrame, least: int, places: int) -> DataFrame:
@@ -253,7 +254,7 @@ def _split(crowded: DataFrame, least: int, places: int) -> DataFrame:
                     out.append((key, at + first, end - first, common - first, signed(view[common : common + least - places + 1]), signed(view[first : end - 1 + least])))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
 
-    return crowded.mapInArrow(run, OCCURRENCE)
+    return crowded.mapInArrow(lean(run), OCCURRENCE)
 
 
 def _covered(every: DataFrame, docs: DataFrame, least: int, places: tuple[int, ...] = PLACES) -> DataFrame:
@@ -344,4 +345,4 @@ def dedup_substrings(docs: DataFrame, least: int = 400, *, as_text: bool = False
                 left.append(b"".join(raw[i:j] for i, j in zip(ends, [*(r["low"] for r in runs), len(raw)], strict=True)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k.decode("utf-8", "ignore") for k in left], pa.string()) if as_text else pa.array(left, pa.binary())], names=[*columns, removed, kept])
 
-    return untouched.unionByName(touched.mapInArrow(run, schema))
+    return untouched.unionByName(touched.mapInArrow(lean(run), schema))

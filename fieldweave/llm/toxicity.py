@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.llm.lean import lean
 from fieldweave.shared import settle, small
 
 #: Hashed features; most labelled rows that the classifier is fitted on.
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, rows: int = TRAINI
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([own.of(t) for t in tokens], ints), pa.array([None if o is None else own.of(o) for o in other], ints)], names=["doc_id", "toxic", "cells", "other"])
 
-    told = sample.mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, cells array<int>, other array<int>")
+    told = sample.mapInArrow(lean(features), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, cells array<int>, other array<int>")
     told = settle(told.dropDuplicates(["doc_id"]))
     met = told.select("toxic", F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).toPandas()  # BUCKETS rows at most
     total, toxic = told.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, rows: int = TRAINI
             lists = [pa.array([only(c) for c in batch.column(k).to_pylist()], pa.list_(pa.int32())) for k in (2, 3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "cells", "other"])
 
-    table = told.mapInArrow(kept, told.schema).toPandas().sort_values("doc_id", kind="stable")
+    table = told.mapInArrow(lean(kept), told.schema).toPandas().sort_values("doc_id", kind="stable")
     as_array = lambda x: None if x is None else np.asarray(x, dtype=np.int32)
     return train([as_array(c) for c in table["cells"]], table["toxic"].to_numpy(dtype=np.float64), [as_array(o) for o in table["other"]])
 
@@ -214,4 +215,4 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
             scores = [whole.score(own.of((t or "").split())) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
