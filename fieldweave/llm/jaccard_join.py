@@ -199,8 +199,19 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _open_pairs(at: np.ndarray, open_: list[bytes]) -> np.ndarray:
+    """From the number of each row's klass and the bits of the klasses that it has to meet: which rows meet which."""
+    kinds, first, own = np.unique(at, return_index=True, return_inverse=True)
+    bits = np.stack([np.unpackbits(np.frombuffer(open_[k].ljust(int(kinds[-1]) // 8 + 1, b"\0"), dtype=np.uint8))[kinds] for k in first]).astype(bool)
+    return bits[own][:, own]
+
+
 def links(groups: DataFrame, threshold: float) -> DataFrame:
-    """kind 0: node, other = least node linked with it here; kind 1: node, n = documents linked with it here."""
+    """kind 0: node, other = least node linked with it here; kind 1: node, n = documents linked with it here.
+
+    groups: root, b1, b2, own, node, copies, shingles, at (the number of its klass) and open (bits of
+    those that it has to meet; pairs of others are told of elsewhere).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_group(batches, 3):
@@ -217,6 +228,7 @@ def links(groups: DataFrame, threshold: float) -> DataFrame:
             a = [sets[i] for i in left]
             both = overlaps(a, a if b1 == b2 else [sets[i] for i in right]).astype(np.float64)
             near = both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9
+            near &= _open_pairs(table.column("at").to_numpy()[at], table.column("open").take(pa.array(at)).to_pylist())[np.ix_(left, right)]
             if b1 == b2:
                 np.fill_diagonal(near, False)
             linked = np.zeros((len(node), len(node)), dtype=bool)
@@ -230,7 +242,7 @@ def links(groups: DataFrame, threshold: float) -> DataFrame:
             )
 
     dealt = groups.repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2")
-    return dealt.select("root", "b1", "b2", "own", "node", "copies", "shingles").mapInArrow(lean(run), "node long, other long, n long")
+    return dealt.select("root", "b1", "b2", "own", "node", "copies", "shingles", "at", "open").mapInArrow(lean(run), "node long, other long, n long")
 
 
 def joined_in_buckets(members: DataFrame, rows: DataFrame, values: int, threshold: float) -> DataFrame:
@@ -347,11 +359,15 @@ def placed_about(big: DataFrame, stats: DataFrame, found: DataFrame, threshold:
     return dealt.select("root", "part", "node", "copies", "shingles").mapInArrow(lean(run), "root long, node long, copies long, shingles binary, klass int, size double, d double, spare double")
 
 
-PLAN = "root long, klass int, first int, blocks int, meets array<int>, sure long, itself boolean, head long"
+PLAN = "root long, klass int, at int, start long, n long, meets array<int>, open binary, sure long, itself boolean, head long"
 
 
 def plan_of(threshold: float):
-    """For the klasses of a root: which are linked as they stand, and the blocks that others have to meet."""
+    """For the klasses of a root: which are linked as they stand, which others have to meet, and in which blocks.
+
+    The members stand in the order of their klasses and are cut to blocks of ``GROUP_BLOCK``, so small
+    klasses share a block, and a member is copied at most as often as the root has blocks.
+    """
     share = (1 - threshold) / (1 + threshold)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -359,8 +375,8 @@ def plan_of(threshold: float):
         klass, n, copies, low = (rows[c].to_numpy() for c in ("klass", "n", "copies", "low"))
         spare, d_low, d_high, s_low, s_high = (rows[c].to_numpy(dtype=np.float64) for c in ("spare", "d_low", "d_high", "s_low", "s_high"))
         centre = np.where(klass < 0, -1, klass // SHELLS)
-        blocks = -(-n // GROUP_BLOCK)
-        first = np.cumsum(blocks) - blocks
+        start = np.cumsum(n) - n
+        first, last = start // GROUP_BLOCK, (start + n - 1) // GROUP_BLOCK
         same = (centre[:, None] == centre[None, :]) & (centre >= 0)[:, None]
         sure = same & (spare[:, None] + spare[None, :] >= 0)
         reach = share * (s_high[:, None] + s_high[None, :]) + 1e-6
@@ -370,22 +386,31 @@ def plan_of(threshold: float):
             for j in range(len(rows)):
                 if centre[i] >= 0 and centre[j] >= 0 and centre[i] != centre[j]:
                     far[i, j] |= rows["apart"][i][centre[j]] - d_high[i] - d_high[j] > reach[i, j]
-        meets = [[b for j in np.flatnonzero(~sure[i] & ~far[i]) for b in range(first[j], first[j] + blocks[j])] for i in range(len(rows))]
+        must = ~sure & ~far
+        meets = [sorted({b for j in np.flatnonzero(must[i]) for b in range(first[j], last[j] + 1)}) for i in range(len(rows))]
         total = (sure * copies[None, :]).sum(axis=1)
         head = [int(low[sure[i]].min()) if sure[i].any() else None for i in range(len(rows))]
-        return pd.DataFrame({"root": rows["root"], "klass": klass, "first": first, "blocks": blocks, "meets": meets, "sure": total, "itself": np.diagonal(sure), "head": pd.array(head, dtype="Int64")})
+        return pd.DataFrame({"root": rows["root"], "klass": klass, "at": np.arange(len(rows)), "start": start, "n": n, "meets": meets, "open": [np.packbits(m).tobytes() for m in must], "sure": total, "itself": np.diagonal(sure), "head": pd.array(head, dtype="Int64")})
 
     return run
 
 
+def in_group_blocks(placed: DataFrame, plan: DataFrame) -> DataFrame:
+    """Copies each row to the pairs of blocks in which it meets others: columns b1 <= b2, own, at, open."""
+    u = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    met = placed.join(small(plan.filter(F.size("meets") > 0).select("root", "klass", "at", "start", "n", "meets", "open")), ["root", "klass"])
+    met = met.withColumn("own", F.floor((F.col("start") + F.floor(u * F.col("n"))) / F.lit(GROUP_BLOCK)).cast("int")).withColumn("other", F.explode("meets"))
+    return met.select("root", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "copies", "shingles", "at", "open")
+
+
 def verified_links(known: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """node, other, n as ``links`` gives them, for the groups of ``known`` (node, root, key, copies)."""
     sets = shingle_sets(docs, known.select("key"), n).dropDuplicates(["node"])
     sizes = settle(known.groupBy("root").agg(F.count("*").alias("members")))
     large = sizes.filter(F.col("members") > GROUP_BLOCK)
-    whole = [F.lit(0).alias(c) for c in ("b1", "b2", "own")]
+    whole = [*[F.lit(0).alias(c) for c in ("b1", "b2", "own")], "node", "copies", "shingles", F.lit(0).alias("at"), F.lit(b"\x80").alias("open")]
     if large.isEmpty():
-        return links(sets.join(known.drop("key"), "node").select("root", *whole, "node", "copies", "shingles"), threshold)
+        return links(sets.join(known.drop("key"), "node").select("root", *whole), threshold)
     large = small(settle(large))
     every = settle(sets.join(known.drop("key"), "node").join(large, "root", "left"))
     big = every.filter(F.col("members").isNotNull()).drop("members")
@@ -397,9 +422,8 @@ def verified_links(known: DataFrame, docs: DataFrame, n: int, threshold: float)
     )
     klasses = klasses.join(found.select("root", (F.col("centre") * SHELLS).alias("at"), "apart"), (klasses["root"] == found["root"]) & (F.floor(F.col("klass") / SHELLS) * SHELLS == F.col("at")), "left").select(klasses["*"], "apart")
     plan = settle(klasses.groupBy("root").applyInPandas(plan_of(threshold), PLAN))
-    meeting = in_blocks(placed.select("root", "klass", "node", "copies", "shingles"), plan.filter(F.size("meets") > 0).select("root", "klass", "first", "blocks", "meets"), ["root"])
-    columns = ["root", "b1", "b2", "own", "node", "copies", "shingles"]
-    met = links(every.filter(F.col("members").isNull()).select("root", *whole, "node", "copies", "shingles").unionByName(meeting.select(*columns)), threshold)
+    meeting = in_group_blocks(placed.select("root", "klass", "node", "copies", "shingles"), plan)
+    met = links(every.filter(F.col("members").isNull()).select("root", *whole).unionByName(meeting), threshold)
     told = placed.select("root", "klass", "node", "copies").join(small(settle(plan.filter(F.col("head").isNotNull()).select("root", "klass", "sure", "itself", "head"))), ["root", "klass"])
     edges = told.filter(F.col("head") != F.col("node")).select("node", F.col("head").alias("other"), F.lit(0).cast("long").alias("n"))
     sure = told.select("node", F.lit(0).cast("long").alias("other"), (F.col("sure") - F.when(F.col("itself"), F.col("copies")).otherwise(F.lit(0))).alias("n"))

@@ -1,4 +1,5 @@
 import random
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -84,20 +85,47 @@ def test_pairs_of_near_copies_are_not_made(spark):
         own[rng.randrange(300)] = "x%d" % k
         rows.append((k, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    copied, real = [], jaccard_join.in_blocks
+    with copies_counted() as copied:
+        got = near_classes(df).collect()
+    assert {r.n_links for r in got} == {2999} and {r.class_id for r in got} == {0}
+    assert sum(copied["in_blocks"]) + sum(copied["in_group_blocks"]) < 3000
+
+
+@contextmanager
+def copies_counted():
+    """How many rows are copied to pairs of blocks, in buckets and in groups."""
+    copied, real = {"in_blocks": [], "in_group_blocks": []}, {}
+
+    def counted(name):
+        def run(*args):
+            out = real[name](*args)
+            copied[name].append(out.count())
+            return out
 
-    def counted(*args):
-        out = real(*args)
-        copied.append(out.count())
-        return out
+        return run
 
-    jaccard_join.in_blocks = counted
+    for name in copied:
+        real[name] = getattr(jaccard_join, name)
+        setattr(jaccard_join, name, counted(name))
     try:
-        got = near_classes(df).collect()
+        yield copied
     finally:
-        jaccard_join.in_blocks = real
-    assert {r.n_links for r in got} == {2999} and {r.class_id for r in got} == {0}
-    assert sum(copied) < 3000
+        for name, own in real.items():
+            setattr(jaccard_join, name, own)
+
+
+@pytest.mark.parametrize("length", [1500, 3000])
+def test_chains_are_copied_no_more_than_by_plain_blocks(spark, length):
+    # each text is like those near it in the chain only
+    words = ["w%d" % k for k in range(length * 4 + 200)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 200])) for k in range(length)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with copies_counted() as copied:
+        got = {r.doc_id: r for r in near_classes(df).collect()}
+    # 196 shingles each; j texts further 196 - 4 j are common: 0.8 is reached up to j = 5
+    assert all(got[k].class_id == 0 and got[k].n_links == min(k, 5) + min(length - 1 - k, 5) for k in range(length))
+    blocks = -(-length // jaccard_join.GROUP_BLOCK)
+    assert sum(copied["in_group_blocks"]) <= length * blocks
 
 
 def test_centres_and_distances():
