@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions import text
 from fieldweave.operators.components import components
-from fieldweave.shared import numbered, settle
+from fieldweave.shared import numbered, settle, small
 
 SPLITS = ("train", "validation", "test")
 
@@ -84,6 +85,111 @@ def place_large(parts: list[tuple[int, ...]], totals: Sequence[int], ratios: Seq
     return placed, need
 
 
+#: Kinds of components (rows of each label, split) that the improving pass looks at: those of most components; its most steps.
+KINDS, STEPS, PARTNERS = 20_000, 500, 60
+
+
+def improving_moves(kinds: np.ndarray, count: np.ndarray, ratios: Sequence[float]) -> list[tuple[int, int, int, int]]:
+    """Moves (kind, from split, to split, how many components) that bring splits nearer to their shares.
+
+    kinds: a row for each kind, its rows of each label; count: how many components of it each split
+    has. What counts are the squared deviations of the splits' shares of all rows, and those of their
+    shares of each label's rows, summed over the splits: no step raises any of them. Each step takes the best move of several
+    components of one kind, else the best swap of two components, while their sum falls; no split
+    gives its last component.
+    """
+    each = np.concatenate((kinds, kinds.sum(axis=1, keepdims=True)), axis=1).astype(np.float64)
+    count, ratios = count.astype(np.int64).copy(), np.asarray(ratios, dtype=np.float64)
+    held = count.T @ each
+    weight = 1 / np.maximum(held.sum(axis=0), 1) ** 2
+    weights = np.diag(weight)  # a column for each label, one for all rows
+    off = held - ratios[:, None] * held.sum(axis=0)[None, :]
+    active = [s for s in range(len(ratios)) if ratios[s] > 0]
+    pairs = [(a, b) for a in active for b in active if a != b]
+    cost = (each * each) @ weights
+    moves: dict[tuple[int, int, int], int] = {}
+
+    def move(kind: int, a: int, b: int, n: int) -> None:
+        moves[kind, a, b] = moves.get((kind, a, b), 0) + n
+        count[kind, a] -= n
+        count[kind, b] += n
+        off[a] -= n * each[kind]
+        off[b] += n * each[kind]
+
+    for _ in range(STEPS if len(each) else 0):
+        best: tuple[float, list[tuple[int, int, int, int]]] = (1e-10, [])
+        for a, b in pairs:
+            # n components less here, more there: the sums fall by 2 n (pull - n cost)
+            pull = each @ (weights * (off[a] - off[b])[:, None])
+            most = np.minimum(count[:, a], count[:, a].sum() - 1)
+            allowed = np.floor((pull / np.maximum(cost, 1e-300)).min(axis=1, where=cost > 0, initial=np.inf) + 1e-9)
+            n = np.minimum(np.maximum(np.floor(pull.sum(axis=1) / np.maximum(2 * cost.sum(axis=1), 1e-300)), 1), np.maximum(most, 1))
+            n = np.where(n > allowed, allowed, n)
+            gain = np.where((most > 0) & (n >= 1), 2 * n * (pull.sum(axis=1) - n * cost.sum(axis=1)), -np.inf)
+            k = int(gain.argmax())
+            if gain[k] > best[0]:
+                best = float(gain[k]), [(k, a, b, int(n[k]))]
+        if not best[1]:
+            for a, b in pairs:
+                if a > b:
+                    continue
+                pull = (each @ (weights * (off[a] - off[b])[:, None])).sum(axis=1)
+                give, take = (np.flatnonzero(count[:, s] > 0) for s in (a, b))
+                give, take = give[np.argsort(-pull[give], kind="stable")], take[np.argsort(pull[take], kind="stable")]
+                give, take = (np.unique(np.concatenate((x[: PARTNERS // 2], x[-PARTNERS // 2 :]))) for x in (give, take))
+                v = each[give][:, None, :] - each[take][None, :, :]
+                gains = 2 * (v @ (weights * (off[a] - off[b])[:, None]) - (v * v) @ weights)
+                gain = np.where((gains >= -1e-15).all(axis=2), gains.sum(axis=2), -np.inf)
+                if gain.size and gain.max() > best[0]:
+                    i, j = np.unravel_index(int(gain.argmax()), gain.shape)
+                    best = float(gain.max()), [(int(give[i]), a, b, 1), (int(take[j]), b, a, 1)]
+        if not best[1]:
+            break
+        for step in best[1]:
+            move(*step)
+    # a component that went there and back, or on, is one move
+    for (kind, a, b), n in list(moves.items()):
+        back = min(n, moves.get((kind, b, a), 0)) if a < b else 0
+        if back:
+            moves[kind, a, b] -= back
+            moves[kind, b, a] -= back
+    return [(*key, n) for key, n in sorted(moves.items()) if n]
+
+
+def improved(placed: DataFrame, ratios: Sequence[float], seed: int) -> DataFrame:
+    """``placed`` (component_id, split, rows of each label, __tie) with splits after the improving pass.
+
+    Kinds and their counts come to the driver, ``KINDS`` at most; which components of a kind move is
+    told by their hash, in the tasks.
+    """
+    spark, labels = placed.sparkSession, list(text.LABELS)
+    kinds = placed.groupBy(*labels).agg(*[F.count_if(F.col("split") == s).alias(s) for s in SPLITS], F.count("*").alias("n"))
+    rows = sorted(tuple(r) for r in kinds.orderBy(F.col("n").desc(), *labels).limit(KINDS).drop("n").collect())
+    table = np.array(rows, dtype=np.int64).reshape(len(rows), len(labels) + len(SPLITS))
+    moves = improving_moves(table[:, : len(labels)], table[:, len(labels) :], ratios)
+    if not moves:
+        return placed
+    # a kind may give to several splits: its components, by hash, in that order
+    plan: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for kind, a, b, n in moves:
+        plan.setdefault((kind, a), []).append((b, n))
+    told = []
+    for (kind, a), gifts in plan.items():
+        low = 0
+        for b, n in gifts:
+            told.append((*map(int, table[kind, : len(labels)]), SPLITS[a], SPLITS[b], low, low + n))
+            low += n
+    schema = ", ".join(f"`{x}` long" for x in labels) + ", split string, goes string, low long, high long"
+    gives = F.broadcast(spark.createDataFrame(told, schema))
+    order = Window.partitionBy(*labels, "split").orderBy(F.xxhash64(F.lit(seed), F.lit("move"), "__tie"), "component_id")
+    most = max(x[-1] for x in told)
+    ranked = placed.join(F.broadcast(spark.createDataFrame(sorted({x[: len(labels) + 1] for x in told}), ", ".join(schema.split(", ")[: len(labels) + 1]))), [*labels, "split"])
+    ranked = ranked.withColumn("__n", F.row_number().over(order) - 1).filter(F.col("__n") < most)
+    moved = ranked.join(gives, [*labels, "split"]).filter((F.col("__n") >= F.col("low")) & (F.col("__n") < F.col("high"))).select("component_id", "goes")
+    moved = small(settle(moved))
+    return placed.join(moved, "component_id", "left").withColumn("split", F.coalesce("goes", "split")).drop("goes")
+
+
 def split_rows(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """``rows`` (with component_id) with split: train, validation or test, whole components each.
 
@@ -91,8 +197,10 @@ def split_rows(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), see
     one by one, largest first (ties by a seeded hash); there are a thousand and three at most. All
     others are ordered by their labels and size, then by the hash, and dealt in that order by a
     sequence that fills any stretch evenly (multiples of the golden ratio), in the shares that the
-    large ones have left; so components of one kind reach each split in its share. Each split of a
-    positive ratio gets a component if there are as many. The same seed gives the same splits.
+    large ones have left; so components of one kind reach each split in its share. Then an improving
+    pass moves and swaps components while splits come nearer to their shares of all rows and of each
+    label. Each split of a positive ratio gets a component if there are as many. The same seed gives
+    the same splits.
     """
     spark = rows.sparkSession
     counts = [F.count_if(F.col("label") == x).alias(x) for x in text.LABELS]
@@ -110,7 +218,9 @@ def split_rows(rows: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15), see
     at = F.pmod(F.col("__place") * F.lit(golden), F.lit(1.0))
     cuts = [sum(left[: i + 1]) / sum(left) if sum(left) else sum(ratios[: i + 1]) for i in range(len(SPLITS) - 1)]
     split = F.when(at < cuts[0], SPLITS[0]).when(at < cuts[1], SPLITS[1]).otherwise(SPLITS[2])
-    return rows.join(chosen.unionByName(dealt.select("component_id", split.alias("split"))), "component_id")
+    kept = ["component_id", *text.LABELS, "__tie"]
+    first = settle(table.join(F.broadcast(chosen), "component_id").select(*kept, "split").unionByName(dealt.select(*kept, split.alias("split"))))
+    return rows.join(small(settle(improved(first, ratios, seed).select("component_id", "split"))), "component_id")
 
 
 def shared_values(values: DataFrame, most: int = 20) -> DataFrame:

@@ -122,6 +122,15 @@ def q09b_split_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(cut).join(shared)
 
 
+def q09c_split_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """split, label, its rows there, and how far their share of the label's rows is from the split's ratio."""
+    found = settle(grouping.split_rows(grouping.with_components(_clean(spark, sf_dir))))
+    cells = found.groupBy("split", "label").agg(F.count("*").alias("rows"))
+    total = found.groupBy("label").agg(F.count("*").alias("of"))
+    ratio = F.when(F.col("split") == "train", 0.7).otherwise(0.15)
+    return cells.join(total, "label").select("split", "label", "rows", F.round(F.col("rows") / F.col("of") - ratio, 6).alias("off"))
+
+
 def q10_hard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.hard_cases(_clean(spark, sf_dir))
 

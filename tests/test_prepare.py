@@ -4,10 +4,12 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from fieldweave.functions.text import LABELS
-from fieldweave.operators.grouping import split_rows
+from fieldweave.operators import grouping
+from fieldweave.operators.grouping import improving_moves, split_rows
 from fieldweave.plans.prepare import FILES, check_parameters, prepare
 from fieldweave.sources.pairs import read_csv
 
@@ -154,3 +156,44 @@ def test_very_many_components_follow_the_same_rule(spark):
 
 def test_no_rows_no_splits(spark):
     assert splits_of(spark, []) == {}
+
+
+def deviation(components, got, ratios, kinds=range(4)):
+    """What the improving pass lessens: squared deviations of labels (0 to 2) and of all rows (3), as shares."""
+    out = 0.0
+    for k in kinds:
+        rows = {c: sum(n) if k == 3 else n[k] for c, *n in components}
+        for split, ratio in zip(("train", "validation", "test"), ratios, strict=True):
+            out += (sum(n for c, n in rows.items() if got[c] == split) / max(1, sum(rows.values())) - ratio) ** 2
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("kind", ["even", "skewed", "large"])
+def test_the_improving_pass_lessens_deviations(spark, monkeypatch, seed, kind):
+    rng = random.Random(seed)
+    if kind == "even":
+        parts = [(k, 2, 1, 1) for k in range(40)]
+    elif kind == "skewed":  # rare labels, together in few components
+        parts = [(k, rng.randrange(1, 6), rng.randrange(40) if rng.random() < 0.1 else 0, rng.randrange(90) if rng.random() < 0.05 else 0) for k in range(120)]
+    else:
+        parts = [(k, *(rng.randrange(0, 200) for _ in LABELS)) for k in range(12)] + [(k, 1, 0, 0) for k in range(12, 40)]
+    ratios = (0.7, 0.15, 0.15)
+    after = splits_of(spark, parts, ratios, seed)
+    monkeypatch.setattr(grouping, "improving_moves", lambda *a: [])
+    before = splits_of(spark, parts, ratios, seed)
+    for kinds in ((0,), (1,), (2,), (3,)):
+        assert deviation(parts, after, ratios, kinds) <= deviation(parts, before, ratios, kinds) + 1e-9
+    assert kind != "skewed" or deviation(parts, after, ratios) < deviation(parts, before, ratios)
+
+
+def test_moves_keep_every_component_and_split():
+    rng = np.random.default_rng(1)
+    kinds, count = rng.integers(0, 9, (30, 3)), rng.integers(0, 4, (30, 3))
+    after = count.copy()
+    for kind, a, b, n in improving_moves(kinds, count, (0.5, 0.3, 0.2)):
+        after[kind, a] -= n
+        after[kind, b] += n
+    assert (after >= 0).all() and (after.sum(axis=1) == count.sum(axis=1)).all() and (after.sum(axis=0) > 0).all()
+    assert improving_moves(np.array([[1, 0, 0]]), np.array([[1, 1, 1]]), (1, 0, 0)) == []
+    assert improving_moves(np.zeros((0, 3)), np.zeros((0, 3)), (0.7, 0.15, 0.15)) == []
