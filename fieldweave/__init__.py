@@ -8,6 +8,7 @@ _PLACES = {
     "MatcherConfig": "config", "ModelBundle": "operators.model", "prepare": "plans.prepare", "validate": "plans.train", "train": "plans.train", "evaluate": "plans.evaluate",
     "predict_pair": "plans.predict", "predict_pairs_csv": "plans.predict", "match_groups_csv": "plans.predict", "predict_pairs": "operators.matching", "match_groups": "operators.matching",
     "cosine_top_k": "operators.retrieval", "components": "operators.components", "synthetic_negatives": "operators.negatives", "with_normalized": "functions.text",
+    "CharVocabulary": "operators.vocabulary", "CharacterVocabulary": "operators.vocabulary", "Vocabulary": "operators.vocabulary", "SiameseFieldMatcher": "operators.model", "SiameseModel": "operators.model",
 }
 __all__ = sorted(_PLACES)
 

@@ -205,9 +205,15 @@ class ModelBundle:
             return cls(MatcherConfig.load(folder / "config.json"), tokens, {k: f[k] for k in f.files}, labels)
 
 
+#: Other names that callers know it by.
+SiameseFieldMatcher = SiameseModel = ModelBundle
+
+
 def label_map(raw: dict) -> dict[str, int]:
     """Names to numbers, from either direction; the numbers must be those that models are made with."""
     numbers = {str(k): int(v) for k, v in raw.items()} if not all(str(k).isdigit() for k in raw) else {str(v): int(k) for k, v in raw.items()}
+    if sorted(numbers.values()) != list(range(len(raw))):
+        raise ValueError("the label map must count from 0, without a gap or a repeated number")
     if numbers != LABEL_NUMBERS:
         raise ValueError("the label map is not the known one")
     return numbers
@@ -479,7 +485,15 @@ def train_on(train: DataFrame, validation: DataFrame, tokens: list[str], config:
             yield pa.RecordBatch.from_arrays([pa.array(list(blobs)), pa.array([x[0] for x in blobs.values()], pa.list_(pa.int32())), pa.array([x[1] for x in blobs.values()], pa.binary())], names=["name", "shape", "blob"])
 
     both = train.select(*columns, F.lit(False).alias("validation")).unionByName(validation.select(*columns, F.lit(True).alias("validation")))
-    tasks = tasks or training_tasks(config, len(tokens), both.count(), both.sparkSession.sparkContext.defaultParallelism)
+    wrong = F.coalesce(~F.col("weight").between(0, 1) | (F.col("weight") <= 0) | F.isnan("weight"), F.lit(True)).alias("weights outside of 0 to 1")
+    label = F.coalesce(~F.col("label").isin(list(LABEL_NUMBERS.values())), F.lit(True)).alias("labels that the map lacks")
+    length = F.coalesce((F.size("a") != config.max_length) | (F.size("b") != config.max_length), F.lit(True)).alias("names of another length")
+    checked = both.select(wrong, label, length)
+    found = checked.agg(F.count("*").alias("pairs"), *[F.count_if(f"`{c}`").alias(c) for c in checked.columns]).first().asDict()
+    pairs = found.pop("pairs")
+    if any(found.values()):
+        raise ValueError("pairs have " + ", ".join(f"{k} ({n})" for k, n in found.items() if n))
+    tasks = tasks or training_tasks(config, len(tokens), pairs, both.sparkSession.sparkContext.defaultParallelism)
     rows = both.repartition(tasks, F.xxhash64("number")).mapInArrow(run, "name string, shape array<int>, blob binary", barrier=True).collect()
     found = {r["name"]: (r["shape"], bytes(r["blob"])) for r in rows}
     history = json.loads(found.pop("")[1])

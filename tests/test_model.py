@@ -213,6 +213,34 @@ def test_dropped_units_and_the_number_of_tasks():
         model.training_tasks(MatcherConfig(), 100, 10**9, 64)
 
 
+def test_pairs_of_wrong_weights_labels_and_lengths(spark):
+    good = training_frame(spark, 4, 1)
+    for change, why in (("weight", "weights"), ("label", "labels"), ("a", "length")):
+        from pyspark.sql import functions as F
+
+        bad = good.withColumn(change, {"weight": F.lit(1.5), "label": F.lit(3), "a": F.array(F.lit(1))}[change])
+        with pytest.raises(ValueError, match=why):
+            model.train_on(bad, good, TOKENS, SMALL, 1)
+    with pytest.raises(ValueError, match="gap"):
+        model.label_map({"NO_MATCH": 0, "DIRECT": 1, "DERIVATION": 3})
+
+
+def test_a_vocabulary_as_an_object(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fieldweave import CharVocabulary, Vocabulary
+
+    v = Vocabulary.build(spark.createDataFrame([("ab",), ("b",)], "n string"), "n")
+    assert v.itos == ("<PAD>", "<UNK>", "a", "b") and v.stoi["b"] == 3 and len(v) == 4 and Vocabulary is CharVocabulary
+    v.save(tmp_path / "v.json")
+    assert Vocabulary.load(tmp_path / "v.json").token_to_id == v.token_to_id
+    r = spark.createDataFrame([("abz",)], "n string").select(v.encode(F.col("n"), 4).alias("ids")).select("ids", v.decode(F.col("ids")).alias("back")).first()
+    assert (r.ids, r.back) == ([2, 3, 1, 0], "ab<UNK>")
+    for bad in (["a", "b"], ["<PAD>", "<UNK>", "a", "a"], ["<PAD>", "<UNK>", "ab"]):
+        with pytest.raises(ValueError):
+            Vocabulary(bad)
+
+
 def test_public_names():
     import fieldweave
 
