@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.functions import text
+from fieldweave.shared import settle
 
 
 def classify_rows(raw: DataFrame) -> DataFrame:
@@ -96,6 +97,10 @@ def row_counts(classified: DataFrame) -> DataFrame:
     return classified.agg(F.count("*").alias("total_rows"), *missing, F.count_if(some).alias("rows_with_missing_values"), F.count_if(F.size("reasons") > 0).alias("rejected_rows"), *labels)
 
 
+#: Invalid labels that a report lists, the most frequent ones; the others are counted together.
+REPORTED_LABELS = 1000
+
+
 def quality_report(classified: DataFrame, valid: DataFrame, conflicts: DataFrame, clean: DataFrame) -> dict:
     """The audit as a small document; each figure is an aggregate. Rows are accounted for: a
     difference raises ValueError."""
@@ -103,12 +108,15 @@ def quality_report(classified: DataFrame, valid: DataFrame, conflicts: DataFrame
     duplicates = duplicate_counts(valid).first().asDict()
     n_valid, n_conflicts, n_clean = valid.count(), conflicts.count(), clean.count()
     removed = n_valid - n_conflicts - n_clean
+    invalid = settle(invalid_label_counts(classified))
+    told = invalid.orderBy(F.col("count").desc(), "label").limit(REPORTED_LABELS).collect()
+    others = invalid.agg(F.count("*").alias("labels"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
     report = {
         "total_rows": totals["total_rows"],
         "original_label_counts": {x: totals[f"original_{x}"] for x in text.LABELS},
         "missing": {c: totals[f"missing_{c}"] for c in ("A", "B", "label")},
         "rows_with_missing_values": totals["rows_with_missing_values"],
-        "invalid_label_counts": {r["label"]: r["count"] for r in invalid_label_counts(classified).orderBy("label").collect()},
+        "invalid_label_counts": {r["label"]: r["count"] for r in sorted(told, key=lambda r: r["label"])},
         "rejected_rows": totals["rejected_rows"],
         "rejection_reasons": {r["reason"]: r["count"] for r in reason_counts(classified).orderBy("reason").collect()},
         "eligible_rows_before_conflicts_and_deduplication": n_valid,
@@ -120,6 +128,8 @@ def quality_report(classified: DataFrame, valid: DataFrame, conflicts: DataFrame
         "clean_rows": n_clean,
         "clean_label_distribution": {r["label"]: {"count": r["count"], "ratio": r["ratio"]} for r in label_distribution(clean).collect()},
     }
+    if others["labels"] > len(told):  # a garbage column may have as many labels as rows
+        report["other_invalid_labels"] = {"labels": others["labels"] - len(told), "rows": others["rows"] - sum(r["count"] for r in told)}
     if totals["total_rows"] != n_clean + n_conflicts + totals["rejected_rows"] + removed or removed < 0:
         raise ValueError("the rows do not add up")
     return report

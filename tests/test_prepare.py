@@ -197,3 +197,12 @@ def test_moves_keep_every_component_and_split():
     assert (after >= 0).all() and (after.sum(axis=1) == count.sum(axis=1)).all() and (after.sum(axis=0) > 0).all()
     assert improving_moves(np.array([[1, 0, 0]]), np.array([[1, 1, 1]]), (1, 0, 0)) == []
     assert improving_moves(np.zeros((0, 3)), np.zeros((0, 3)), (0.7, 0.15, 0.15)) == []
+
+
+def test_a_garbage_column_of_labels_is_counted(spark, tmp_path, monkeypatch):
+    from fieldweave.operators import quality
+
+    monkeypatch.setattr(quality, "REPORTED_LABELS", 2)
+    rows = chains(3) + [("a", "b", f"L{k % 7}") for k in range(16)]
+    q = prepare(spark, write(tmp_path / "in.csv", rows), str(tmp_path / "out"))["data_quality"]
+    assert q["invalid_label_counts"] == {"L0": 3, "L1": 3} and q["other_invalid_labels"] == {"labels": 5, "rows": 10}
