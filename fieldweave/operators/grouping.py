@@ -20,9 +20,11 @@ def with_components(clean: DataFrame) -> DataFrame:
     the order in which their first rows stand in the file."""
     clean = settle(clean)
     roots = components(clean.select(F.col("norm_a").alias("u"), F.col("norm_b").alias("v")))
-    rows = settle(clean.join(roots.withColumnRenamed("node", "norm_a"), "norm_a"))
+    # broadcast where few enough, so that rows of a giant component, or of a hub, do not meet in one task
+    rows = settle(clean.join(small(settle(roots.withColumnRenamed("node", "norm_a"))), "norm_a"))
     firsts = settle(rows.groupBy("root").agg(F.min("source_row").alias("first_row")))
-    return rows.join(numbered(firsts, ["first_row"], "component_id").select("root", "component_id"), "root").drop("root")
+    ids = settle(numbered(firsts, ["first_row"], "component_id").select("root", "component_id"))
+    return rows.join(small(ids), "root").drop("root")
 
 
 def component_table(rows: DataFrame) -> DataFrame:
