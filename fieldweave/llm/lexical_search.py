@@ -201,12 +201,17 @@ def part_of_score(tf: np.ndarray, n: np.ndarray, documents: int, terms: int) ->
     return 1_000_000_000 * tf.astype(np.int64) // (1000 * tf.astype(np.int64) + 20 * m)
 
 
-def _shard(shard: int, ids: pa.Array, keys: np.ndarray, texts: list[str], documents: int, terms: int, words: Words) -> dict:
+def place_type(docs: int) -> type:
+    """What holds a place in a shard of so many documents."""
+    return np.uint16 if docs <= 1 << 16 else np.uint32
+
+
+def _shard(shard: int, ids: pa.Array, keys: np.ndarray, texts: list[str], documents: int, terms: int, cluster: int, words: Words) -> dict:
     each = [np.unique(terms_of(t, words), return_counts=True) for t in texts]
     n = np.array([int(c.sum()) for _, c in each], dtype=np.int64)
     doc = np.repeat(np.arange(len(each)), [len(x) for x, _ in each])
     known, term = np.unique(np.concatenate([x for x, _ in each]), return_inverse=True)
-    order = order_of(doc, term, len(each), CLUSTER)
+    order = order_of(doc, term, len(each), cluster)
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
     part = part_of_score(np.concatenate([c for _, c in each]), n[doc], documents, terms)
@@ -215,14 +220,15 @@ def _shard(shard: int, ids: pa.Array, keys: np.ndarray, texts: list[str], docume
     df = np.bincount(term, minlength=len(known))
     # a run for each term and cluster: where it starts, its largest part
     new = np.ones(len(term), dtype=bool)
-    new[1:] = (term[1:] != term[:-1]) | (place[1:] // CLUSTER != place[:-1] // CLUSTER)
+    new[1:] = (term[1:] != term[:-1]) | (place[1:] // cluster != place[:-1] // cluster)
     starts = np.flatnonzero(new)
     tops = np.maximum.reduceat(part, starts)
     first = np.searchsorted(term[starts], np.arange(len(known)))
     to = lambda x, kind: x.astype(kind).tobytes()
+    narrow = place_type(len(each))
     return {
         "shard": shard, "docs": ids.take(pa.array(order)).to_pylist(), "keys": keys[order].tolist(), "terms": known.tobytes(), "df": to(df, np.uint32), "peak": to(np.maximum.reduceat(tops, first), np.uint32), "clusters": to(first, np.uint32),
-        "cluster": to(place[starts] // CLUSTER, np.uint32), "starts": to(starts, np.uint32), "tops": to(tops, np.uint32), "postings": to(place, np.uint32), "parts": to(part, np.uint32),
+        "cluster": to(place[starts] // cluster, narrow), "starts": to(starts, np.uint32), "tops": to(tops, np.uint32), "postings": to(place, narrow), "parts": to(part, np.uint32),
     }
 
 
@@ -236,7 +242,10 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("text")).filter(F.octet_length("text") > 0)
-    sample = rows.filter(F.octet_length("text") <= SAMPLE_TEXT).select(F.xxhash64("key").alias("h"), "text").orderBy("h", "text").limit(SAMPLE)
+    # rows far from the lowest hashes are left where they are; of the others the lowest are taken
+    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    few = rows.filter(drawn / F.lit(float(1 << 40)) <= 4 * SAMPLE / max(1, docs.count()))
+    sample = few.filter(F.octet_length("text") <= SAMPLE_TEXT).select(drawn.alias("h"), "text").orderBy("h", "text").limit(SAMPLE)
     tree = fit_tree(sample.select("text").toArrow().column("text").to_pylist())
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +263,12 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(leaf), pa.array(turn)], names=["doc_id", "key", "text", "n", "leaf", "turn"])
             yield out.filter(pa.array(n > 0))
 
-    placed = settle(rows.mapInArrow(descend, "doc_id long, key long, text string, n long, leaf long, turn long"))
+    # read and placed twice, so that no copy of all texts is written beside the one that is dealt to shards
+    placed = rows.mapInArrow(descend, "doc_id long, key long, text string, n long, leaf long, turn long")
     leaves = placed.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("n").alias("terms"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row a leaf
     documents, terms = sum(r["docs"] for r in leaves), sum(r["terms"] for r in leaves)
     parts = {r["leaf"]: max(-(-r["docs"] // SHARD_DOCS), -(-r["bytes"] // SHARD_BYTES)) for r in leaves}
-    first, plan = 0, []
+    first, plan, cluster = 0, [], CLUSTER
     for leaf in sorted(parts):
         plan.append((leaf, first, parts[leaf]))
         first += parts[leaf]
@@ -267,7 +277,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         words = Words()
         for group in by_group(batches, 1):
             group = group.combine_chunks()
-            made = _shard(group.column(0)[0].as_py(), group.column(1).chunk(0), group.column(2).to_numpy(), group.column(3).to_pylist(), documents, terms, words)
+            made = _shard(group.column(0)[0].as_py(), group.column(1).chunk(0), group.column(2).to_numpy(), group.column(3).to_pylist(), documents, terms, cluster, words)
             yield pa.RecordBatch.from_pylist([made], schema=schema)
 
     blob = lambda x: pa.field(x, pa.binary())
@@ -384,10 +394,11 @@ def _search_block(index: Index, texts: dict[int, str | None], k: int) -> DataFra
         for batch in batches:
             for row in range(batch.num_rows):
                 known = _blob(batch, "terms", row, np.uint64)
-                shard = {c: _blob(batch, c, row, np.uint32) for c in ("clusters", "cluster", "starts", "tops", "postings", "parts")}
+                docs, keys = batch.column("docs")[row].values, batch.column("keys")[row].values.to_numpy()
+                narrow = place_type(len(keys))
+                shard = {c: _blob(batch, c, row, narrow if c in ("cluster", "postings") else np.uint32) for c in ("clusters", "cluster", "starts", "tops", "postings", "parts")}
                 ends = np.append(shard["clusters"][1:], np.uint32(len(shard["starts"])))
                 shard["lengths"] = np.diff(np.append(shard["starts"], np.uint32(len(shard["postings"]))).astype(np.int64))
-                docs, keys = batch.column("docs")[row].values, batch.column("keys")[row].values.to_numpy()
                 missing, ids = docs.is_null().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy()
                 tie = np.empty(len(ids), dtype=np.int64)
                 tie[np.lexsort((keys, ids, missing))] = np.arange(len(ids))

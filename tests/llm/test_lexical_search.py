@@ -66,10 +66,11 @@ def test_ranks_equal_brute_force(spark, monkeypatch, small):
 
 def test_clusters_are_left_out_by_their_bound(spark, monkeypatch):
     monkeypatch.setattr(lexical_search, "CLUSTER", 8)
+    monkeypatch.setattr(lexical_search, "LEVELS", 0)  # one leaf, so one shard
     docs, _ = corpus(n=600)
     index = build_index(spark.createDataFrame(docs, "doc_id long, text string"))
     (row,) = index.shards.collect()
-    shard = {c: np.frombuffer(row[c], dtype=np.uint32) for c in ("clusters", "cluster", "starts", "tops", "postings", "parts")}
+    shard = {c: np.frombuffer(row[c], dtype=np.uint16 if c in ("cluster", "postings") else np.uint32) for c in ("clusters", "cluster", "starts", "tops", "postings", "parts")}
     ends = np.append(shard["clusters"][1:], len(shard["starts"]))
     shard["lengths"] = np.diff(np.append(shard["starts"], len(shard["postings"])).astype(np.int64))
     known = np.frombuffer(row["terms"], dtype=np.uint64)
