@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.llm.jaccard_join import by_group
+from fieldweave.llm.lean import lean
 from fieldweave.llm.shingles import Words
 from fieldweave.shared import numbered, settle, small
 
 #: Texts of the sample and the bytes that one may have (longer ones are indexed, not sampled), its terms, levels of its tree.
 SAMPLE, SAMPLE_TEXT, VOCABULARY, LEVELS = 4_096, 16 << 10, 65_536, 6
 #: Documents and bytes of text of a shard; documents of a cluster; rounds of exchange at each level.
-SHARD_DOCS, SHARD_BYTES, CLUSTER, ROUNDS = 4_096, 8 << 20, 64, 4
+SHARD_DOCS, SHARD_BYTES, CLUSTER, ROUNDS = 4_096, 4 << 20, 64, 4
 #: Queries that are held at once, and clusters that are scored before the next look at the bound.
 QUERIES, STEP = 1_000, 4
 
@@ -264,7 +265,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield out.filter(pa.array(n > 0))
 
     # read and placed twice, so that no copy of all texts is written beside the one that is dealt to shards
-    placed = rows.mapInArrow(descend, "doc_id long, key long, text string, n long, leaf long, turn long")
+    placed = rows.mapInArrow(lean(descend), "doc_id long, key long, text string, n long, leaf long, turn long")
     leaves = placed.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("n").alias("terms"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row a leaf
     documents, terms = sum(r["docs"] for r in leaves), sum(r["terms"] for r in leaves)
     parts = {r["leaf"]: max(-(-r["docs"] // SHARD_DOCS), -(-r["bytes"] // SHARD_BYTES)) for r in leaves}
@@ -285,7 +286,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     plan = F.broadcast(spark.createDataFrame(plan, "leaf long, first long, parts long"))
     dealt = placed.join(plan, "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("key", "turn"), F.col("parts")))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "key", "doc_id")
-    shards = settle(dealt.select("shard", "doc_id", "key", "text").mapInArrow(build, SHARD))
+    shards = settle(dealt.select("shard", "doc_id", "key", "text").mapInArrow(lean(build), SHARD))
     return Index(shards, documents, terms)
 
 
@@ -381,7 +382,7 @@ def _search_block(index: Index, texts: dict[int, str | None], k: int) -> DataFra
                 df, peak = (_blob(batch, c, row, np.uint32)[at[own]].astype(np.int64) for c in ("df", "peak"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("shard")[row].as_py())), pa.array(own), pa.array(df), pa.array(peak)], names=["shard", "term", "df", "peak"])
 
-    peaks = settle(index.shards.select("shard", "terms", "df", "peak").mapInArrow(met, "shard long, term long, df long, peak long"))
+    peaks = settle(index.shards.select("shard", "terms", "df", "peak").mapInArrow(lean(met), "shard long, term long, df long, peak long"))
     df = {r["term"]: r["df"] for r in peaks.groupBy("term").agg(F.sum("df").alias("df")).collect()}  # of the block's terms
     weights = np.array([weight(df[t], index.documents) if t in df else 0 for t in range(len(every))], dtype=np.int64)
     numbers = {q: np.searchsorted(every, x) for q, x in terms.items()}
@@ -418,7 +419,7 @@ def _search_block(index: Index, texts: dict[int, str | None], k: int) -> DataFra
 
     def visited(plan: DataFrame) -> DataFrame:
         asks = plan.groupBy("shard").agg(F.collect_list(F.struct("query", "least")).alias("asks"))
-        return index.shards.join(small(settle(asks)), "shard").mapInArrow(visit, FOUND)
+        return index.shards.join(small(settle(asks)), "shard").mapInArrow(lean(visit), FOUND)
 
     found = settle(visited(first))
     least = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc()))).filter(F.col("place") == k).select("query", F.col("score").alias("least"))
