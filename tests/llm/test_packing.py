@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from fieldweave.llm.packing import WordIds, pack, piece_lengths
@@ -49,3 +51,51 @@ def test_other_limits_and_ids(spark, limit):
     got = pack(spark.createDataFrame([(1, "some words " * 30)], "doc_id long, text string"), PATH, limit=limit, with_ids=True).orderBy("start").collect()
     ids = Tokenizer.from_file(PATH).encode("some words " * 30, add_special_tokens=False).ids
     assert [i for r in got for i in r.ids] == [*ids, 1] and max(r.length for r in got) <= limit
+
+
+LIBRARY, OWN = Tokenizer.from_file(PATH), WordIds(PATH)
+
+
+@pytest.mark.parametrize("text", ["\u0958! \u0958", "\u0130! \u0130.", "\ufb1d.", "a\ufb1d, b", "don't!'s it's,", "<|ENDOFTEXT|>!! x<|endoftext|>."])
+def test_letters_that_come_apart_and_marks_behind_them(text):
+    assert next(OWN.of([text])).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abXYst' .,!&<|>\n\té\u0130\u0131Σσ\u212a\u0301\u0958\u05d9\u05b4\ufb1dя語1²", max_size=30) | st.text(max_size=20))
+def test_any_text(text):
+    assert next(OWN.of([text])).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+class Counting:
+    def __init__(self, tokenizer):
+        self.tokenizer, self.calls = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_are_not_encoded_again_for_the_marks_behind_them():
+    words = [a + b + c for a in "bcdfgklmnp" for b in "aeiou" for c in "bcdfgklmnp"]
+    texts = [" ".join(f"{w}{m}" for w in words) for m in ("", ".", "&&&", ",***", ")", "!!")] + [" ".join(words).upper()]
+    ids = WordIds(PATH)
+    ids.tokenizer = Counting(ids.tokenizer)
+    found = [i.tolist() for i in ids.of(texts)]
+    assert found == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tokenizer.calls <= 10
+
+
+def test_forgotten_words_are_learnt_again():
+    ids = WordIds(PATH, remembered=3)
+    for text in ["some words, here", "other ones. here!", "", "some Words, there"] * 2:
+        assert next(ids.of([text])).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_many_rows(spark):
+    rows = [(k, "some Words, " * k) for k in range(40)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH, limit=16, with_ids=True).collect()
+    for k, text in rows:
+        own = sorted((r for r in got if r.doc_id == k), key=lambda r: r.start)
+        assert [i for r in own for i in r.ids] == [*LIBRARY.encode(text, add_special_tokens=False).ids, 1]
+        assert all(len(r.ids) == r.length for r in own)
