@@ -354,8 +354,9 @@ def _summed(team: Team, figures: list[float], grads: Weights) -> tuple[list[floa
     return whole[: len(figures)].tolist(), out
 
 
-def _epochs(config: MatcherConfig, phase: int, w: Weights, train: Pairs, n: int, step: Callable, check: Callable) -> list[dict]:
-    """Shuffled batches, early stopping by the validation loss, the best weights restored."""
+def _epochs(config: MatcherConfig, phase: int, w: Weights, train: Pairs, n: int, step: Callable, check: Callable | None) -> list[dict]:
+    """Shuffled batches, early stopping by the validation loss, the best weights restored; without a
+    check (no validation pairs) every epoch runs and the last weights stay."""
     best, stale, kept, history = np.inf, 0, {k: v.copy() for k, v in w.items()}, []
     for epoch in range(1, (config.embedding_epochs, config.classifier_epochs)[phase] + 1):
         place = permuted(train.number, n, _key(config.seed, phase, epoch))
@@ -366,9 +367,9 @@ def _epochs(config: MatcherConfig, phase: int, w: Weights, train: Pairs, n: int,
             loss, hits = step(order[cuts[k] : cuts[k + 1]], size, epoch)
             total += loss * size
             right += hits
-        loss, accuracy = check()
+        loss, accuracy = check() if check else (None, None)
         history.append({"epoch": epoch, "train_loss": total / n, "train_accuracy": right / n, "validation_loss": loss, "validation_accuracy": accuracy})
-        if loss < best - config.early_stopping_min_delta:
+        if not check or loss < best - config.early_stopping_min_delta:
             best, stale, kept = loss, 0, {k: v.copy() for k, v in w.items()}
         else:
             stale += 1
@@ -384,13 +385,14 @@ def train_model(train: Pairs, validation: Pairs, tokens: list[str], config: Matc
     train and validation are all pairs, or those of one of a ``team`` whose others hold the rest; each
     gets the whole model. Batches and dropped units follow from the pairs' numbers, so the same seed
     gives the same weights however the pairs are dealt, but for the last bits of sums. Validation
-    pairs weigh 1.
+    pairs weigh 1. Without any (one component of names may hold all rows) all epochs run, and the
+    history's validation figures are None.
     """
     team, kernels = team or Alone(), config.cnn_kernel_sizes
     w = initial_weights(config, len(tokens), config.seed)
     n, n_validation = (int(x) for x in team.total(np.array([len(train.label), len(validation.label)], dtype=np.float64)))
-    if not n or not n_validation:
-        raise ValueError("training needs training pairs and validation pairs")
+    if not n:
+        raise ValueError("training needs training pairs")
     ones = np.ones(len(validation.label))
 
     def vectors(p: Pairs) -> tuple[np.ndarray, np.ndarray]:
@@ -415,7 +417,7 @@ def train_model(train: Pairs, validation: Pairs, tokens: list[str], config: Matc
         hits = ((a * b).sum(axis=1) >= 0) == match
         return team.total(np.array([cosine_loss(a, b, match, ones, config.cosine_margin, n_validation)[0], hits.sum() / n_validation])).tolist()
 
-    history = {"encoder": _epochs(config, 0, w, train, n, encoder_step, encoder_check)}
+    history = {"encoder": _epochs(config, 0, w, train, n, encoder_step, encoder_check if n_validation else None)}
     second = AdamW(config.classifier_learning_rate, config.weight_decay)
     frozen = None if config.fine_tune_encoder else (vectors(train), vectors(validation))
 
@@ -441,7 +443,7 @@ def train_model(train: Pairs, validation: Pairs, tokens: list[str], config: Matc
         hits = x.argmax(axis=1) == validation.label
         return team.total(np.array([label_loss(x, validation.label, ones, n_validation)[0], hits.sum() / n_validation])).tolist()
 
-    history["classifier"] = _epochs(config, 1, w, train, n, classifier_step, classifier_check)
+    history["classifier"] = _epochs(config, 1, w, train, n, classifier_step, classifier_check if n_validation else None)
     return ModelBundle(config, tokens, w), history
 
 
@@ -459,10 +461,16 @@ def training_tasks(config: MatcherConfig, tokens: int, pairs: int, slots: int) -
     return max(1, wanted, needed)
 
 
+def dealt(pairs: DataFrame, tasks: int) -> DataFrame:
+    """``pairs`` in as many partitions as tasks, by their number. A barrier stage of more partitions than
+    slots never starts, so the partition is named outright, not left to a hash over some number of them."""
+    return pairs.repartitionById(tasks, F.pmod("number", F.lit(tasks)).cast("int"))
+
+
 def train_on(train: DataFrame, validation: DataFrame, tokens: list[str], config: MatcherConfig, tasks: int | None = None) -> tuple[ModelBundle, dict]:
     """``train_model`` by the tasks of a barrier stage; both tables have number, a, b, label, weight.
 
-    Numbers count the rows of each table from 0. Pairs go to tasks by a hash of their number and stay
+    Numbers count the rows of each table from 0. Pairs go to tasks by their number and stay
     there; the model alone comes to the driver. If a task is lost, the stage starts again, with the
     same result.
     """
@@ -494,7 +502,7 @@ def train_on(train: DataFrame, validation: DataFrame, tokens: list[str], config:
     if any(found.values()):
         raise ValueError("pairs have " + ", ".join(f"{k} ({n})" for k, n in found.items() if n))
     tasks = tasks or training_tasks(config, len(tokens), pairs, both.sparkSession.sparkContext.defaultParallelism)
-    rows = both.repartition(tasks, F.xxhash64("number")).mapInArrow(run, "name string, shape array<int>, blob binary", barrier=True).collect()
+    rows = dealt(both, tasks).mapInArrow(run, "name string, shape array<int>, blob binary", barrier=True).collect()
     found = {r["name"]: (r["shape"], bytes(r["blob"])) for r in rows}
     history = json.loads(found.pop("")[1])
     weights = {k: np.frombuffer(blob, dtype=np.float64).reshape(shape).copy() for k, (shape, blob) in found.items()}

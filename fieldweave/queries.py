@@ -320,7 +320,10 @@ def q26_hard_negative_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q27_training_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses and accuracies of a model of the default settings after its first epochs, by the tasks of a barrier stage."""
+    """Losses and accuracies of a model of the default settings after its first epochs, by the tasks of a barrier stage.
+
+    Where one component of names holds all rows, no split but train has any: validation figures are null.
+    """
     from fieldweave.operators.model import train_on
     from fieldweave.plans.train import encoded_pairs
 
